@@ -180,8 +180,8 @@ PRIOR = {
 }
 KINDS = ("kind", "words", "length", "links")
 #: Pseudo-counts of a node's state under each state of its parent: by default, and for article roots.
-EDGE_PRIOR = {ASIDE: (20.0, 0.0002, 0.0002), FRAME: (0.3, 0.6, 0.1), CONTENT: (0.1, 0.0001, 4.0)}
-ROOT_PRIOR = {ASIDE: (20.0, 0.0002, 0.0002), FRAME: (0.05, 0.05, 4.0), CONTENT: (0.1, 0.0001, 4.0)}
+EDGE_PRIOR = {ASIDE: (20.0, 0.0002, 0.0002), FRAME: (0.3, 0.6, 0.1), CONTENT: (0.00001, 0.00001, 4.0)}
+ROOT_PRIOR = {ASIDE: (20.0, 0.0002, 0.0002), FRAME: (0.05, 0.05, 4.0), CONTENT: (0.00001, 0.00001, 4.0)}
 
 
 def log_sum(values: list[float]) -> float:
