@@ -53,7 +53,7 @@ def test_marginals_equal_enumeration(model):
         s = (html_text.FRAME, *states)
         w = 0.0
         for i, n in enumerate(nodes[1:], 1):
-            w += model.edge_of(s[n.parent], n.tag)[s[i]] + sum(model.node[f][s[i]] for f in html_text.features_of(n))
+            w += model.edge_of(s[n.parent], n)[s[i]] + sum(model.node[f][s[i]] for f in html_text.features_of(n))
         weights[s] = math.exp(w)
     total = sum(weights.values())
     want = [sum(w for s, w in weights.items() if s[i] == html_text.CONTENT) / total for i in range(len(nodes))]

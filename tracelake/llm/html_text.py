@@ -1,7 +1,7 @@
 """Main text of web pages by a tree-structured graphical model.
 
 The DOM's block elements form a tree. Each node has a hidden state (set aside, frame, or content); an edge
-has the potential P(state | parent's state, tag), a node P(features | state). Both are counted on
+has the potential P(state | parent's state, the child's tag or marks), a node with text P(text features | state). Both are counted on
 labelled pages (Spark group-by of feature counts), with pseudo-counts as prior. Exact marginals
 come from sum-product messages, leaves to root and back. The blocks of nodes whose content marginal
 is at least one half are the text.
@@ -160,28 +160,33 @@ def labels_of(nodes: list[Node]) -> list[int] | None:
     return state
 
 
+def evidence_of(n: Node) -> str:
+    """What an edge's potential depends on: a mark of the child, or else its tag."""
+    if n.aside or n.tag in ASIDE_TAGS:
+        return "~aside"
+    return "~root" if n.root else "~named" if n.article else n.tag
+
+
 def features_of(n: Node) -> list[str]:
-    """Feature values of a node: one of each kind."""
-    kind = "aside" if n.tag in ASIDE_TAGS else "root" if n.root else "other"
-    words = "aside" if n.aside else "article" if n.article else "none"
-    out = [f"kind={kind}", f"words={words}"]
-    if n.blocks:
-        out.append(f"length={min(4, int(math.log10(n.chars + 1) * 2))}")
-        out.append(f"links={min(3, int(4 * n.linked / max(1, n.chars)))}")
-    return out
+    """Observed features of a node's own text, one of each kind."""
+    if not n.blocks:
+        return []
+    return [f"length={min(4, int(math.log10(n.chars + 1) * 2))}", f"links={min(3, int(4 * n.linked / max(1, n.chars)))}"]
 
 
 #: Pseudo-counts (set aside, frame, content): what is known before any page is seen (fixed values).
 PRIOR = {
-    "kind=aside": (400.0, 0.0001, 0.0001), "kind=root": (0.001, 0.01, 60.0), "kind=other": (400.0, 400.0, 400.0),
-    "words=aside": (400.0, 0.0001, 0.0001), "words=article": (1.0, 20.0, 40.0), "words=none": (400.0, 800.0, 800.0),
     "links=0": (5.0, 5.0, 20.0), "links=1": (5.0, 5.0, 5.0), "links=2": (8.0, 5.0, 2.0), "links=3": (30.0, 5.0, 1.0),
     "length=0": (5.0, 5.0, 2.0), "length=1": (5.0, 5.0, 2.0), "length=2": (5.0, 5.0, 3.0), "length=3": (4.0, 1.0, 5.0), "length=4": (2.0, 0.2, 10.0),
 }
-KINDS = ("kind", "words", "length", "links")
-#: Pseudo-counts of a node's state under each state of its parent: by default, and for article roots.
-EDGE_PRIOR = {ASIDE: (20.0, 0.0002, 0.0002), FRAME: (0.3, 0.6, 0.1), CONTENT: (0.00001, 0.00001, 4.0)}
-ROOT_PRIOR = {ASIDE: (20.0, 0.0002, 0.0002), FRAME: (0.05, 0.05, 4.0), CONTENT: (0.00001, 0.00001, 4.0)}
+KINDS = ("length", "links")
+#: Pseudo-counts of a node's state by its evidence ("" stands for every tag) and its parent's state.
+EDGE_PRIOR = {
+    "~aside": {ASIDE: (200.0, 1e-6, 1e-6), FRAME: (200.0, 1e-4, 1e-6), CONTENT: (200.0, 1e-6, 1e-4)},
+    "~root": {ASIDE: (20.0, 1e-6, 1e-6), FRAME: (1e-4, 1e-3, 20.0), CONTENT: (1e-5, 1e-5, 20.0)},
+    "~named": {ASIDE: (20.0, 1e-6, 1e-6), FRAME: (0.05, 2.0, 2.0), CONTENT: (1e-5, 1e-5, 20.0)},
+    "": {ASIDE: (20.0, 1e-6, 1e-6), FRAME: (0.3, 0.6, 0.1), CONTENT: (1e-5, 1e-5, 4.0)},
+}
 
 
 def log_sum(values: list[float]) -> float:
@@ -190,7 +195,7 @@ def log_sum(values: list[float]) -> float:
 
 
 class TreeModel:
-    """Log-potentials from counts {(feature or 'edge:<parent state>:<tag>', state): n}."""
+    """Log-potentials from counts {(feature or 'edge:<parent state>:<evidence>', state): n}."""
 
     def __init__(self, counts: dict[tuple[str, int], float]):
         self.node: dict[str, tuple[float, ...]] = {}
@@ -201,13 +206,13 @@ class TreeModel:
                 self.node[x] = tuple(math.log((PRIOR[x][s] + counts.get((x, s), 0)) / total[s]) for s in STATES)
         self.edge: dict[tuple[int, str], tuple[float, ...]] = {}
         for p in STATES:
-            for tag in {x.split(":", 2)[2] for x, _ in counts if x.startswith("edge:")} | ROOTS | {""}:
-                prior = (ROOT_PRIOR if tag in ROOTS else EDGE_PRIOR)[p]
-                n = [prior[s] + counts.get((f"edge:{p}:{tag}", s), 0) for s in STATES]
-                self.edge[p, tag] = tuple(math.log(x / sum(n)) for x in n)
+            for mark in {x.split(":", 2)[2] for x, _ in counts if x.startswith("edge:")} | set(EDGE_PRIOR):
+                prior = EDGE_PRIOR.get(mark, EDGE_PRIOR[""])[p]
+                n = [prior[s] + counts.get((f"edge:{p}:{mark}", s), 0) for s in STATES]
+                self.edge[p, mark] = tuple(math.log(x / sum(n)) for x in n)
 
-    def edge_of(self, p: int, tag: str) -> tuple[float, ...]:
-        return self.edge.get((p, tag)) or self.edge[p, ""]
+    def edge_of(self, p: int, n: Node) -> tuple[float, ...]:
+        return self.edge.get((p, evidence_of(n))) or self.edge[p, ""]
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Exact P(content) of every node: messages upward, then downward. The root is frame."""
@@ -221,7 +226,7 @@ class TreeModel:
                 w = self.node[f]
                 for s in STATES:
                     mine[s] += w[s]
-            sent = [log_sum([e[s] + mine[s] for s in STATES]) for e in (self.edge_of(p, x.tag) for p in STATES)]
+            sent = [log_sum([e[s] + mine[s] for s in STATES]) for e in (self.edge_of(p, x) for p in STATES)]
             message[i] = sent
             above = up[x.parent]
             for p in STATES:
@@ -232,7 +237,7 @@ class TreeModel:
             for p in STATES:
                 weight = belief[x.parent][p]
                 if weight > 0:
-                    e = self.edge_of(p, x.tag)
+                    e = self.edge_of(p, x)
                     for s in STATES:
                         q[s] += weight * math.exp(e[s] + up[i][s] - message[i][p])
             belief.append(q)
@@ -253,7 +258,7 @@ def page_counts(page: str | None) -> Counter:
     states = labels_of(nodes) if nodes else None
     if states:
         for x, s in list(zip(nodes, states))[1:]:
-            out[f"edge:{states[x.parent]}:{x.tag}", s] += 1
+            out[f"edge:{states[x.parent]}:{evidence_of(x)}", s] += 1
             for f in features_of(x):
                 out[f, s] += 1
     return out
