@@ -180,12 +180,13 @@ PRIOR = {
     "length=0": (5.0, 5.0, 2.0), "length=1": (5.0, 5.0, 2.0), "length=2": (5.0, 5.0, 3.0), "length=3": (4.0, 1.0, 5.0), "length=4": (2.0, 0.2, 10.0),
 }
 KINDS = ("length", "links")
+UNLIKELY = -60.0
 #: Pseudo-counts of a node's state by its evidence ("" stands for every tag) and its parent's state.
 EDGE_PRIOR = {
-    "~aside": {ASIDE: (200.0, 1e-6, 1e-6), FRAME: (200.0, 1e-4, 1e-6), CONTENT: (200.0, 1e-6, 1e-4)},
-    "~root": {ASIDE: (20.0, 1e-6, 1e-6), FRAME: (1e-4, 1e-3, 20.0), CONTENT: (1e-5, 1e-5, 20.0)},
-    "~named": {ASIDE: (20.0, 1e-6, 1e-6), FRAME: (0.05, 2.0, 2.0), CONTENT: (1e-5, 1e-5, 20.0)},
-    "": {ASIDE: (20.0, 1e-6, 1e-6), FRAME: (0.3, 0.6, 0.1), CONTENT: (1e-5, 1e-5, 4.0)},
+    "~aside": {ASIDE: (200.0, 1e-60, 1e-60), FRAME: (200.0, 1e-4, 1e-60), CONTENT: (200.0, 1e-60, 1e-4)},
+    "~root": {ASIDE: (20.0, 1e-60, 1e-60), FRAME: (1e-60, 1e-60, 20.0), CONTENT: (1e-60, 1e-60, 20.0)},
+    "~named": {ASIDE: (20.0, 1e-60, 1e-60), FRAME: (0.05, 2.0, 2.0), CONTENT: (1e-60, 1e-60, 20.0)},
+    "": {ASIDE: (20.0, 1e-60, 1e-60), FRAME: (0.3, 0.6, 0.1), CONTENT: (1e-60, 1e-60, 4.0)},
 }
 
 
@@ -209,7 +210,8 @@ class TreeModel:
             for mark in {x.split(":", 2)[2] for x, _ in counts if x.startswith("edge:")} | set(EDGE_PRIOR):
                 prior = EDGE_PRIOR.get(mark, EDGE_PRIOR[""])[p]
                 n = [prior[s] + counts.get((f"edge:{p}:{mark}", s), 0) for s in STATES]
-                self.edge[p, mark] = tuple(math.log(x / sum(n)) for x in n)
+                lift = UNLIKELY if (p, mark) == (ASIDE, "~root") else 0.0  # a root isn't inside such a part
+                self.edge[p, mark] = tuple(math.log(x / sum(n)) + lift for x in n)
 
     def edge_of(self, p: int, n: Node) -> tuple[float, ...]:
         return self.edge.get((p, evidence_of(n))) or self.edge[p, ""]
