@@ -1 +1 @@
-
+"""Column functions: text and code normalisation, association measures."""

@@ -1 +1 @@
-
+"""Composed plans: the registered queries and the workflow."""

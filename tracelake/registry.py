@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import queries as q
+
 FLAGSHIP = "cor12_same_agency"
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in q.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in q.QUERIES.items() if sql}

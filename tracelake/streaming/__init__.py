@@ -1 +1,31 @@
+"""Continuous ingest and tagging with Structured Streaming."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.tagging import tag
+
+
+def deduplicated(stream: DataFrame, key: str = "hash", time: str = "occurred_at", delay: str = "1 day") -> DataFrame:
+    """A stream without repeats of a natural key within the watermark."""
+    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def ingest(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, key: str = "hash"):
+    """Merge each micro-batch of new keys; ``merge`` must be idempotent by key."""
+    return deduplicated(stream, key).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def tagged(stream: DataFrame, rules: list[dict], fields: tuple[str, ...]) -> DataFrame:
+    """The batch tagging expression on a stream (stateless)."""
+    return tag(stream, rules, fields)
+
+
+def activity(stream: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Events and value per window and type, for data that is late by at most ``delay``."""
+    w = stream.withWatermark("ts", delay).groupBy(F.window("ts", window), "event_type")
+    return w.agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "events", "value")
