@@ -146,7 +146,7 @@ def test_landed_feeds(spark, tmp_path):
 
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
-    batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch.repartition(3).write.parquet(str(source))
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     query = streaming.activity(stream, delay="60 days").writeStream.outputMode("update").format("memory").queryName("activity").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()

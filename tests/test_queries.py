@@ -22,7 +22,7 @@ def db():
 
 
 def plain(df):
-    text = lambda x: "~" if x is None or x is pd.NaT or x != x else repr(round(float(x), 6)) if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x)
+    text = lambda x: "~" if pd.isna(x) else repr(round(float(x), 6)) if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x)
     return sorted(tuple(map(text, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 

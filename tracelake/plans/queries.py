@@ -112,7 +112,7 @@ p AS (SELECT a.k AS k1, b.k AS k2, count(*) AS c12 FROM words a JOIN words b ON
 m AS (SELECT p.k1, p.k2, x.c AS c1, y.c AS c2, p.c12, t.total, p.c12 + 0.5e0 AS a, x.c - p.c12 + 0.5e0 AS b, y.c - p.c12 + 0.5e0 AS cc, t.total - x.c - y.c + p.c12 + 0.5e0 AS d
       FROM p JOIN c x ON x.k = p.k1 JOIN c y ON y.k = p.k2 CROSS JOIN t)
 SELECT k1, k2, c1, c2, c12, round(ln((a / (a + b + cc + d)) / (((a + b) / (a + b + cc + d)) * ((a + cc) / (a + b + cc + d)))) / -ln(a / (a + b + cc + d)), 6) AS npmi,
-       round(ln((a * d) / (b * cc)), 6) AS log_odds, round(c12 * total / (c1 * c2 * 1e0), 6) AS lift_raw FROM m"""
+       round(ln((a * d) / (b * cc)), 6) AS log_odds, round_even(c12 * total / (c1 * c2 * 1e0), 6) AS lift_raw FROM m"""
 
 
 @register("cor4_keyword_pairs", PAIRS_SQL)
@@ -330,14 +330,17 @@ def dia3(spark, sf_dir):
 
 # ---- scores, rankings ----------------------------------------------------------------------------
 
-_WEIGHTS = F.transform("clauses", lambda c: c["weight"])
+def _weights():
+    return F.transform("clauses", lambda c: c["weight"])
+
+
 _SCORE_SQL = TAG_SQL + ", s AS (SELECT d.doc_id AS id, coalesce(sum(weight), 0) AS w, count(DISTINCT pack || ':' || rule) AS k FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id)\n"
 _V1_SQL = "CASE WHEN w <> 0 THEN w ELSE 3 * k END"
 
 
 @register("scr1_score_v1", _SCORE_SQL + f"SELECT id, CAST({_V1_SQL} AS BIGINT) AS score FROM s")
 def scr1(spark, sf_dir):
-    return _tagged(spark, sf_dir).select("id", scoring.score_v1(_WEIGHTS, F.size("keywords"), F.lit(False)).cast("bigint").alias("score"))
+    return _tagged(spark, sf_dir).select("id", scoring.score_v1(_weights(), F.size("keywords"), F.lit(False)).cast("bigint").alias("score"))
 
 
 V2_SQL = TAG_SQL + """, r AS (SELECT doc_id, weight, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, rule) AS k FROM c),
@@ -347,7 +350,7 @@ SELECT id, CAST(CASE WHEN w <> 0 THEN w ELSE 3 * k END AS BIGINT) AS score FROM
 
 @register("scr2_score_v2", V2_SQL)
 def scr2(spark, sf_dir):
-    return _tagged(spark, sf_dir).select("id", scoring.score_v2(_WEIGHTS, F.size("keywords"), F.lit(False), F.lit(0), top=2).cast("bigint").alias("score"))
+    return _tagged(spark, sf_dir).select("id", scoring.score_v2(_weights(), F.size("keywords"), F.lit(False), F.lit(0), top=2).cast("bigint").alias("score"))
 
 
 @register("scr4_pack_buckets", TAG_SQL + "SELECT CASE WHEN pack = 'operational_noise_terms' THEN 'suppressor' ELSE 'neutral' END AS bucket, count(*) AS clauses FROM c GROUP BY 1")
@@ -362,35 +365,41 @@ def _lead_rank(spark, sf_dir, score):
 
 _LEADS_SQL = """l1 AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, occurred_at DESC NULLS LAST, id DESC) AS rank FROM (SELECT id, occurred_at, CAST(floor(amount / 1000) AS BIGINT) AS score FROM awards) x),
 l2 AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, occurred_at DESC NULLS LAST, id DESC) AS rank FROM (SELECT id, occurred_at, CAST(floor(amount / 1000) AS BIGINT) + CASE WHEN country = 'ASIA' THEN 20 ELSE 0 END AS score FROM awards) x)"""
-_BASE = F.floor(F.col("amount") / 1000)
-_BOOSTED = _BASE + F.when(F.col("country") == "ASIA", 20).otherwise(0)
+
+
+def _base():
+    return F.floor(F.col("amount") / 1000)
+
+
+def _boosted():
+    return _base() + F.when(F.col("country") == "ASIA", 20).otherwise(0)
 
 
 @register("led2_ranked_leads", f"WITH {v.AWARDS_SQL}, {_LEADS_SQL}\nSELECT id, score, CAST(rank AS BIGINT) AS rank FROM l1 WHERE rank <= 200")
 def led2(spark, sf_dir):
-    return _lead_rank(spark, sf_dir, _BASE).select("id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return _lead_rank(spark, sf_dir, _base()).select("id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("led1_scan_limit", awards_sql("SELECT id, CAST(floor(amount / 1000) AS BIGINT) AS score FROM (SELECT id, amount, occurred_at FROM awards ORDER BY occurred_at DESC NULLS LAST, id DESC LIMIT 5000) x WHERE floor(amount / 1000) >= 1 ORDER BY floor(amount / 1000) DESC, occurred_at DESC NULLS LAST, id DESC LIMIT 200"))
 def led1(spark, sf_dir):
-    return scoring.ranked(v.award_events(spark, sf_dir), _BASE, limit=200, scan=5000).select("id", "score")
+    return scoring.ranked(v.award_events(spark, sf_dir), _base(), limit=200, scan=5000).select("id", "score")
 
 
 @register("dlt1_snapshot_delta", f"WITH {v.AWARDS_SQL}, {_LEADS_SQL}\nSELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'removed' WHEN o.rank <> n.rank OR o.score <> n.score THEN 'changed' ELSE 'same' END AS change_type, CAST(n.rank - o.rank AS BIGINT) AS rank_delta, CAST(n.score - o.score AS BIGINT) AS score_delta FROM (SELECT * FROM l1 WHERE rank <= 200) o FULL OUTER JOIN (SELECT * FROM l2 WHERE rank <= 200) n ON o.id = n.id")
 def dlt1(spark, sf_dir):
-    d = scoring.delta(_lead_rank(spark, sf_dir, _BASE), _lead_rank(spark, sf_dir, _BOOSTED))
+    d = scoring.delta(_lead_rank(spark, sf_dir, _base()), _lead_rank(spark, sf_dir, _boosted()))
     return d.select("id", "change_type", F.col("rank_delta").cast("bigint").alias("rank_delta"), F.col("score_delta").cast("bigint").alias("score_delta"))
 
 
 @register("cmp1_version_comparison", f"WITH {v.AWARDS_SQL}, {_LEADS_SQL}\nSELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'entered' WHEN n.id IS NULL THEN 'dropped' ELSE 'shared' END AS state, CAST(o.rank - n.rank AS BIGINT) AS rank_delta FROM (SELECT * FROM l1 WHERE rank <= 200) o FULL OUTER JOIN (SELECT * FROM l2 WHERE rank <= 200) n ON o.id = n.id")
 def cmp1(spark, sf_dir):
-    d = scoring.compare(_lead_rank(spark, sf_dir, _BASE), _lead_rank(spark, sf_dir, _BOOSTED))
+    d = scoring.compare(_lead_rank(spark, sf_dir, _base()), _lead_rank(spark, sf_dir, _boosted()))
     return d.select("id", "state", F.col("rank_delta").cast("bigint").alias("rank_delta"))
 
 
 @register("qua9_score_spread", f"WITH {v.AWARDS_SQL}, {_LEADS_SQL}\nSELECT max(score) AS max_score, min(score) AS min_score, CAST(median(score) AS DOUBLE) AS median_score, count(DISTINCT score) AS unique_scores, max(score) - min(score) AS spread FROM l1 WHERE rank <= 10")
 def qua9(spark, sf_dir):
-    return scoring.score_spread(_lead_rank(spark, sf_dir, _BASE))
+    return scoring.score_spread(_lead_rank(spark, sf_dir, _base()))
 
 
 # ---- reviews, health -----------------------------------------------------------------------------

@@ -27,5 +27,5 @@ def tagged(stream: DataFrame, rules: list[dict], fields: tuple[str, ...]) -> Dat
 
 def activity(stream: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Events and value per window and type, for data that is late by at most ``delay``."""
-    w = stream.withWatermark("ts", delay).groupBy(F.window("ts", window), "event_type")
+    w = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", window), "event_type")
     return w.agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "events", "value")
