@@ -124,7 +124,7 @@ def matches_udf(index: ItemIndex, similarity: float = SIMILARITY):
             out += rows
         return pa.array(out, kind)
 
-    return match
+    return match.asNondeterministic()  # else a filter drawn from a later explode would search twice
 
 
 def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES):
