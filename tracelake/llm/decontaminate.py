@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import short_batches
 from .textbytes import IS_BLANK, LOWER, chunks, mixed, shingle_hashes, span_hashes, utf8_views, words_of
 
 WORDS = 5
@@ -140,7 +141,7 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text",
 def find_contained(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text: str = "text", name: str = "items") -> DataFrame:
     """``documents`` with the array of contained items (id, containment)."""
     columns = [matches_udf(index, similarity)(F.col(text)) for index in item_blocks(benchmark)]
-    return documents.withColumn(name, F.concat(*columns) if len(columns) > 1 else columns[0])
+    return short_batches(documents).withColumn(name, F.concat(*columns) if len(columns) > 1 else columns[0])
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import short_batches
+
 SAMPLE = 2000
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -285,6 +287,7 @@ def train(pages: DataFrame, sample: int = SAMPLE, key: str = "page_id", html: st
 
 def extract_text(pages: DataFrame, model: TreeModel | None = None, key: str = "page_id", html: str = "html", name: str = "main_text") -> DataFrame:
     """``pages`` with the column ``name``: the main text of the whole html."""
+    pages = short_batches(pages)
     model = model or train(pages, key=key, html=html)
 
     @F.arrow_udf("string")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .scratch import new_path
+from .scratch import new_path, short_batches
 from .textbytes import utf8_list
 
 WIDTH = 576
@@ -300,7 +300,7 @@ def write_media(documents: DataFrame, path: str, key: str = "doc_id", text: str
     """Store every whole text as a PNG member of the archive directory ``path``."""
     spark = documents.sparkSession
     spark.dataSource.register(MediaArchive)
-    rows = documents.select(F.col(key).cast("bigint").alias("doc_id"), _media(F.col(text)).alias("media"))
+    rows = short_batches(documents).select(F.col(key).cast("bigint").alias("doc_id"), _media(F.col(text)).alias("media"))
     rows.write.format("media_archive").option("path", path).mode("append").save()
 
 

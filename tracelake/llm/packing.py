@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import stored
+from .scratch import short_batches, stored
 from .textbytes import utf8_list
 
 CAPACITY = 4096
 END_ID = 1
 BUCKETS = 1024
 TOKENIZER = "word_bpe_49k.json"
-MOST_KNOWN_WORDS = 400_000
+MOST_KNOWN_WORDS = 300_000
 
 
 # ---- tokens ------------------------------------------------------------------------------------
@@ -59,11 +60,10 @@ class WordIds:
 
     def forget(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.parts: dict[str, np.ndarray] = {}
+        self.parts: dict[str, bytes] = {}  # ids as little-endian bytes: small objects
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
+        self.starts, self.sizes = array("q"), array("q")
 
     def _parts(self, parts: list[str]) -> None:
         """Learn the ids of lowered letter runs and punctuation runs, many in one call."""
@@ -72,10 +72,13 @@ class WordIds:
             ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some):
-                self.parts.update(zip(some, np.split(ids, ends[:-1])))
+                raw, at = ids.tobytes(), 0
+                for p, end in zip(some, (4 * ends).tolist()):
+                    self.parts[p] = raw[at:end]
+                    at = end
             else:
                 for p in some:
-                    self.parts[p] = np.array(self.full.encode(p, add_special_tokens=False).ids, np.uint32)
+                    self.parts[p] = np.array(self.full.encode(p, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
@@ -85,19 +88,15 @@ class WordIds:
         others = [t for t, m in zip(texts, split) if not m]
         rest = iter(self.full.encode_batch_fast(others, add_special_tokens=False)) if others else iter(())
         for w, m in zip(words, split):
-            if m:
-                ids = [self.parts[m[1].lower()], *([self.parts[m[2]]] if m[2] else [])]
-            else:
-                ids = [np.array(next(rest).ids, np.uint32)]
-            n = sum(map(len, ids))
+            raw = self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"") if m else np.array(next(rest).ids, np.uint32).tobytes()
+            n = len(raw) // 4
             while self.used + n > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
             self.place[w] = len(self.starts)
             self.starts.append(self.used)
             self.sizes.append(n)
-            for x in ids:
-                self.flat[self.used : self.used + len(x)] = x
-                self.used += len(x)
+            self.flat[self.used : self.used + n] = np.frombuffer(raw, np.uint32)
+            self.used += n
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -108,7 +107,7 @@ class WordIds:
         new = {w for r in rows for w in r if w not in known}
         if new:
             self.learn(sorted(new))
-        starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
+        starts, sizes = np.array(self.starts), np.array(self.sizes)
         out = []
         for r in rows:
             if not r:
@@ -256,5 +255,5 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, limits: C
 
         tokenizer = public_tokenizers.path(TOKENIZER)
     longest = min(limits.tokens, int(limits.attention**0.5))
-    cut = documents.select(F.col("doc_id"), F.explode(pieces_udf(str(tokenizer), longest, end_id)(F.col("text"))).alias("p"))
+    cut = short_batches(documents).select(F.col("doc_id"), F.explode(pieces_udf(str(tokenizer), longest, end_id)(F.col("text"))).alias("p"))
     return place_pieces(cut.select("doc_id", "p.*"), limits)

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import short_batches
 from .textbytes import chunks, utf8_views
 
 ORDER = 4
@@ -218,6 +219,7 @@ def language_udf(model: PpmModel):
 
 def identify_languages(documents: DataFrame, model: PpmModel | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", name: str = "language") -> DataFrame:
     """``documents`` with a struct column ``name``: lang_pred and score."""
+    documents = short_batches(documents)
     model = model or train(documents, key, text, lang)
     found = documents.withColumn(name, language_udf(model)(F.col(text)))
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))

@@ -8,6 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session then sends texts to Python in batches of at most ``BATCH_ROWS`` rows.
+
+    Whole texts may be long, so batches of the default 10,000 rows would take much memory twice over
+    (in the JVM and in Python). A smaller setting of the session is kept.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH, "10000")) > BATCH_ROWS or int(conf.get(BATCH, "10000")) <= 0:
+        conf.set(BATCH, str(BATCH_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

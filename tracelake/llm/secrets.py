@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import short_batches
 from .textbytes import LOWER, utf8_list, utf8_views
 
 #: Literal sets above this size, or longer than this, are turned into trigrams at once.
@@ -229,7 +230,7 @@ def secrets_udf(rules: tuple[Rule, ...]):
 
 def scan_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "secrets") -> DataFrame:
     """``documents`` with a column of all secret spans."""
-    return documents.withColumn(name, secrets_udf(tuple(rules))(F.col(text)))
+    return short_batches(documents).withColumn(name, secrets_udf(tuple(rules))(F.col(text)))
 
 
 def as_listing(spans: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import stored
+from .scratch import short_batches, stored
 from .textbytes import utf8_list
 
 SHINGLE = 3
@@ -168,7 +168,7 @@ def hexadecimal(value: Column) -> Column:
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
-    prints = stored(documents.select(F.col(key).alias("doc_id"), fingerprint_udf(F.col(text)).alias("fp")), "simhash")
+    prints = stored(short_batches(documents).select(F.col(key).alias("doc_id"), fingerprint_udf(F.col(text)).alias("fp")), "simhash")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(links(distinct.select("fp"), most_bits))
     grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

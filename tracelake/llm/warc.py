@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import short_batches
+
 LEAST_REVISIT = 1000
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 8 << 20
@@ -163,7 +165,7 @@ def write_bundles(pages: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes
         if done:
             yield pa.RecordBatch.from_pylist([done], _BUNDLE_KIND)
 
-    return with_revisits(pages).mapInArrow(pack, BUNDLES)
+    return with_revisits(short_batches(pages)).mapInArrow(pack, BUNDLES)
 
 
 _READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, bundle_id string, frame int, frame_offset int"
