@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import short_batches
@@ -31,7 +31,7 @@ from .textbytes import chunks, utf8_views
 
 ORDER = 4
 SAMPLE_BYTES = 8 << 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 TEMPER = 64
 UNKNOWN = "und"
 
@@ -65,19 +65,19 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.n = len(keys)
-        bits = max(4, int(np.ceil(np.log2(max(1, self.n) * 2))))
-        self.shift = np.uint64(64 - bits)
         self.rounds = []
         left = np.arange(self.n)
         for factor in self.FACTORS:
-            spot = ((keys[left] * np.uint64(factor)) >> self.shift).astype(np.int64)
+            bits = max(4, int(np.ceil(np.log2(max(1, len(left)) * 1.5))))  # each round is as large as what is left needs
+            shift = np.uint64(64 - bits)
+            spot = ((keys[left] * np.uint64(factor)) >> shift).astype(np.int64)
             where, first = np.unique(spot, return_index=True)
             key, value, more = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, bool)
             key[where], value[where] = keys[left[first]], left[first]
             later = np.ones(len(left), bool)
             later[first] = False
             more[spot[later]] = True
-            self.rounds.append((np.uint64(factor), key, value, more))
+            self.rounds.append((np.uint64(factor), shift, key, value, more))
             left = left[later]
         order = np.argsort(keys[left])
         self.rest, self.rest_at = keys[left][order], left[order]
@@ -86,10 +86,10 @@ class Lookup:
         out = np.full(len(keys), -1, np.int32)
         open_at = np.arange(len(keys))
         now = keys
-        for factor, key, value, more in self.rounds:
+        for factor, shift, key, value, more in self.rounds:
             if not len(now):
                 return out
-            spot = ((now * factor) >> self.shift).astype(np.int64)
+            spot = ((now * factor) >> shift).astype(np.int64)
             v = value[spot]
             hit = (key[spot] == now) & (v >= 0)
             out[open_at[hit]] = v[hit]
@@ -197,12 +197,17 @@ def train(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: s
     return PpmModel(languages, tables, order)
 
 
-def language_udf(model: PpmModel):
-    """Arrow UDF: text -> (lang_pred, score, bits_per_byte of the winner)."""
+def language_udf(spark: SparkSession, trained: PpmModel):
+    """Arrow UDF: text -> (lang_pred, score, bits_per_byte of the winner).
+
+    The model is bounded by its training sample; a broadcast is loaded once by each worker, not by each task.
+    """
+    shared = spark.sparkContext.broadcast(trained)
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 
     @F.arrow_udf("lang_pred string, score double, bits_per_byte double")
     def identify(texts: pa.Array) -> pa.Array:
+        model = shared.value
         raw, off = utf8_views(lowered(texts))
         if not model.languages:
             return pa.array([{"lang_pred": UNKNOWN, "score": 0.0, "bits_per_byte": None}] * len(texts), kind)
@@ -221,7 +226,7 @@ def identify_languages(documents: DataFrame, model: PpmModel | None = None, key:
     """``documents`` with a struct column ``name``: lang_pred and score."""
     documents = short_batches(documents)
     model = model or train(documents, key, text, lang)
-    found = documents.withColumn(name, language_udf(model)(F.col(text)))
+    found = documents.withColumn(name, language_udf(documents.sparkSession, model)(F.col(text)))
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     und = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
     return found.withColumn(name, F.when(has_letter, F.col(name)).otherwise(und))
