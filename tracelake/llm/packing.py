@@ -36,7 +36,7 @@ CAPACITY = 4096
 END_ID = 1
 BUCKETS = 1024
 TOKENIZER = "word_bpe_49k.json"
-MOST_KNOWN_WORDS = 300_000
+MOST_KNOWN_WORDS = 400_000
 
 
 # ---- tokens ------------------------------------------------------------------------------------
@@ -87,16 +87,23 @@ class WordIds:
         self._parts([p for p in wanted if p not in self.parts])
         others = [t for t, m in zip(texts, split) if not m]
         rest = iter(self.full.encode_batch_fast(others, add_special_tokens=False)) if others else iter(())
-        for w, m in zip(words, split):
-            raw = self.parts[m[1].lower()] + (self.parts[m[2]] if m[2] else b"") if m else np.array(next(rest).ids, np.uint32).tobytes()
-            n = len(raw) // 4
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-            self.place[w] = len(self.starts)
-            self.starts.append(self.used)
-            self.sizes.append(n)
-            self.flat[self.used : self.used + n] = np.frombuffer(raw, np.uint32)
-            self.used += n
+        parts, raws = self.parts, []
+        for m in split:
+            if not m:
+                raws.append(np.array(next(rest).ids, np.uint32).tobytes())
+            elif m[2]:
+                raws.append(parts[m[1].lower()] + parts[m[2]])
+            else:
+                raws.append(parts[m[1].lower()])
+        self.place.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
+        sizes = np.array([len(r) for r in raws], np.int64) // 4
+        ends = self.used + np.cumsum(sizes)
+        while ends[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        self.flat[self.used : ends[-1]] = np.frombuffer(b"".join(raws), np.uint32)
+        self.starts.frombytes((ends - sizes).tobytes())
+        self.sizes.frombytes(sizes.tobytes())
+        self.used = int(ends[-1])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
