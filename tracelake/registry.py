@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import leads as _leads  # noqa: F401  (registers its queries)
 from .plans import queries as q
 
 FLAGSHIP = "cor12_same_agency"
