@@ -38,7 +38,7 @@ CANDIDATE_LANE = "sam_usaspending_candidate_join"
 STRUCTURAL_LANES = ("same_agency", "same_psc", "same_naics", "same_place_region", "same_sam_naics")
 KEYWORD_POINTS = {"proxy": 2, "dod": 1, "starter": 1, "context": 1}
 
-NONE = "array<struct<key:string,pack:string,bucket:string,kind:string,points:int,penalty:int,routine:boolean>>"
+NONE = "array<struct<pack:string,rule:string,bucket:string,kind:string,weight:int>>"
 
 
 @dataclass(frozen=True)
@@ -77,26 +77,31 @@ def magnitude(kind: Column, weight: Column) -> Column:
     return F.when(kind == "proxy", 4 + m).when(kind == "dod", 3 + m).when(kind == "context", 2 + F.least(m, F.lit(1))).when(kind == "starter", F.when(m >= 2, 2).otherwise(1)).otherwise(0)
 
 
+def _named(pack: Column, rule: Column, b: Column, kind: str, weight: Column) -> Column:
+    return F.struct(F.lower(F.trim(F.coalesce(pack, F.lit("")))).alias("pack"), F.lower(F.trim(rule)).alias("rule"), b.alias("bucket"), F.lit(kind).alias("kind"), weight.cast("int").alias("weight"))
+
+
 def _of_clause(c: Column) -> Column:
-    b, weight = bucket(c["pack"]), F.coalesce(c["weight"].cast("int"), F.lit(0))
-    rule = F.lower(F.trim(F.coalesce(c["rule"], F.lit(""))))
-    points = magnitude(b, weight)
-    penalty = F.when(b == "suppressor", F.when(rule.isin(*LORE_RULES), 6).otherwise(4)).when(weight < 0, F.greatest(points, F.lit(1))).otherwise(0)
-    return _signal(c["pack"], rule, b, "clause", points, penalty)
+    return _named(c["pack"], F.coalesce(c["rule"], F.lit("")), bucket(c["pack"]), "clause", F.coalesce(c["weight"].cast("int"), F.lit(0)))
 
 
 def _of_keyword(k: Column) -> Column:
-    pack = F.substring_index(k, ":", 1)
-    rule = F.lower(F.trim(F.when(F.contains(k, F.lit(":")), F.substring(k, F.length(pack) + 2, F.length(k))).otherwise("")))
-    b = bucket(pack, rule != "")
-    points = sum((F.when(b == n, p).otherwise(0) for n, p in KEYWORD_POINTS.items()), F.lit(0))
-    penalty = F.when(b == "suppressor", F.when(rule.isin(*LORE_RULES), 4).otherwise(3)).otherwise(0)
-    return _signal(pack, rule, b, "keyword", points, penalty)
+    parts = F.split(k, ":", 2)
+    rule = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
+    return _named(parts[0], rule, bucket(parts[0], F.trim(rule) != ""), "keyword", F.lit(0))
 
 
-def _signal(pack: Column, rule: Column, b: Column, kind: str, points: Column, penalty: Column) -> Column:
-    p = F.lower(F.trim(F.coalesce(pack, F.lit(""))))
-    return F.struct(F.concat_ws(":", p, rule).alias("key"), p.alias("pack"), b.alias("bucket"), F.lit(kind).alias("kind"), points.cast("int").alias("points"), penalty.cast("int").alias("penalty"), rule.isin(*ROUTINE_RULES).alias("routine"))
+def _pointed(s: Column) -> Column:
+    """A named signal with its points and its penalty."""
+    b, clause, lore = s["bucket"], s["kind"] == "clause", s["rule"].isin(*LORE_RULES)
+    size = magnitude(b, s["weight"])
+    points = F.when(clause, size).when(b == "proxy", KEYWORD_POINTS["proxy"]).when(b == "suppressor", 0).otherwise(1)
+    penalty = F.when(b == "suppressor", F.when(lore, 4).otherwise(3) + F.when(clause, F.when(lore, 2).otherwise(1)).otherwise(0)).when(clause & (s["weight"] < 0), F.greatest(size, F.lit(1))).otherwise(0)
+    return _signal(s["pack"], s["rule"], b, s["kind"], points, penalty)
+
+
+def _signal(pack: Column, rule: Column, b: Column, kind: Column, points: Column, penalty: Column) -> Column:
+    return F.struct(F.concat_ws(":", pack, rule).alias("key"), pack.alias("pack"), b.alias("bucket"), kind.alias("kind"), points.cast("int").alias("points"), penalty.cast("int").alias("penalty"), rule.isin(*ROUTINE_RULES).alias("routine"))
 
 
 def _first_of_key(signals: str) -> Column:
@@ -131,7 +136,8 @@ def signals(df: DataFrame) -> DataFrame:
     Clauses come before keywords; a keyword whose rule a clause suppresses doesn't count.
     """
     every = F.concat(F.coalesce(F.transform("clauses", _of_clause), F.array().cast(NONE)), F.coalesce(F.transform("keywords", _of_keyword), F.array().cast(NONE)))
-    out = df.withColumn("_all", F.filter(every, lambda s: s["bucket"] != "neutral"))
+    out = df.withColumn("_named", F.filter(every, lambda s: s["bucket"] != "neutral"))
+    out = out.withColumn("_all", F.transform("_named", _pointed)).drop("_named")
     out = out.withColumn("_neg", F.filter("_all", lambda s: s["penalty"] > 0)).withColumn("_neg", _first_of_key("_neg"))
     suppressed = F.transform("_neg", lambda s: s["key"])
     out = out.withColumn("_pos", F.filter("_all", lambda s: (s["penalty"] == 0) & ~((s["kind"] == "keyword") & F.array_contains(suppressed, s["key"]))))
@@ -165,23 +171,28 @@ def pair_caps(df: DataFrame, families: dict[str, tuple[str, ...]] | None = None)
     """
     families = families or {}
 
-    def judged(p: Column) -> Column:
-        packs = [F.lower(F.trim(F.substring_index(p[k], ":", 1))) for k in ("k1", "k2")]
-        kinds = F.array(*[bucket(x, F.contains(p[k], F.lit(":"))) for x, k in zip(packs, ("k1", "k2"))])
-        has = lambda b: F.array_contains(kinds, b)
-        strong, both = has("proxy") | has("dod"), has("proxy") & has("dod")
-        two_packs = F.forall(kinds, lambda b: b.isin("proxy", "dod")) & (packs[0] != packs[1])
-        mine = [_families_of(x, families) for x in packs]
-        shared, joined = F.array_intersect(*mine), F.array_union(*mine)
-        light = ~strong & (has("starter") | has("context"))
-        cap = F.when(light, 1).when(strong, 3 + F.when(both | two_packs, 1).otherwise(0) + F.when(F.size(shared) > 0, 1).otherwise(0) - F.when(has("starter"), 1).otherwise(0)).otherwise(0)
-        labels = F.array_compact(F.array(F.when(light, "starter_only"), F.when(strong, "proxy_pair"), F.when(both, "proxy_dod_companion"), F.when(two_packs & ~both, "multi_pack"), F.when(strong & (F.size(shared) > 0), "family_relevant"), F.when(strong & has("starter"), "starter_mixed")))
-        told = F.when(light, F.array().cast("array<string>")).when(F.size(shared) > 0, shared).when(F.size(joined) == 1, joined).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.when(has("suppressor"), 0).otherwise(cap).cast("int").alias("cap"), labels.alias("labels"), told.alias("families"))
+    def named(p: Column) -> Column:
+        packs = [F.lower(F.trim(F.split(p[k], ":", 2)[0])) for k in ("k1", "k2")]
+        kinds = [bucket(x, F.contains(p[k], F.lit(":"))) for x, k in zip(packs, ("k1", "k2"))]
+        return F.struct(F.array(*kinds).alias("kinds"), (packs[0] != packs[1]).alias("apart"), F.array_intersect(*[_families_of(x, families) for x in packs]).alias("shared"), F.array_union(*[_families_of(x, families) for x in packs]).alias("joined"))
+
+    def sorted_out(n: Column) -> Column:
+        has = lambda b: F.array_contains(n["kinds"], b)
+        two = F.forall(n["kinds"], lambda b: b.isin("proxy", "dod")) & n["apart"]
+        return F.struct(has("suppressor").alias("dropped"), (has("proxy") | has("dod")).alias("strong"), (has("proxy") & has("dod")).alias("both"), has("starter").alias("starter"), (has("starter") | has("context")).alias("light"), two.alias("two"), (F.size(n["shared"]) > 0).alias("close"), n["shared"].alias("shared"), n["joined"].alias("joined"))
+
+    def judged(j: Column) -> Column:
+        light, strong = ~j["strong"] & j["light"], j["strong"]
+        cap = F.when(j["dropped"], 0).when(light, 1).when(strong, 3 + F.when(j["both"] | j["two"], 1).otherwise(0) + F.when(j["close"], 1).otherwise(0) - F.when(j["starter"], 1).otherwise(0)).otherwise(0)
+        labels = F.array_compact(F.array(F.when(light, "starter_only"), F.when(strong, "proxy_pair"), F.when(j["both"], "proxy_dod_companion"), F.when(j["two"] & ~j["both"], "multi_pack"), F.when(strong & j["close"], "family_relevant"), F.when(strong & j["starter"], "starter_mixed")))
+        nothing = F.array().cast("array<string>")
+        told = F.when(light, nothing).when(j["close"], j["shared"]).when(F.size(j["joined"]) == 1, j["joined"]).otherwise(nothing)
+        return F.struct(cap.cast("int").alias("cap"), labels.alias("labels"), told.alias("families"))
 
     none = F.array().cast("array<struct<cap:int,labels:array<string>,families:array<string>>>")
-    caps = F.filter(F.coalesce(F.transform("pairs", judged), none), lambda c: c["cap"] > 0)
-    return df.withColumn("_caps", caps).withColumn("starter_only_pairs", F.size(F.filter("_caps", lambda c: F.array_contains(c["labels"], "starter_only"))))
+    out = df.withColumn("_j", F.transform("pairs", named)).withColumn("_j", F.transform("_j", sorted_out))
+    caps = F.filter(F.coalesce(F.transform("_j", judged), none), lambda c: c["cap"] > 0)
+    return out.withColumn("_caps", caps).drop("_j").withColumn("starter_only_pairs", F.size(F.filter("_caps", lambda c: F.array_contains(c["labels"], "starter_only"))))
 
 
 def corroboration(df: DataFrame, families: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
