@@ -97,6 +97,28 @@ def test_ctw_equals_definition(spark):
         assert r["score"] == pytest.approx(want[r["doc_id"]] * math.log10(2), rel=1e-4), r["doc_id"]
 
 
+@pytest.mark.parametrize(("depth", "frequent_grams"), [(1, 1 << 20), (2, 5), (3, 0), (4, 50), (4, 1 << 20)])
+def test_ctw_keeps_every_context(spark, monkeypatch, depth, frequent_grams):
+    rng = random.Random(5)
+    texts = [(i, " ".join(rng.choice(["ab", "abc", "bca", "Q" + str(i), "é"]) for _ in range(rng.randrange(0, 25)))) for i in range(30)] + [(40, None), (41, "zzz \n q"), (42, "")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    coded = {i: b" ".join((t or "").encode().lower().split()) + b"\n" for i, t in texts}
+    want = dict(zip(coded, plain_ctw([coded[i] for i in coded if not held(i)], list(coded.values()), depth, 10**9)))
+    monkeypatch.setattr(ctw, "SUBTREE_ROWS", 20)
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in ctw.score_documents(frame, depth=depth, frequent_grams=frequent_grams).collect()}
+    assert any(map(held, coded)) and got == pytest.approx({i: x * math.log10(2) for i, x in want.items()}, rel=1e-9)
+
+
+def test_ctw_rare_context_has_its_own_node(spark):
+    common = [(i, "ab cd " * 4000) for i in range(20) if zlib.crc32(str(i).encode()) % 7 != 2]
+    key = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    train = [i for i in range(200, 250) if zlib.crc32(str(i).encode()) % 7 != 2][:5]
+    frame = spark.createDataFrame([*common, *((i, "xaby xaby") for i in train), (key, "xaby")], "doc_id long, text string")
+    whole, bounded = (next(r["score"] for r in ctw.score_documents(frame, spread=s).collect() if r["doc_id"] == key) for s in (None, 8192))
+    assert whole > bounded + 0.2
+
+
 @pytest.mark.parametrize("frequent", [1, 20000])
 def test_unigram_base_equals_definition(spark, documents, rows, frequent):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2

@@ -5,11 +5,22 @@ token). Every byte is coded as eight binary decisions; each decision has a conte
 preceding bytes. A node's Krichevsky-Trofimov (KT) estimate is mixed with its children's weighted
 probability, half and half, at every depth; the frozen mixture gives each byte's code length.
 
-Training is a Spark aggregation of all (context, byte) counts of all training documents. A context
-longer than one byte becomes a node if it holds at least 1 / ``spread`` of all bytes, so at most
-``spread`` nodes can exist at each depth, whatever the input: that is the model's proven size bound.
-What falls outside a node's kept children goes to one further child ("rest"), so each depth is a
-partition of the counts and nothing is dropped. The model is then small enough to send to every task.
+Training is a Spark aggregation of all (context, byte) counts of all training documents, and every
+counted context is a node, so the model grows with the text. A *gram* is a context of full depth
+and its byte. Grams that only held-out documents have are listed with a count of 0, so the table of
+grams has a probability for whatever is scored:
+
+1. The grams are dealt by the last ``SPLIT`` bytes of their contexts, so that a task has whole
+   subtrees. It weights them from the leaves upward, and folds each gram's forecast down to there.
+2. The levels above (at most 256 contexts) are sums over the subtrees; the driver weights them.
+3. Each gram's forecast is folded through those levels: that is the table (gram, log2 P).
+
+The most counted grams, at most ``FREQUENT_GRAMS``, are resolved where the documents are read; a
+document's other grams are joined with their counts to the table, as its rare words are.
+
+With ``spread`` the model is bounded instead: a context longer than one byte becomes a node only if
+it holds at least 1 / ``spread`` of all bytes, and what falls outside a node's kept children goes to
+one further child ("rest"). No query uses that.
 
 Word counts for the unigram base are exact. Words holding at least 1 / ``frequent`` of all tokens
 (at most ``frequent`` words) are resolved where the documents are read; all others are joined to
@@ -21,6 +32,7 @@ repeated rows are scored each; without training documents all counts are 0; extr
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -32,8 +44,10 @@ from .scratch import short_batches, stored
 from .textbytes import chunks, utf8_list
 
 DEPTH = 4
-SPREAD = 8192
+SPLIT = 2
 FREQUENT = 20000
+FREQUENT_GRAMS = 1 << 20
+SUBTREE_ROWS = 1 << 20
 CHUNK_BYTES = 2 << 20
 END = b"\n"
 LOG10_2 = float(np.log10(2.0))
@@ -70,7 +84,10 @@ def gram_keys(raw: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 
 def training_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word, gram, n): counts of words (the end is '') and of (context, byte), over all rows of one text column."""
+    """(word, gram, n): counts of words (the end is '') and of (context, byte), over all rows of a text column.
+
+    With a second, Boolean column, rows where it holds count as 0 and bring no words, only their grams.
+    """
 
     def count(batches):
         words: Counter = Counter()
@@ -98,11 +115,15 @@ def training_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
             raws = utf8_list(batch.column(0))
             for a, b in chunks(np.array([len(x) for x in raws], np.int64), CHUNK_BYTES):
                 rows = [words_of(x) for x in raws[a:b]]
-                for r in rows:
+                silent = np.array(batch.column(1)[a:b].to_pylist(), bool) if batch.num_columns > 1 else np.zeros(len(rows), bool)
+                for r in itertools.compress(rows, ~silent):
                     words.update(r)
-                words[b""] += len(rows)
-                raw, at, _ = coded_positions(rows, depth)
-                held.append(np.unique(gram_keys(raw, at, depth), return_counts=True))
+                    words[b""] += 1
+                for only in (~silent, silent):
+                    if only.any():
+                        raw, at, _ = coded_positions(list(itertools.compress(rows, only)), depth)
+                        k, c = np.unique(gram_keys(raw, at, depth), return_counts=True)
+                        held.append((k, np.where(only is silent, 0, c)))
                 if sum(len(k) for k, _ in held) > 1_000_000:
                     merge()
                 if len(words) > 500_000 or len(keys) > 2_000_000:
@@ -115,7 +136,7 @@ def training_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return texts.mapInArrow(count, "word string, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def kept_counts(grams: DataFrame, depth: int = DEPTH, spread: int = SPREAD) -> DataFrame:
+def kept_counts(grams: DataFrame, depth: int, spread: int) -> DataFrame:
     """(depth, context, byte, n) of the contexts that become nodes; depth 0 is the root."""
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     deep = grams.select("n", (F.col("gram").bitwiseAND(255)).cast("int").alias("byte"), F.shiftright("gram", 8).alias("all"), F.explode(F.array(*[F.lit(d) for d in range(depth + 1)])).alias("depth"))
@@ -225,14 +246,206 @@ class ContextTree:
         return np.add.reduceat(self.bits[state, raw[at]].astype(np.float64), np.cumsum(sizes) - sizes)
 
 
+# ---- the whole tree ----------------------------------------------------------------------------
+
+
+class Level:
+    """One depth of a set of subtrees: its (context, byte) entries, sorted, and its binary decisions."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        """``keys``: context (its last byte highest), then the byte; ascending."""
+        self.keys, self.spot, self.first, self.zeros, self.ones, self.kt, self.taken = keys, [], [], [], [], [], []
+        for k in range(8):
+            prefix = keys >> np.uint64(8 - k)
+            first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+            spot = np.cumsum(np.r_[False, prefix[1:] != prefix[:-1]])
+            bit = ((keys >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+            both, ones = np.add.reduceat(n, first), np.add.reduceat(n * bit, first)
+            chosen = np.where(bit == 1, ones[spot], (both - ones)[spot])
+            self.spot.append(spot)
+            self.first.append(first)
+            self.zeros.append(both - ones)
+            self.ones.append(ones)
+            self.kt.append(log_kt((both - ones).astype(float), ones.astype(float)))
+            self.taken.append((chosen + 0.5) / (both[spot] + 1.0))
+
+
+def weigh_subtrees(grams: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Whole subtrees of the contexts of ``SPLIT`` bytes, from their distinct grams and counts.
+
+    Returns (order of the grams, forecasts of the eight bits of each gram at the subtree's root,
+    decisions of the level above with the sums of their children (key, ln weighted, zeros, ones)).
+    """
+    split = min(SPLIT, depth)
+    turned = np.zeros(len(grams), np.uint64)
+    for d in range(depth):
+        turned |= ((grams >> np.uint64(8 * (d + 1))) & np.uint64(255)) << np.uint64(8 * (depth - d))
+    turned |= grams & np.uint64(255)
+    order = np.argsort(turned, kind="stable")
+    keys, n = turned[order], n[order]
+    levels, ups = [Level(keys, n)], []
+    for _ in range(depth - split):
+        keys, up = np.unique((keys >> np.uint64(16) << np.uint64(8)) | (keys & np.uint64(255)), return_inverse=True)
+        n = np.bincount(up, n, len(keys)).astype(np.int64)
+        levels.append(Level(keys, n))
+        ups.append(up)
+    half = np.log(0.5)
+    weighted, owns = levels[0].kt, []
+    for i, up in enumerate(ups):
+        above, own = [], []
+        for k in range(8):
+            kt = levels[i + 1].kt[k]
+            below = np.bincount(levels[i + 1].spot[k][up[levels[i].first[k]]], weighted[k], len(kt))
+            above.append(np.logaddexp(kt + half, below + half))
+            own.append(np.exp(kt + half - above[k]))
+        weighted = above
+        owns.append(own)
+    forecast = np.zeros((len(grams), 8))
+    for k in range(8):
+        p, entry = levels[0].taken[k], np.arange(len(grams))
+        for i, up in enumerate(ups):
+            entry = up[entry]
+            w = owns[i][k][levels[i + 1].spot[k][entry]]
+            p = w * levels[i + 1].taken[k][entry] + (1.0 - w) * p
+        forecast[:, k] = p
+    root = levels[-1]
+    at = np.concatenate([(root.keys[f] >> np.uint64(16) << np.uint64(8) | np.uint64((1 << k) - 1) + ((root.keys[f] & np.uint64(255)) >> np.uint64(8 - k))) for k, f in enumerate(root.first)])
+    node, where = np.unique(at, return_inverse=True)
+    return order, forecast, (node, *(np.bincount(where, np.concatenate(x), len(node)) for x in (weighted, root.zeros, root.ones)))
+
+
+_MODEL = "gram bigint, n bigint, bits binary, node bigint, below double, zeros bigint, ones bigint"
+
+
+def subtree_table(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Rows of grams (gram, n, forecasts of its bits) and of decisions above the subtrees (node, below, zeros, ones)."""
+    mask = (1 << (8 * min(SPLIT, depth))) - 1
+
+    def weigh(batches):
+        keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def put(keys: np.ndarray, n: np.ndarray):
+            order, forecast, (node, below, zeros, ones) = weigh_subtrees(keys.astype(np.uint64), n, depth)
+            a, b = len(keys), len(node)
+            bits = pa.Array.from_buffers(pa.binary(64), a, [None, pa.py_buffer(np.ascontiguousarray(forecast).tobytes())]).cast(pa.binary())
+            columns = [(pa.array(keys[order]), None), (pa.array(n[order]), None), (bits, None), (None, pa.array(node.astype(np.int64))), (None, pa.array(below)), (None, pa.array(zeros.astype(np.int64))), (None, pa.array(ones.astype(np.int64)))]
+            whole = [pa.concat_arrays([pa.nulls(a, y.type) if x is None else x, pa.nulls(b, x.type) if y is None else y]) for x, y in columns]
+            return pa.RecordBatch.from_arrays(whole, names=["gram", "n", "bits", "node", "below", "zeros", "ones"])
+
+        held: list = []
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(k) for k, _ in held) >= SUBTREE_ROWS:
+                keys, n = (np.concatenate(x) for x in zip(*held))
+                tree = (keys >> 8) & mask
+                cut = int(np.flatnonzero(tree != tree[-1])[-1]) + 1 if (tree != tree[-1]).any() else 0
+                if cut:
+                    yield put(keys[:cut], n[:cut])
+                held = [(keys[cut:], n[cut:])]
+        if held and sum(len(k) for k, _ in held):
+            yield put(*(np.concatenate(x) for x in zip(*held)))
+
+    tree = F.shiftright("gram", 8).bitwiseAND(mask)
+    return grams.select("gram", "n").repartition(tree).sortWithinPartitions(tree).mapInArrow(weigh, _MODEL)
+
+
+def top_levels(nodes, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(own weight, probability of a 0) per context and decision of each level above the subtrees, lowest level first.
+
+    ``nodes``: pandas frame (node, below, zeros, ones) of the lowest of these levels.
+    """
+    split = min(SPLIT, depth)
+    if not split:
+        return []
+    shape = (256 ** (split - 1), 256)
+    sums = [np.zeros(shape) for _ in range(3)]
+    for table, name in zip(sums, ("below", "zeros", "ones")):
+        table.reshape(-1)[nodes["node"].to_numpy(np.int64)] = nodes[name].to_numpy(float)
+    below, zeros, ones = sums
+    out, half = [], np.log(0.5)
+    for level in range(split - 1, -1, -1):
+        kt = log_kt(zeros, ones) + half
+        weighted = np.logaddexp(kt, below + half)
+        out.append((np.exp(kt - weighted), (zeros + 0.5) / (zeros + ones + 1.0)))
+        if level:
+            below, zeros, ones = (x.reshape(-1, 256, 256).sum(1) for x in (weighted, zeros, ones))
+    return out
+
+
+def log2_udf(top: list[tuple[np.ndarray, np.ndarray]], depth: int = DEPTH):
+    """Arrow UDF: (gram, forecasts of its bits) -> log2 P of its byte."""
+    split = min(SPLIT, depth)
+
+    @F.arrow_udf("double")
+    def log2_p(grams: pa.Array, bits: pa.Array) -> pa.Array:
+        keys = grams.to_numpy(zero_copy_only=False).astype(np.int64)
+        p = np.frombuffer(b"".join(bits.to_pylist()), np.float64).reshape(len(keys), 8)
+        byte, total = keys & 255, np.zeros(len(keys))
+        context = [np.zeros(len(keys), np.int64)]
+        for d in range(1, split):
+            context.append((context[-1] << 8) | ((keys >> (8 * d)) & 255))
+        for k in range(8):
+            q, at, bit = p[:, k], (1 << k) - 1 + (byte >> (8 - k)), (byte >> (7 - k)) & 1
+            for (own, zero), c in zip(top, reversed(context)):
+                w, z = own[c, at], zero[c, at]
+                q = w * np.where(bit == 1, 1.0 - z, z) + (1.0 - w) * q
+            total += np.log2(q)
+        return pa.array(total)
+
+    return log2_p
+
+
+class GramTable:
+    """log2 P of the most counted grams."""
+
+    def __init__(self, keys: np.ndarray, bits: np.ndarray, depth: int = DEPTH):
+        order = np.argsort(keys)
+        self.keys, self.bits, self.depth = keys[order].astype(np.uint64), bits[order].astype(np.float64), depth
+
+    def score(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(log2 P of each text without its other grams, and these grams: text, gram, count)."""
+        raw, at, sizes = coded_positions(words, self.depth)
+        grams = gram_keys(raw, at, self.depth)
+        key, where = np.unique(grams, return_inverse=True)
+        if len(self.keys):
+            spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[spot] == key
+            bits = np.where(known, self.bits[spot], 0.0)
+        else:
+            known, bits = np.zeros(len(key), bool), np.zeros(len(key))
+        total = np.add.reduceat(bits[where], np.cumsum(sizes) - sizes)
+        other = np.flatnonzero(~known[where])
+        text = np.searchsorted(np.cumsum(sizes), other, side="right")
+        pair, n = np.unique(text * len(key) + where[other], return_counts=True)
+        return total, pair // max(len(key), 1), key[pair % max(len(key), 1)], n
+
+
+def gram_table(counts: DataFrame, depth: int, most: int) -> tuple[GramTable, DataFrame]:
+    """(the most counted grams, at most ``most``; (gram, bits) of all others) from all grams and counts."""
+    model = stored(subtree_table(counts, depth), "ctw-model")
+    nodes = model.where("node is not null").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("below", "zeros", "ones"))).toPandas()
+    rank = F.floor(F.log2(F.col("n") + 1) * 8).cast("int")
+    grams = model.where("gram is not null").select("gram", "bits", rank.alias("rank"))
+    cut, total = None, 0
+    for r in sorted(grams.groupBy("rank").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        cut = r["rank"]
+    log2_p = log2_udf(top_levels(nodes, depth), depth)
+    often = grams.where(F.lit(False) if cut is None else F.col("rank") >= cut).select("gram", log2_p("gram", "bits").alias("bits")).toPandas()
+    others = grams.where(F.lit(True) if cut is None else F.col("rank") < cut).select("gram", log2_p("gram", "bits").alias("bits"))
+    return GramTable(often["gram"].to_numpy(np.int64), often["bits"].to_numpy(float), depth), others
+
+
 # ---- scoring -----------------------------------------------------------------------------------
 
-_SCORED = "n_tokens bigint, score double, known bigint, base double, rare array<struct<word:string,n:bigint>>"
-_SCORED_KIND = pa.struct([("n_tokens", pa.int64()), ("score", pa.float64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))])
+_SCORED = "n_tokens bigint, score double, known bigint, base double, rare array<struct<word:string,n:bigint>>, grams array<struct<gram:bigint,n:bigint>>"
+_SCORED_KIND = pa.struct([("n_tokens", pa.int64()), ("score", pa.float64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())])))])
 
 
-def scoring_udf(tree: ContextTree, frequent: dict[bytes, float]):
-    """Arrow UDF: text -> token count, log10 P, base terms of frequent words, and the rare words."""
+def scoring_udf(tree: ContextTree | GramTable, frequent: dict[bytes, float]):
+    """Arrow UDF: text -> token count, log10 P, base terms of frequent words, the rare words, and the grams that log10 P lacks."""
 
     @F.arrow_udf(_SCORED)
     def score(texts: pa.Array) -> pa.Array:
@@ -240,10 +453,20 @@ def scoring_udf(tree: ContextTree, frequent: dict[bytes, float]):
         n_tokens, scores, known, base = [], [], [], []
         names: list[bytes] = []
         counts: list[int] = []
-        ends = [0]
+        ends, gram_ends = [0], [np.zeros(1, np.int64)]
+        grams: list[np.ndarray] = []
+        gram_counts: list[np.ndarray] = []
         for a, b in chunks(np.array([len(x) for x in raws], np.int64), CHUNK_BYTES):
             rows = [words_of(x) for x in raws[a:b]]
-            scores += (tree.log2_probability(rows) * LOG10_2).tolist()
+            if isinstance(tree, GramTable):
+                log2, row, gram, n = tree.score(rows)
+                grams.append(gram)
+                gram_counts.append(n)
+                gram_ends.append(gram_ends[-1][-1] + np.cumsum(np.bincount(row, minlength=len(rows))))
+            else:
+                log2 = tree.log2_probability(rows)
+                gram_ends.append(np.repeat(gram_ends[-1][-1:], len(rows)))
+            scores += (log2 * LOG10_2).tolist()
             for r in rows:
                 n_tokens.append(len(r) + 1)
                 total, seen = 0.0, 0
@@ -261,23 +484,34 @@ def scoring_udf(tree: ContextTree, frequent: dict[bytes, float]):
                 ends.append(len(names))
         pairs = pa.StructArray.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["word", "n"])
         rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-        return pa.StructArray.from_arrays([pa.array(n_tokens, pa.int64()), pa.array(scores, pa.float64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), rare], fields=list(_SCORED_KIND))
+        every = pa.StructArray.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in (grams, gram_counts)], names=["gram", "n"])
+        lacking = pa.ListArray.from_arrays(pa.array(np.concatenate(gram_ends), pa.int32()), every)
+        return pa.StructArray.from_arrays([pa.array(n_tokens, pa.int64()), pa.array(scores, pa.float64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), rare, lacking], fields=list(_SCORED_KIND))
 
     return score
 
 
-def score_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, spread: int = SPREAD, frequent: int = FREQUENT) -> DataFrame:
+def score_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, spread: int | None = None, frequent: int = FREQUENT, frequent_grams: int = FREQUENT_GRAMS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     rows = short_batches(documents).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
-    counts = stored(training_counts(rows.where("not held_out").select("text"), depth), "ctw-counts")
+    counted = rows.select("text", "held_out") if spread is None else rows.where("not held_out").select("text")
+    counts = stored(training_counts(counted, depth), "ctw-counts")
     words = counts.where("word is not null").select("word", F.col("n").alias("c"))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = ContextTree(kept_counts(counts.where("gram is not null").select("gram", "n"), depth, spread).toPandas(), depth)
+    grams, others = counts.where("gram is not null").select("gram", "n"), None
+    if spread is None:
+        tree, others = gram_table(grams, depth, frequent_grams)
+    else:
+        tree = ContextTree(kept_counts(grams, depth, spread).toPandas(), depth)
     often = {r["word"].encode(): float(np.log10(r["c"] + 1)) for r in words.where(F.col("c") * frequent >= n).collect()}
     scored = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", scoring_udf(tree, often)("text").alias("s"))
     scored = stored(scored.select("row", "doc_id", "held_out", "s.*"), "ctw-scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     terms = rare.join(words.where(F.col("c") * frequent < n), "word").groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("also"))
-    out = scored.drop("rare").join(terms, "row", "left")
+    out = scored.drop("rare", "grams").join(terms, "row", "left")
+    if others is not None:
+        lacking = scored.select("row", F.explode("grams").alias("g")).select("row", "g.gram", "g.n").join(others, "gram")
+        lacking = lacking.groupBy("row").agg(F.sum(F.col("n") * F.col("bits") * LOG10_2).alias("deep"))
+        out = out.join(lacking, "row", "left").withColumn("score", F.col("score") + F.coalesce("deep", F.lit(0.0)))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(float(n + v + 1)))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
