@@ -94,6 +94,41 @@ def test_trigram_queries_hold_for_every_match(rule):
         assert re.search(rule.pattern, s) and holds(query, s.encode().lower())
 
 
+BODY = "\n".join(["MIIEpAIBAAKCAQEA" + "x7+/" * 12] * 3 + ["q9Zk=="])
+KEYS = {
+    "whole": f"-----BEGIN RSA PRIVATE KEY-----\n{BODY}\n-----END RSA PRIVATE KEY-----",
+    "dashes": f"-----BEGIN PRIVATE KEY-----\nid: a-b --- -----END CERTIFICATE-----\n{BODY}\n-----END PRIVATE KEY-----",
+    "escaped": "-----BEGIN PRIVATE KEY-----" + f"\n{BODY}\n".replace("\n", "\\n") + "-----END PRIVATE KEY-----",
+    "no end": f"-----BEGIN EC PRIVATE KEY-----\r\n  {BODY}",
+    "escaped, no end": "-----BEGIN PRIVATE KEY-----" + f"\n{BODY}".replace("\n", "\\n"),
+    "cut short": "-----BEGIN PRIVATE KEY-----\nMIIEpA",
+    "encrypted, no end": f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{BODY}",
+    "header": "-----BEGIN PRIVATE KEY-----",
+}
+
+
+@pytest.mark.parametrize("key", KEYS.values(), ids=KEYS)
+def test_private_key_span_holds_the_body(key):
+    rule = next(r for r in secrets.RULES if r.kind == "private_key")
+    after = "\nThe end of it." if key != KEYS["header"] else " begins a key"
+    text = f"Before: {key}{after}"
+    assert secrets.find_spans(text, rule, secrets.faster(rule)) == [(8, 8 + len(key))]
+    assert secrets.trigram_query(rule.pattern) == secrets.trigram_query("-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
+
+
+def test_private_key_without_end_stops_at_the_next_key():
+    text = f"{KEYS['no end']}\nSome prose here.\n{KEYS['whole']} and more"
+    spans = [{"start": a, "end": b} for _, a, b in secrets.brute_force(text)]
+    assert secrets.redacted_text(text, spans) == "[secret]\nSome prose here.\n[secret] and more"
+
+
+def test_pipeline_masks_whole_private_keys(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"a {k}\nThe end.") for i, k in enumerate(KEYS.values())], "doc_id long, text string")
+    assert {r["text"] for r in corpus_pipeline.mask_secrets(spark, docs, "").collect()} == {"a [secret]\nThe end."}
+
+
 def test_redaction_masks_each_span_once():
     assert secrets.redacted_text("ab token=abcdefgh cd", [{"start": 3, "end": 17}, {"start": 9, "end": 17}]) == "ab [secret] cd"
     assert secrets.redacted_text(None, []) is None

@@ -42,12 +42,21 @@ class Rule:
     at_least: int = 1
 
 
+#: A key runs to the END line of its label, short of another BEGIN line. Without that END it is the lines of base64 that
+#: follow (line breaks may be escaped), the last of which may be short.
+PRIVATE_KEY = (
+    r"-----BEGIN ((?:[A-Z]+ )?)PRIVATE KEY-----"
+    r"(?:(?:[^-]++|-(?!----(?:BEGIN |END \1PRIVATE KEY-----)))*+-----END \1PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[rn])*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{16,}+)*+"
+    r"(?:[ \t]*(?:\r\n?|\n|\\r\\n|\\n)[ \t]*[A-Za-z0-9+/=]+(?=[ \t]*(?:[\r\n]|\\[rn]|\Z)))?)"
+)
+
 #: The base rules (fixed values), then those that this operator adds.
 RULES = (
     Rule("assign", r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, 1),
+    Rule("private_key", PRIVATE_KEY, 0, 1),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     Rule("forge_token", r"(?:ghp|gho|ghs|ghu)_[A-Za-z0-9]+", 0, 40),
     Rule("chat_token", r"(?:xoxa|xoxb|xoxp|xoxs)-[A-Za-z0-9-]+", 0, 15),
