@@ -219,6 +219,16 @@ def test_code_covers_and_is_perfect():
     assert sizes.max() <= 33 and len(anchors) == sizes.sum()
 
 
+def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
+    rng = random.Random(11)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)) for _ in range(4))
+    rows = [(None, a, "x"), (None, a, None), (None, a, "y"), (5, b, "x"), (None, b, "x"), (3, c, "x"), (3, d, "x"), (7, c, "x"), (4, d, "y"), (3, d, "z"), (3, d, "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = [tuple(r) for r in simhash.one_of_each(frame).collect()]
+    assert sorted(r[1] for r in kept) == sorted([a, b, c, d]) and set(kept) <= set(rows)
+    assert {r[1]: r[0] for r in kept} == {a: None, b: 5, c: 3, d: 3}
+
+
 # ---- packing -------------------------------------------------------------------------------------
 
 

@@ -166,24 +166,40 @@ def hexadecimal(value: Column) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document."""
-    prints = stored(short_batches(documents).select(F.col(key).alias("doc_id"), fingerprint_udf(F.col(text)).alias("fp")), "simhash")
+def rooted(documents: DataFrame, key: str, text: str, most_bits: int, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp and ``more``) of every document; (fp, root, component_id) of every fingerprint."""
+    prints = stored(short_batches(documents).select(F.col(key).alias("doc_id"), fingerprint_udf(F.col(text)).alias("fp"), *more), "simhash")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     found = components(links(distinct.select("fp"), most_bits))
     grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = grouped.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+    return prints, grouped.select("fp", "root").join(smallest, "root")
+
+
+def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document."""
+    prints, groups = rooted(documents, key, text, most_bits)
+    return prints.join(groups.select("fp", "component_id"), "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def row_hash(rows: DataFrame) -> Column:
+    """A 64-bit hash of all columns; a null counts as a value of its own."""
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    values = [F.to_json(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in rows.schema]
+    return F.xxhash64(*values, *(F.col(c).isNull() for c in rows.columns))
 
 
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest id.
+    """The documents without near copies: of each component one row, that with the smallest id.
 
-    Of rows that share this id and their whole content one stays; a component with null ids only
-    keeps one row of each content. All columns are returned as they were.
+    Ids may repeat or be null (null is after all others): of rows that share the smallest id, the one
+    with the least hash of all columns stays. All columns are returned as they were.
     """
-    found = near_duplicates(documents, key, text)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = documents.join(keep, documents[key].eqNullSafe(keep["_keep"]), "left_semi")
-    return kept.dropDuplicates()
+    row = row_hash(documents)
+    prints, groups = rooted(documents, key, text, MOST_BITS, row.alias("_row_hash"))
+    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row_hash")).alias("first"))
+    first = first.join(groups.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = first.select(F.col("first.doc_id").alias("_keep"), F.col("first._row_hash").alias("_keep_hash"))
+    rows = documents.withColumn("_row_hash", row)
+    kept = rows.join(keep, rows[key].eqNullSafe(keep["_keep"]) & (rows["_row_hash"] == keep["_keep_hash"]), "left_semi")
+    return kept.drop("_row_hash").dropDuplicates()
