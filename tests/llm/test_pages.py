@@ -43,6 +43,67 @@ def test_pages_without_article(model):
     assert model.extract(html) == f"{LONG.strip()}\n{LONG.strip()}"
 
 
+#: Blocks of hand-labelled pages: + is content. Their class names are misleading, compound, or on no list.
+PROSE = "Prose of a paragraph, with commas, that goes on for a while. It has several sentences. They end with stops."
+LABELLED = [
+    "<div class='post-body side-by-side'>+p +p</div>",
+    "<article><h1>+</h1><div data-id='share-42' data-role=menu>+p</div></article>",
+    "<article class='post format-aside category-legal'>+p +p</article>",
+    "<div id=content class=share-enabled>+p +p</div>",
+    "<article>+p +p</article><div class=comments>-p -p -p -p -p -p -p -p</div>",
+    "<article>+p +p<section id=comments>-p -p -p -p -p -p</section></article>",
+    "<article>+p</article><ol class=comment-list><li class=comment id=comment-3><article>-p</article></li><li class=comment id=comment-4><article>-p</article></li></ol>",
+    "<div class=wrap><div><a href=x>-Home</a> <a href=y>News</a></div><div class=txt>+p <p>+Short.</p> +p</div><div class=cookie-banner>-We use cookies.</div></div>",
+    "<main>+p<div class=related-posts><h3>-Related</h3><ul><li><a href=a>-One</a></li><li><a href=b>-Two</a></li></ul></div></main>",
+    "<main>+p<div class=ad-slot><p>-Buy this now, it is cheap.</p></div>+p</main>",
+    "<main>+p</main><div id=left-sidebar>-p -p</div>",
+    "<header class=site-header><h1>-Site</h1></header><article><ul><li><a href=a>+Only links here</a></li></ul>+p</article>",
+]
+
+
+def labelled_blocks(page):
+    """(html, content blocks, other blocks) of a labelled page; every block gets its own number."""
+    import itertools
+    import re
+
+    number = itertools.count(1)
+    keep, drop = [], []
+
+    def block(m):
+        text = f"{m[2].strip() or 'Head'} {next(number)}" if m[2] != "p" else f"{PROSE} {next(number)}"
+        (keep if m[1] == "+" else drop).append(text)
+        return f"<p>{text}</p>" if m[2] == "p" else text
+
+    return "<html><body>" + re.sub(r"(?<=[>\s])([+-])(p(?![a-z])|[A-Z][^<]*|)", block, page) + "</body></html>", keep, drop
+
+
+def test_precision_and_recall_on_labelled_pages(model):
+    right = found = wanted = 0
+    for page in LABELLED:
+        html, keep, drop = labelled_blocks(page)
+        got = model.extract(html).split("\n")
+        right += len(set(got) & set(keep))
+        found += len([x for x in got if x])
+        wanted += len(keep)
+        assert keep and not set(keep) & set(drop)
+    assert right / found >= 0.95 and right / wanted >= 0.95, (right, found, wanted)
+
+
+def test_training_changes_the_model(spark):
+    """A name that no list has is learned from pages that label themselves, and is then dropped elsewhere."""
+    lesson = f"<html><body><main><p>{LONG}</p><aside class=qzx><p>{LONG}</p></aside><p>{LONG}</p></main></body></html>"
+    exam = f"<html><body><main><p>{LONG}</p><div class=qzx><p>Promise. {LONG}</p></div></main></body></html>"
+    trained = html_text.train(spark.createDataFrame([(i, "u", lesson, "h", "d", 1) for i in range(60)], PAGES))
+    untrained = html_text.TreeModel({})
+    assert "Promise" in untrained.extract(exam) and "Promise" not in trained.extract(exam)
+    assert trained.extract(exam) == LONG.strip()
+
+
+def test_very_long_and_deep_pages(model):
+    assert len(model.extract("<article>" + f"<p>{LONG}</p>" * 5000 + "</article>").split("\n")) == 5000
+    assert model.extract("<article>" + "<div>" * 12 + f"<p>{LONG}</p>") == LONG.strip()
+
+
 def test_marginals_equal_enumeration(model):
     import itertools
     import math
@@ -53,7 +114,7 @@ def test_marginals_equal_enumeration(model):
         s = (html_text.FRAME, *states)
         w = 0.0
         for i, n in enumerate(nodes[1:], 1):
-            w += model.edge_of(s[n.parent], n)[s[i]] + sum(model.node[f][s[i]] for f in html_text.features_of(n))
+            w += model.edge_of(s[n.parent], n)[s[i]] + model.own(n)[s[i]]
         weights[s] = math.exp(w)
     total = sum(weights.values())
     want = [sum(w for s, w in weights.items() if s[i] == html_text.CONTENT) / total for i in range(len(nodes))]
