@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
@@ -25,9 +25,11 @@ def short_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset (local tests)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset and Spark runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -47,3 +49,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, n: int = 1) -> list[str]:
+    """``n`` column names that ``df`` doesn't have (names are compared without case)."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if f"_c{k}" not in taken:
+            out.append(f"_c{k}")
+        k += 1
+    return out
+
+
+def join_frequent(rows: DataFrame, table: DataFrame, key: str, count: str, most: int = 10_000) -> DataFrame:
+    """Inner join of ``rows`` with a table of distinct, non-null keys that says how many rows each key has.
+
+    Keys of at least 1 / ``most`` of all rows (so at most ``most`` of them) are broadcast; only the rows of
+    rarer keys are shuffled, so no task gets a large share of the rows.
+    """
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    often = F.col(count) * most >= total
+    heavy, light = F.broadcast(table.where(often).drop(count)), table.where(~often).drop(count)
+    return rows.join(heavy, key).unionByName(rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key))
