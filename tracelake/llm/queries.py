@@ -85,24 +85,26 @@ FROM rows r LEFT JOIN groups g ON r.payload_digest = g.payload_digest
 
 OP7_SQL = """
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+'), lambda x: x <> '') AS w FROM documents
 ), b AS (
-  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+'), lambda x: x <> '') AS w FROM benchmark
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+'), lambda x: x <> '') AS w FROM benchmark
+), bn AS (SELECT item_id, w, least(5, len(w)) AS n FROM b WHERE len(w) > 0
 ), ds AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+  SELECT DISTINCT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM bn) ns ON len(w) >= n)
 ), bs AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)
-), n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
-SELECT doc_id, ds_bs.item_id AS item_id, CAST(k AS DOUBLE) / n AS containment
-FROM (SELECT doc_id, item_id, count(*) AS k FROM ds JOIN bs ON ds.s = bs.s GROUP BY doc_id, item_id) ds_bs
-JOIN n ON n.item_id = ds_bs.item_id WHERE k >= 0.8 * n
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bn)
+), sizes AS (SELECT item_id, count(*) AS size FROM bs GROUP BY item_id)
+SELECT doc_id, found.item_id AS item_id, CAST(k AS DOUBLE) / size AS containment
+FROM (SELECT doc_id, item_id, count(*) AS k FROM ds JOIN bs ON ds.n = bs.n AND ds.s = bs.s GROUP BY doc_id, item_id) found
+JOIN sizes ON sizes.item_id = found.item_id WHERE k >= 0.8 * size
 """
 
 OP8_SQL = """
 WITH r(rule_host, rule_path, rule_verdict) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
 ), p AS (
-  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
 ), m AS (
   SELECT page_id, host, path, rule_host || rule_path AS rule, rule_verdict,
          row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC NULLS LAST, rule_verdict DESC) AS k
