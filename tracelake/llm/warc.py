@@ -11,7 +11,8 @@ lost executor costs one task; ``export_bundles`` puts them out as files.
 Of records with equal payloads of at least ``LEAST_REVISIT`` bytes, that with the largest id is the response and
 the others revisit it. Defined results: null html is an empty payload; if several rows share the
 largest id they all are responses; a null id is never the largest, and a group with null ids only
-is all response; an empty table gives no bundle; extra columns are ignored.
+is all response; an empty table gives no bundle; extra columns are ignored. A record is held whole by
+the task that writes or reads it, and a frame holds at least one record, however long.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import short_batches
+from .scratch import short_batches, stored
 
 LEAST_REVISIT = 1000
+BROADCAST_GROUPS = 200_000
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 8 << 20
 SKIPPABLE = 0x184D2A5E
@@ -137,17 +139,24 @@ class BundleWriter:
 _BUNDLE_KIND = pa.schema([("bundle_id", pa.string()), ("archive", pa.binary()), ("n_records", pa.int64()), ("index", pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int32())])))])
 
 
-def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): which rows revisit which.
 
-    Only (digest, largest id) of repeated payloads is gathered, with partial sums; the payloads are
-    shuffled once by their digest in a join that Spark may split where one digest is very frequent.
+    (digest, largest id) of repeated payloads is gathered first, with partial sums. If these are checked to be few,
+    they go to all tasks and no payload is shuffled. Else payloads of frequent digests (at most
+    ``broadcast_groups``) are matched where they are, and only the others are shuffled by digest; short payloads never are.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    groups = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(groups.hint("merge"), "digest", "left")
-    refers = F.when(F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
+    long = F.octet_length("payload") >= least
+    groups = stored(rows.where(long).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1"), "warc-groups")
+    count, total = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    often = groups if count <= broadcast_groups else groups.where(F.col("n") * broadcast_groups >= total)
+    joined = rows.join(F.broadcast(often.drop("n")), "digest", "left")
+    if count > broadcast_groups:
+        open_rows, rare = joined.where(long & F.col("response").isNull()).drop("response"), groups.where(F.col("n") * broadcast_groups < total).drop("n")
+        joined = joined.where(~long | F.col("response").isNotNull()).unionByName(open_rows.join(rare, "digest", "left"))
+    refers = F.when(long & F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
