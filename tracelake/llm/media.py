@@ -5,13 +5,15 @@ Layout of an archive directory: ``<write>-<task>.arc`` files hold members one af
 member offsets, their number and a closing magic. ``_committed-<write>.json`` names the archives of
 a finished write, so files of failed or repeated tasks are never read.
 
-Reading plans byte ranges over the committed archives; a member belongs to the range in which its
-header starts. Each member is read and checked on its own: after a failed read only that member is
-fetched again, by its offset. Batches of bounded bytes go to Spark through Arrow.
+Reading plans byte ranges over the committed archives, at most ``MOST_RANGES`` of them; a member belongs to the
+range in which its header starts. Each member is read and checked on its own: after a failed read, or a
+failure to open or close the archive, only that member is fetched again, by its offset, after a
+growing pause. Member indexes and commit files are read the same way. Batches of bounded bytes go to Spark through Arrow.
 
 Defined results: null text is stored as an empty payload (576 filler bytes); a null key stays null;
 repeated keys are repeated members; an empty table gives an archive directory without members;
-extra columns are ignored. Texts are stored whole, whatever their length.
+extra columns are ignored. Texts are stored whole, whatever their length: a task holds one member whole
+(its text, its pixels and its PNG, some four times the text) besides the batch it stands in.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import time
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -41,7 +44,9 @@ HEADER = struct.Struct("<4siqI")
 FOOTER = struct.Struct("<q4s")
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 8 << 20
+MOST_RANGES = 100_000
 ATTEMPTS = 4
+PAUSE_SECONDS = 0.2
 PNG_START = b"\x89PNG\r\n\x1a\n"
 
 SCHEMA = "doc_id bigint, archive string, member_offset bigint, media binary"
@@ -128,24 +133,58 @@ class Wrote(WriterCommitMessage):
     members: int
 
 
-def read_member(opened, path: str, at: int, attempts: int = ATTEMPTS) -> tuple[int | None, bytes]:
-    """One member by its offset; a failed or damaged read is repeated for this member alone."""
-    last: Exception | None = None
-    for _ in range(attempts):
+class Retried:
+    """An open file whose reads are repeated: after any failure it is opened anew, after a pause that doubles."""
+
+    def __init__(self, open_file, path: str, attempts: int = ATTEMPTS, pause: float = PAUSE_SECONDS):
+        self.open_file, self.path, self.attempts, self.pause, self.file = open_file, path, attempts, pause, None
+
+    def close(self) -> None:
+        file, self.file = self.file, None
         try:
-            file = opened()
-            file.seek(at)
-            magic, key_bytes, media_bytes, crc = HEADER.unpack(file.read(HEADER.size))
-            if magic != MAGIC:
-                raise OSError("no member starts here")
-            key, media = file.read(key_bytes), file.read(media_bytes)
-            if len(media) != media_bytes or zlib.crc32(media, zlib.crc32(key)) != crc:
-                raise OSError("the member's checksum differs")
-            return (int(key) if key else None), media
-        except (OSError, struct.error) as e:
-            last = e
-            opened(True)
-    raise OSError(f"{path}: member at {at} can't be read after {attempts} attempts") from last
+            if file is not None:
+                file.close()
+        except OSError:
+            pass  # what was read is checked, so a failed close loses nothing
+
+    def do(self, action, what: str):
+        """``action(file)``; OSError, struct.error and ValueError lead to another attempt."""
+        last: Exception | None = None
+        for k in range(self.attempts):
+            if k:
+                time.sleep(self.pause * 2 ** (k - 1))
+            try:
+                if self.file is None:
+                    self.file = self.open_file()
+                return action(self.file)
+            except (OSError, struct.error, ValueError) as e:
+                last = e
+                self.close()
+        raise OSError(f"{self.path}: {what} can't be read after {self.attempts} attempts") from last
+
+
+def read_exactly(file, at: int, size: int) -> bytes:
+    file.seek(at)
+    data = file.read(size)
+    if len(data) != size:
+        raise OSError(f"{len(data)} bytes read where {size} are")
+    return data
+
+
+def read_member(archive: Retried, at: int) -> tuple[int | None, bytes]:
+    """One member by its offset; a failed or damaged read is repeated for this member alone."""
+
+    def once(file):
+        magic, key_bytes, media_bytes, crc = HEADER.unpack(read_exactly(file, at, HEADER.size))
+        if magic != MAGIC:
+            raise OSError("no member starts here")
+        body = read_exactly(file, at + HEADER.size, key_bytes + media_bytes)
+        key, media = body[:key_bytes], body[key_bytes:]
+        if zlib.crc32(media, zlib.crc32(key)) != crc:
+            raise OSError("the member's checksum differs")
+        return (int(key) if key else None), media
+
+    return archive.do(once, f"member at {at}")
 
 
 class ArchiveReader(DataSourceReader):
@@ -158,13 +197,14 @@ class ArchiveReader(DataSourceReader):
         import pyarrow.fs as fs
 
         store, root = _store(self.path)
-        out = []
+        archives = []
         for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if info.base_name.startswith("_committed-"):
-                with store.open_input_stream(info.path) as f:
-                    for archive, index_at, members in json.loads(f.read()):
-                        for start in range(0, index_at, self.range_bytes):
-                            out.append(ByteRange(archive, start, min(index_at, start + self.range_bytes), index_at, members))
+                commit = Retried(lambda path=info.path: store.open_input_stream(path), info.path)
+                archives += commit.do(lambda f: json.loads(f.read()), "commit")
+                commit.close()
+        size = max(self.range_bytes, -(-sum(index_at for _, index_at, _ in archives) // MOST_RANGES))
+        out = [ByteRange(name, start, min(index_at, start + size), index_at, members) for name, index_at, members in archives for start in range(0, index_at, size)]
         return out or [ByteRange("", 0, 0, 0, 0)]
 
     def read(self, part):
@@ -172,25 +212,15 @@ class ArchiveReader(DataSourceReader):
             return
         store, root = _store(self.path)
         path = f"{root}/{part.archive}"
-        held: dict = {}
-
-        def opened(again: bool = False):
-            if again and held:
-                held.pop("file").close()
-            if not held:
-                held["file"] = store.open_input_file(path)
-            return held["file"]
-
-        file = opened()
-        file.seek(part.index_at)
-        offsets = np.frombuffer(file.read(8 * part.members), "<i8")
+        archive = Retried(lambda: store.open_input_file(path), path)
+        offsets = np.frombuffer(archive.do(lambda f: read_exactly(f, part.index_at, 8 * part.members), "index"), "<i8")
         mine = offsets[(offsets >= part.start) & (offsets < part.end)]
         names = ["doc_id", "archive", "member_offset", "media"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary()]
         rows: list[tuple] = []
         size = 0
         for at in mine.tolist():
-            key, media = read_member(opened, path, at)
+            key, media = read_member(archive, at)
             rows.append((key, part.archive, at, media))
             size += len(media)
             if size >= self.batch_bytes:
@@ -198,7 +228,7 @@ class ArchiveReader(DataSourceReader):
                 rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
-        opened().close()
+        archive.close()
 
 
 class ArchiveWriter(DataSourceArrowWriter):
