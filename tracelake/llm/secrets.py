@@ -5,7 +5,8 @@ must satisfy. Each batch of documents is an index segment: postings (trigram ->
 for the trigrams that some query names, postings are intersected and united as the query says, and
 only the candidate rows are verified with the regex. Rules without mandatory trigrams scan every row.
 
-Trigrams are taken over bytes with A-Z lowered, so that one index serves case-blind rules.
+Trigrams are taken over bytes with A-Z lowered, so that one index serves case-blind rules. Where a rule is
+case-blind beyond ASCII, letters with case partners outside it (i, k, s and all non-ASCII ones) bind no trigram.
 
 Defined results: null text counts as empty; every row comes back with its spans (possibly none);
 offsets are code points, end exclusive; repeated rows are scanned like any other; an empty table
@@ -88,8 +89,9 @@ def _lowered(code: int) -> bytes:
     return chr(code).encode().translate(bytes(LOWER))
 
 
-def _parse(items) -> tuple[object, set[bytes] | None]:
-    """(query, the exact lowered literals if these are few, else None) of a parsed sequence."""
+def _parse(items, flags: int) -> tuple[object, set[bytes] | None]:
+    """(query, the exact lowered literals if these are few, else None) of a parsed sequence under ``flags``."""
+    blind = bool(flags & re.I) and not flags & re.A
     query: object = True
     exact: set[bytes] = {b""}
     whole = True
@@ -98,6 +100,10 @@ def _parse(items) -> tuple[object, set[bytes] | None]:
         nonlocal query, exact, whole
         query, exact, whole = _both("and", [query, trigrams_of(exact)]), {b""}, False
 
+    def open_letter(code: int) -> bool:
+        """Python matches i, k and s with letters outside ASCII too if case doesn't count."""
+        return blind and (code > 127 or chr(code) in "iksIKS")
+
     def append(literals: set[bytes]) -> None:
         nonlocal exact
         joined = {a + b for a in exact for b in literals}
@@ -107,16 +113,16 @@ def _parse(items) -> tuple[object, set[bytes] | None]:
         exact = joined
 
     for op, arg in items:
-        if op is K.LITERAL:
+        if op is K.LITERAL and not open_letter(arg):
             append({_lowered(arg)})
-        elif op is K.IN and all(o is K.LITERAL for o, _ in arg) and len(arg) <= 4:
+        elif op is K.IN and all(o is K.LITERAL and not open_letter(a) for o, a in arg) and len(arg) <= 4:
             append({_lowered(a) for _, a in arg})
         elif op is K.SUBPATTERN:
-            inner, literals = _parse(arg[3])
+            inner, literals = _parse(arg[3], (flags | arg[1]) & ~arg[2])
             query = _both("and", [query, inner])
             append(literals) if literals is not None else flush()
         elif op is K.BRANCH:
-            found = [_parse(x) for x in arg[1]]
+            found = [_parse(x, flags) for x in arg[1]]
             if all(x[1] is not None for x in found) and sum(len(x[1]) for x in found) <= MOST_LITERALS:
                 append(set().union(*(x[1] for x in found)))
             else:
@@ -124,7 +130,7 @@ def _parse(items) -> tuple[object, set[bytes] | None]:
                 query = _both("and", [query, _both("or", [_both("and", [q, True if s is None else trigrams_of(s)]) for q, s in found])])
         elif op in (K.MAX_REPEAT, K.MIN_REPEAT):
             low, high, body = arg
-            inner, literals = _parse(body)
+            inner, literals = _parse(body, flags)
             if (low, high) == (0, 1) and literals is not None:
                 append(literals | {b""})
             elif low == 0:
@@ -149,7 +155,8 @@ def _parse(items) -> tuple[object, set[bytes] | None]:
 
 def trigram_query(pattern: str) -> object:
     """The Boolean trigram query that every match of ``pattern`` satisfies; True: scan all."""
-    query, literals = _parse(P.parse(pattern))
+    parsed = P.parse(pattern)
+    query, literals = _parse(parsed, parsed.state.flags)
     return query if literals is None else _both("and", [query, trigrams_of(literals)])
 
 
