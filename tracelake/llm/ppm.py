@@ -11,7 +11,8 @@ All code lengths are worked out once for every known (context, byte) and every l
 costs a few table look-ups per byte for all languages at once.
 
 Training may use a bounded sample of labelled rows: about ``sample_bytes`` bytes of whole texts in
-all, shared equally by the languages and chosen by a hash of the id. Scoring covers every text whole.
+all, shared equally by the languages and chosen by a hash of id and text. Scoring covers every text whole.
+More than ``MOST_LANGUAGES`` labels are refused: such a column doesn't hold languages.
 
 Defined results: text that is null or has no letter (Unicode L) is ``und`` with score 0, as is every
 text if nothing could be learned; ties go to the language first in order; null ids are training rows; repeated
@@ -33,6 +34,7 @@ ORDER = 4
 SAMPLE_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 18
 TEMPER = 64
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 
 
@@ -177,12 +179,14 @@ def lowered(texts: pa.Array) -> pa.Array:
 def train(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> PpmModel:
     """Count context trees of the labelled rows that aren't held out (a bounded sample, see above)."""
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("k")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels in {lang}")
     share = {x: min(1.0, sample_bytes / len(sizes) / max(1, n)) for x, n in sizes.items()}
     if not share:
         return PpmModel([], [], order)
     limit = F.create_map(*[y for x, s in sorted(share.items()) for y in (F.lit(x), F.lit(s))])
-    chosen = rows.where(F.pmod(F.xxhash64("k"), F.lit(1_000_003)) / 1_000_003 < limit[F.col("lang")]).select("lang", "text")
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "k", "text"), F.lit(1_000_003)) / 1_000_003 < limit[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         for batch in batches:
