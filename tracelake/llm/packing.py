@@ -8,16 +8,20 @@ norm after placement (``rule="norm"``) or has the greatest weighted dot product
 
 A piece's vector depends on its length alone, so pieces of one length are interchangeable: best-fit is run
 over the histogram of lengths (at most ``capacity`` rows, however many documents there are) and over
-groups of equal bins. Its result, runs of (length, number range) -> (sequence numbers, offset), is bounded the same way.
+groups of equal bins. A bin that took a piece is an even better fit for the next of that length by norm, so
+it is filled at once; by dot product it is a worse one, so pieces are dealt one to each bin in turn. The result, runs of (length, number range) -> (sequence numbers, offset), is bounded the same way.
 Every piece then gets its number among those of its length - counted by (length, bucket), with
-many buckets to a length, so that one frequent length is no hot key - and looks up its place.
+many buckets to a length, also for rows equal in every column, so that one frequent length is no hot key - and looks up its place.
 
 Defined results: null text counts as empty (the closing id alone); null ids and repeated rows are
-packed like any other; an empty table gives no rows; extra columns are ignored.
+packed like any other; an empty table gives no rows; extra columns are ignored; of bins that fit equally
+well the first opened takes the piece. A text of any length is tokenised whole by one task, in memory of
+some 20 bytes for each of its words.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from array import array
@@ -185,40 +189,57 @@ def best_fit(histogram: dict[int, int], limits: Capacities = Capacities()) -> li
         if (need > full).any():
             raise ValueError(f"a piece of {length} tokens exceeds an empty sequence")
         left, number = int(histogram[length]), 0
-        feasible = np.flatnonzero((groups[:, :3] >= need).all(1))
-        residual = groups[feasible, :3]
-        worth = np.sqrt((((residual - need) * weights) ** 2).sum(1)) if limits.rule == "norm" else -((residual * weights) * (need * weights)).sum(1)
-        queue = feasible[np.argsort(worth, kind="stable")].tolist()
         made: list[list[int]] = []
 
-        def fill(g: list[int], bins: int, per: int) -> None:
-            """Put ``per`` pieces into each of the first ``bins`` bins of a group."""
+        def fill(g: list[int], bins: int, per: int) -> list[int]:
+            """Put ``per`` pieces into each of the first ``bins`` bins of a group, which become a group of their own."""
             nonlocal left, number
             runs.append((length, number, bins * per, g[4], per, g[3]))
             number += bins * per
             left -= bins * per
-            made.append([g[0] - per * length, g[1] - per, g[2] - per * length * length, g[3] + per * length, g[4], bins])
+            done = [g[0] - per * length, g[1] - per, g[2] - per * length * length, g[3] + per * length, g[4], bins]
             g[4] += bins
             g[5] -= bins
-
-        for at in queue:
-            if not left:
-                break
-            g = groups[at].tolist()
-            fits = int((groups[at, :3] // need).min())
-            if bins := min(g[5], left // fits):
-                fill(g, bins, fits)
-            if g[5] and left:
-                fill(g, 1, left)
-            groups[at] = g
+            return done
+
+        def room(g: list[int]) -> int:
+            return min(int(g[i] // need[i]) for i in range(3))
+
+        if limits.rule == "norm":
+            feasible = np.flatnonzero((groups[:, :3] >= need).all(1))
+            worth = np.sqrt((((groups[feasible, :3] - need) * weights) ** 2).sum(1))
+            for at in feasible[np.lexsort((groups[feasible, 4], worth))].tolist():
+                if not left:
+                    break
+                g = groups[at].tolist()
+                fits = room(g)
+                if bins := min(g[5], left // fits):
+                    made.append(fill(g, bins, fits))
+                if g[5] and left:
+                    made.append(fill(g, 1, left))
+                groups[at] = g
+        else:
+            dot = lambda g: float(((np.array(g[:3]) * weights) * (need * weights)).sum())
+            heap = [(-dot(g), g[4], g) for g in groups.tolist() if room(g)]
+            heapq.heapify(heap)
+            groups = groups[(groups[:, :3] < need).any(1)]
+            while heap and left:
+                _, _, g = heapq.heappop(heap)
+                done = fill(g, min(g[5], left), 1)
+                for part in (g, done):
+                    if part[5] and room(part):
+                        heapq.heappush(heap, (-dot(part), part[4], part))
+                    elif part[5]:
+                        made.append(part)
+            made += [g for _, _, g in heap]
         if left:  # open new bins
-            fits = int((full // need).min())
+            fits = room(full.tolist())
             g = [*full.tolist(), 0, fresh, -(-left // fits)]
             fresh += g[5]
             if left >= fits:
-                fill(g, left // fits, fits)
+                made.append(fill(g, left // fits, fits))
             if left:
-                fill(g, 1, left)
+                made.append(fill(g, 1, left))
         groups = np.concatenate([groups, np.array(made, np.int64).reshape(-1, 6)])
         groups = groups[(groups[:, 5] > 0) & (groups[:, 0] > 0)]
     return runs
@@ -226,7 +247,7 @@ def best_fit(histogram: dict[int, int], limits: Capacities = Capacities()) -> li
 
 def place_pieces(pieces: DataFrame, limits: Capacities = Capacities(), buckets: int = BUCKETS) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset."""
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
     rows = stored(pieces.withColumn("bucket", bucket), "pieces")
     counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     order = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
