@@ -42,11 +42,16 @@ def test_media_failed_tasks_leave_no_members(spark, documents, tmp_path):
 def test_media_member_is_read_again_by_itself(tmp_path):
     record = media.HEADER.pack(media.MAGIC, 1, 3, zlib.crc32(b"abc", zlib.crc32(b"7"))) + b"7abc"
     file = tmp_path / "x"
-    file.write_bytes(record)
+    file.write_bytes(b"-" * 5 + record)
     calls = []
 
     class Flaky:
+        """Opening fails once, the first read is short, and closing always fails."""
+
         def __init__(self):
+            calls.append("open")
+            if len(calls) == 1:
+                raise OSError("not now")
             self.f = file.open("rb")
 
         def seek(self, at):
@@ -55,12 +60,26 @@ def test_media_member_is_read_again_by_itself(tmp_path):
 
         def read(self, n):
             data = self.f.read(n)
-            return data[:-1] if len(calls) == 1 and n == 3 else data
+            return data[:-1] if len(calls) == 3 else data
+
+        def close(self):
+            self.f.close()
+            raise OSError("close")
 
-    assert media.read_member(lambda again=False: Flaky(), "x", 0) == (7, b"abc") and calls == [0, 0]
-    file.write_bytes(record[:-1] + b"x")
+    assert media.read_member(media.Retried(Flaky, "x", pause=0.001), 5) == (7, b"abc")
+    assert calls == ["open", "open", 5, "open", 5, 5 + media.HEADER.size]
+    file.write_bytes(b"-" * 5 + record[:-1] + b"x")
     with pytest.raises(OSError):
-        media.read_member(lambda again=False: Flaky(), "x", 0)
+        media.read_member(media.Retried(Flaky, "x", pause=0.001), 5)
+
+
+def test_media_ranges_grow_with_the_whole(spark, documents, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/media"
+    media.write_media(documents, path)
+    n = media.read_media(spark, path).count()
+    monkeypatch.setattr(media, "MOST_RANGES", 2)
+    parts = media.ArchiveReader({"path": path, "rangebytes": "10"}).partitions()
+    assert len(parts) <= 2 + len({p.archive for p in parts}) and sum(len(list(b.column(0))) for p in parts for b in media.ArchiveReader({"path": path}).read(p)) == n
 
 
 def test_secrets_equal_brute_force(documents, nothing, rows):
@@ -77,6 +96,15 @@ def test_secrets_equal_brute_force(documents, nothing, rows):
     assert secrets.scan_secrets(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("pattern", "text"), [("(?i)secretkey=[a-z]+", "\u017fecretkey=abc"), ("(?i:api)[_]kind", "AP\u0131_kind"), ("(?i)\u00e9tok3n", "\u00c9TO\u212a3N")])
+def test_case_partners_outside_ascii_are_found(spark, pattern, text):
+    rules = (secrets.Rule("own", pattern),)
+    frame = spark.createDataFrame([(1, f"see {text} here"), (2, "nothing")], "doc_id long, text string")
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["secrets"]] for r in secrets.scan_secrets(frame, rules).collect()}
+    assert found == {1: [("own", 4, 4 + len(text))], 2: []} and found[1] == secrets.brute_force(f"see {text} here", rules)
+    assert secrets.trigram_query("(?i)foobar") == secrets.trigram_query("foobar") and secrets.trigram_query("(?ai)skis") == secrets.trigram_query("skis")
+
+
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
 def test_trigram_queries_hold_for_every_match(rule):
     query = secrets.trigram_query(rule.pattern)
@@ -160,11 +188,59 @@ def test_contamination_equals_brute_force(spark, nothing):
     want = plain_contamination(docs, items)
     got = {tuple(r) for r in dc.contamination(d, b).collect()}
     assert got == want and len(want) > 24
-    blocks = list(dc.item_blocks(b, block_bytes=800))
-    assert len(blocks) > 1 and sum(len(x.items) for x in blocks) == 7
+    assert {tuple(r) for r in dc.contamination(d, b, block_bytes=0).collect()} == want
+    flat = lambda f: {(r["doc_id"], i["item_id"], i["containment"]) for r in f.collect() for i in r["items"]}
+    assert flat(dc.find_contained(d, b)) == flat(dc.find_contained(d, b, block_bytes=0)) == want
+    assert dc.find_contained(d, b, block_bytes=0).count() == len(docs)
     assert dc.contamination(nothing, b).count() == 0 and dc.contamination(d, b.limit(0)).count() == 0
 
 
+def test_size_classes_have_tables_of_their_own():
+    assert [dc.size_class(n) for n in (0, 1, 16, 17, 32, 33, 64, 65)] == [0, 0, 0, 1, 1, 2, 2, 3] and dc.sketch_size(40) == 24
+    words = lambda n: " ".join(f"u{n}x{i}" for i in range(n))
+    index = dc.ItemIndex([(n, words(n)) for n in (1, 2, 5, 20, 21, 40, 100)])
+    assert set(index.tables) == {(0, 1), (0, 2), (0, 5), (1, 5), (2, 5), (3, 5)}
+
+
+def test_many_short_items_and_repeated_rows(spark):
+    """One-word items make every document a candidate of all; repeated rows and items match each."""
+    items = [(i, w) for i, w in enumerate(["the", "The", "a b", "of", "zebra"] * 40)]
+    docs = [(1, "the a b the"), (1, "the a b the"), (2, "of " * 3000 + "the"), (3, "b a")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, dc.contamination(d, b).collect()))
+    assert got == sorted((k, i, 1.0) for k, t in docs for i, w in items if w.lower() in {" ".join(x) for x in zip(t.split(), t.split()[1:])} | set(t.split()))
+    assert sorted(map(tuple, dc.contamination(d, b, block_bytes=0).collect())) == got
+
+
+def test_large_benchmarks_are_joined_not_collected(spark):
+    d, b = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    near, far = dc.contamination(d, b), dc.contamination(d, b, block_bytes=1000)
+    assert near.count() > 0 and near.exceptAll(far).count() == far.exceptAll(near).count() == 0
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Join" in plan and plan.count("MapInArrow") >= 1
+
+
+def test_language_ties_and_dirty_labels(spark, monkeypatch):
+    import numpy as np
+
+    table = (np.array([0x6162636465], np.uint64), np.array([3.0]))
+    model = ppm.PpmModel(["aa", "bb"], [table, table])
+    bits = model.text_bits(np.frombuffer(b"abcde", np.uint8), np.array([0, 5]))
+    assert bits[0, 0] == bits[0, 1] and bits.argmin(1)[0] == 0
+    monkeypatch.setattr(ppm, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        ppm.train(spark.createDataFrame([(i, "text", f"l{i}") for i in range(9)], "doc_id long, text string, lang string"))
+
+
+def test_language_sample_is_bounded_with_null_and_repeated_ids(spark, monkeypatch):
+    rows = [(None if i % 2 else 7, f"text number {i} " * 50, "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(ppm, "PpmModel", lambda languages, tables, order: seen.update(n=sum(t[1].sum() for t in tables)))
+    ppm.train(docs, sample_bytes=60_000)
+    assert 30_000 < seen["n"] < 90_000
+
+
 def test_language_codes_are_exact(spark):
     rng = random.Random(2)
     table = {}

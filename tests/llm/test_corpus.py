@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tracelake.llm import ctw, packing, ppm, simhash
 
@@ -229,6 +230,34 @@ def test_one_row_of_each_component_with_null_and_repeated_ids(spark):
     assert {r[1]: r[0] for r in kept} == {a: None, b: 5, c: 3, d: 3}
 
 
+def test_whole_rows_with_maps_and_clashing_names(spark):
+    rows = [(1, "a b c d e", {"x": 1, "y": 2}, [1], 5), (1, "a b c d e", {"y": 2, "x": 1}, [1], 5), (2, "a b c d e", {}, None, 6), (3, None, None, [], 7), (4, "", None, [], 8), (5, "q r s", None, None, None)] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, `_c0` array<int>, h1 int").repartition(3)
+    kept = simhash.one_of_each(frame)
+    assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5]
+    assert simhash.one_of_each(frame.limit(0)).count() == 0
+
+
+def test_whole_rows_are_shuffled_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = simhash.one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    wide = [line for line in plan.splitlines() if re.search(r"\bExchange hashpartitioning", line)]
+    assert "SortMergeJoin" in plan and len(wide) <= 6
+
+
+@pytest.mark.parametrize("most", [1, 3, 10_000])
+def test_frequent_keys_are_joined_where_they_are(spark, most):
+    from tracelake.llm.scratch import join_frequent
+
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2] * 20 + [3, 4, 5])], "k long, i long")
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10)
+    got = join_frequent(rows, table, "k", "n", most)
+    assert got.count() == 73 and got.where("v = k * 10").count() == 73 and "n" not in got.columns
+    assert join_frequent(rows.limit(0), table.limit(0), "k", "n", most).count() == 0
+
+
 # ---- packing -------------------------------------------------------------------------------------
 
 
@@ -287,6 +316,46 @@ def plain_best_fit(lengths, limits):
     return len(bins)
 
 
+def histogram_bins(lengths, limits):
+    bins = {}
+    for length, _, count, sequence, per, _ in packing.best_fit(Counter(lengths), limits):
+        for k in range(count):
+            bins.setdefault(sequence + k // per, []).append(length)
+    return sorted(sorted(x) for x in bins.values())
+
+
+def plain_bins(lengths, limits):
+    bins, full = [], np.array([limits.tokens, limits.documents, limits.attention])
+    w = np.array(limits.weights) / full
+    for n in sorted(lengths, reverse=True):
+        need = np.array([n, 1, n * n])
+        fits = [(np.sqrt((((b - need) * w) ** 2).sum()) if limits.rule == "norm" else -((b * w) * (need * w)).sum(), i) for i, (b, _) in enumerate(bins) if (b >= need).all()]
+        k = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append((full, []))
+        bins[k] = (bins[k][0] - need, [*bins[k][1], n])
+    return sorted(sorted(x) for _, x in bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize(("documents", "attention"), [(100, 10000), (3, 10000), (6, 2500), (2, 1500)])
+def test_bins_equal_best_fit_piece_by_piece(rule, documents, attention):
+    """Also where the document count or the attention cost is what binds."""
+    rng = random.Random(documents)
+    limits = packing.Capacities(100, documents, attention, (1.0, 0.37, 0.11), rule)
+    most = min(100, int(attention**0.5))
+    for _ in range(8):
+        lengths = [rng.randrange(1, most + 1) for _ in range(60)] + [rng.choice([3, 5, most // 2]) for _ in range(60)]
+        assert histogram_bins(lengths, limits) == plain_bins(lengths, limits)
+
+
+def test_repeated_rows_with_null_ids_share_no_window(spark):
+    frame = spark.createDataFrame([(None, 0, 0, 5, 1)] * 5000, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    placed = packing.place_pieces(frame).collect()
+    assert len({(p["sequence_id"], p["offset"]) for p in placed}) == 5000
+    check_packing(placed, 4096)
+
+
 @pytest.mark.parametrize("limits", [packing.Capacities(100, 100, 10000), packing.Capacities(100, 4, 10000), packing.Capacities(100, 6, 3000), packing.Capacities(100, 6, 10000, (1.0, 2.0, 0.5), "dot")])
 def test_best_fit_over_the_histogram(limits):
     rng = random.Random(9)
@@ -333,7 +402,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         least[k] = min(least.get(k, r["doc_id"]), r["doc_id"])
     rows = [r for r in rows if r["doc_id"] in set(least.values())]
     index = dc.ItemIndex(items)
-    rows = [r for r in rows if all(index.verify(r["text"].lower().encode(), i) < 0.8 for i in range(len(index.items)))]
+    rows = [r for r in rows if max(index.verify(r["text"].lower().encode(), range(len(index.items)))) < 0.8]
     for r in rows:
         r["text"] = secrets.redacted_text(r["text"], [{"start": a, "end": b} for _, a, b in secrets.brute_force(r["text"])])
     want = sorted((r["doc_id"], len(plain_ids(r["text"]))) for r in rows)
@@ -349,3 +418,48 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert stage.columns == docs.columns
     mostly = ppm.identify_languages(docs).where("language.lang_pred = lang").count()
     assert mostly > 0.9 * docs.count()
+
+
+HARD = "doc_id long, text string, lang string, source string, n_chars int, `_language` string, `_items` array<int>, `_secrets` string, `_c0` int, tags map<string,string>, root long"
+
+
+def hard_rows():
+    """Null, empty, blank, repeated, tied and very long rows, with columns named like those the stages used."""
+    same = "the quick brown fox jumps over the lazy dog and runs away from it again"
+    long = " ".join(f"word{i % 977} runs" for i in range(60_000))
+    texts = [(1, same), (2, same), (2, same), (None, same), (None, "a text without an id stays"), (3, None), (4, ""), (5, " \n "), (6, long), (7, "12345 67"), (8, "password: hunter22abc is here"), (9, "benchmark item stands here in full")]
+    return [(i, t, "en", "s", len(t or ""), "own", [1, 2], "mine", 7, {"k": "v"}, 5) for i, t in texts]
+
+
+@pytest.mark.parametrize("place", range(4))
+def test_stages_take_hard_rows(spark, tmp_path, place):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(hard_rows(), HARD).repartition(2)
+    spark.createDataFrame([(1, "Benchmark item stands here in full"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    name, stage = corpus_pipeline.STAGES[place]
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    rows = [(r[0], r[1]) for r in hard_rows()]
+    if name == "language":
+        want = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    elif name == "near_duplicates":
+        want = [(1, rows[0][1]), (None, rows[4][1]), (3, None), rows[8], rows[9], rows[10], rows[11]]
+    elif name == "decontaminate":
+        want = [r for r in rows if r[0] != 9]
+    else:
+        want = [(i, "[secret] is here" if i == 8 else t) for i, t in rows]
+    assert got == sorted(want, key=str)
+    assert all((r["_language"], r["_items"], r["_secrets"], r["_c0"], r["tags"]) == ("own", [1, 2], "mine", 7, {"k": "v"}) for r in out.collect())
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_last_stage_takes_hard_rows(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(hard_rows(), HARD)
+    out = corpus_pipeline.pack(spark, docs, "").collect()
+    assert {p["doc_id"] for p in out} == {None, *range(1, 10)} and sum(p["length"] for p in out) == sum(len(plain_ids(r[1])) for r in hard_rows())
+    check_packing(out, 4096)
+    assert corpus_pipeline.pack(spark, docs.limit(0), "").count() == 0

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.llm import html_text, url_rules, warc
 
@@ -169,6 +170,10 @@ def test_warc_round_trip(spark):
             head, _ = warc.read_record(archive, e["frame"], e["offset"], e["length"])
             assert head["WARC-Record-ID"] == f"<urn:page:{'null' if e['page_id'] is None else e['page_id']}>"
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
+    plain = warc.with_revisits(pages)
+    for few in (0, 1):
+        assert sorted(map(tuple, warc.with_revisits(pages, broadcast_groups=few).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert "SortMergeJoin" not in plain._jdf.queryExecution().executedPlan().toString()
 
 
 def test_warc_files_are_plain_zstandard(spark, tmp_path):
@@ -210,6 +215,17 @@ def test_url_rules_equal_brute_force(spark):
     assert url_rules.judge_urls(pages.limit(0), url_rules.rule_table(spark)).count() == 0
 
 
+def test_long_urls_expand_into_few_expressions(spark):
+    long = "http://" + "a." * 50_000 + "example.org/en/1" + "x" * 50_000
+    pages = spark.createDataFrame([(1, long, None, None, None, None)], PAGES)
+    r = url_rules.judge_urls(pages, url_rules.rule_table(spark)).first()
+    assert (r["host"], r["path"], r["rule"], r["verdict"]) == judge(long, url_rules.RULES)
+    e = url_rules.expressions(F.col("host"), F.col("path"), [1, 2], [1, 4, 5])
+    frame = spark.createDataFrame([("a.b.c", "/x/"), ("c", "/xyz"), ("", "")], "host string, path string")
+    got = [[(x["host"], x["prefix"]) for x in r["e"]] for r in frame.select(e.alias("e")).collect()]
+    assert got == [[("c", "/"), ("b.c", "/")], [("c", "/"), ("c", "/xyz")], []]
+
+
 def test_url_plan_has_no_python(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     plan = url_rules.judge_urls(pages, url_rules.rule_table(spark))._jdf.queryExecution().executedPlan().toString()
