@@ -6,8 +6,10 @@
 4. secrets: every secret span in a text is masked; the document stays.
 5. packing: all documents are packed into sequences (one row per piece).
 
-All stages but the last return the columns of ``documents``. A null text has no language and goes in
-the first stage; an empty table passes through all stages.
+All stages but the last return the columns of ``documents``, whatever their names and types. A null text has
+no language and goes in the first stage (the others take it as empty); repeated rows are one row after the
+second; null ids are packed like any other; texts of any length stay whole; an empty table passes through
+all stages.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import decontaminate as dc
 from tracelake.llm import packing, ppm, secrets, simhash
-from tracelake.llm.scratch import stored
+from tracelake.llm.scratch import fresh, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ppm.identify_languages(docs, name="_language")
-    return found.where(F.col("_language.lang_pred") != ppm.UNKNOWN).drop("_language")
+    (found,) = fresh(docs)
+    return ppm.identify_languages(docs, name=found).where(F.col(found)["lang_pred"] != ppm.UNKNOWN).drop(found)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +33,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return dc.find_contained(docs, benchmark, name="_items").where(F.size("_items") == 0).drop("_items")
+    (items,) = fresh(docs)
+    return dc.find_contained(docs, benchmark, name=items).where(F.size(items) == 0).drop(items)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scanned = secrets.scan_secrets(docs, name="_secrets")
-    masked = F.when(F.size("_secrets") > 0, secrets.redact_udf()(F.col("text"), F.col("_secrets"))).otherwise(F.col("text"))
-    out = scanned.withColumn("text", masked).drop("_secrets")
+    (spans,) = fresh(docs)
+    masked = F.when(F.size(spans) > 0, secrets.redact_udf()(F.col("text"), F.col(spans))).otherwise(F.col("text"))
+    out = secrets.scan_secrets(docs, name=spans).withColumn("text", masked).drop(spans)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
