@@ -1,5 +1,6 @@
 """Operators over the whole corpus: CTW scores, SimHash components, packing, the pipeline."""
 
+import functools
 import itertools
 import math
 import random
@@ -7,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -261,11 +263,16 @@ def test_frequent_keys_are_joined_where_they_are(spark, most):
 # ---- packing -------------------------------------------------------------------------------------
 
 
-def plain_ids(text):
+@functools.cache
+def whole_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)).encode(text or "", add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+
+
+def plain_ids(text):
+    return [*whole_tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def check_packing(pieces, capacity):
@@ -296,10 +303,20 @@ def test_packing_equals_tokenizer_and_fills_gapless(documents, nothing, rows):
 def test_words_alone_have_the_ids_of_the_text():
     import public_tokenizers
 
+    from tracelake.llm.textbytes import utf8_views
+
     words = packing.WordIds(public_tokenizers.path(packing.TOKENIZER))
-    texts = ["It's they're DON'T x'll'd", "a<|endoftext|>b <|startoftext|> <|EndOfText|>", "é Ȩ́ ﬁ Straße İstanbul ΣΑΣ ς", "tabs\tand\x0bmore nbsp em \x1c", "1234 a1b2 ½ ² ...!!! $%& ,,", "東京 日本語 한국어 हिन्दी", "\U0001f600 \x00 ퟿", "ÀÿþÐ×÷ µª º", "", "  "]
-    for t in texts:
-        assert [*words.encode([t.encode()])[0].tolist(), 1] == plain_ids(t), t
+    texts = ["It's they're DON'T x'll'd", "a<|endoftext|>b <|startoftext|> <|EndOfText|> <|ENDOFTEXT|>", "é Ȩ́ ﬁ Straße İstanbul ΣΑΣ ς", "tabs\tand\x0bmore nbsp em \x1c", "1234 a1b2 ½ ² ...!!! $%& ,,", "東京 日本語 한국어 हिन्दी", "\U0001f600 \x00 ퟿", "ÀÿþÐ×÷ µª º ÉÈ, ßẞ ÞÑ!?! a,b (c) d.e.f. 'q' \"r\" e\u0301 E\u0301. Ã ã Â\u00a0x", "", "  "]
+    rng = random.Random(8)
+    letters = "aBcdEé É ß × ÷ ' , . ! ( ) - 1 2 \t \n ñ Ñ Ω я 漢 \u0301 \u00a0 < | >"
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 60))) for _ in range(3000)]
+    want = [plain_ids(t)[:-1] for t in texts]
+    for _ in range(2):  # parts unknown, then known
+        ids, at = words.encode(*utf8_views(pa.array(texts)))
+        assert [ids[x:y].tolist() for x, y in itertools.pairwise(at.tolist())] == want
+    words.forget()
+    for t, w in zip(texts[:400], want):
+        assert words.encode(*utf8_views(pa.array([t])))[0].tolist() == w, t
 
 
 def plain_best_fit(lengths, limits):

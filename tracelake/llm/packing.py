@@ -16,15 +16,13 @@ many buckets to a length, also for rows equal in every column, so that one frequ
 Defined results: null text counts as empty (the closing id alone); null ids and repeated rows are
 packed like any other; an empty table gives no rows; extra columns are ignored; of bins that fit equally
 well the first opened takes the piece. A text of any length is tokenised whole by one task, in memory of
-some 20 bytes for each of its words.
+some 60 times its bytes.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,24 +32,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scratch import short_batches, stored
-from .textbytes import utf8_list
+from .textbytes import LOWER, chunks, span_hashes, utf8_views, words_of
 
 CAPACITY = 4096
 END_ID = 1
 BUCKETS = 1024
 TOKENIZER = "word_bpe_49k.json"
-MOST_KNOWN_WORDS = 400_000
+MOST_KNOWN = 400_000
+CHUNK_BYTES = 1 << 20
 
 
 # ---- tokens ------------------------------------------------------------------------------------
 
-#: Letters whose lower case and composed form are plain, with ASCII punctuation (no apostrophe) after them.
-SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Byte classes: 1 a letter whose lower case and composed form are plain (A-Z, a-z, and À-ÿ of two bytes, see
+#: ``classes_of``), 2 ASCII punctuation without the apostrophe (which may begin a contraction), 0 all else.
+LETTER, PUNCTUATION = 1, 2
+KIND = np.zeros(256, np.uint8)
+KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = PUNCTUATION
+KIND[[b for b in range(128) if chr(b).isalpha()]] = LETTER
+LATIN, TIMES, DIVIDED = 0xC3, 0x97, 0xB7  # the first byte of U+00C0-U+00FF, and the second bytes of its two signs
+
+
+def classes_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of every byte, bytes with plain letters lowered)."""
+    kind, low = KIND[raw], LOWER[raw]
+    second = np.flatnonzero(raw[:-1] == LATIN) + 1
+    second = second[(raw[second] != TIMES) & (raw[second] != DIVIDED)]
+    kind[second] = kind[second - 1] = LETTER
+    low[second[raw[second] < 0x9F]] += 32
+    return kind, low
 
 
 class WordIds:
-    """Token ids word by word: white space always separates this tokenizer's words, so ids of a
-    text are those of its blank-separated parts; known parts are looked up."""
+    """Token ids by parts of words. White space always separates this tokenizer's words, so a text's ids are those of
+    its blank-separated words; a word of plain letters with punctuation after them has the ids of the
+    lowered letters, then those of the punctuation. Any other word is one part as it stands.
+
+    Parts are found, hashed (64 bits) and looked up for many texts at once; only parts never met before go
+    to the tokenizer. The table of parts starts anew beyond ``MOST_KNOWN``.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -63,73 +82,69 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.parts: dict[str, bytes] = {}  # ids as little-endian bytes: small objects
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts, self.sizes = array("q"), array("q")
-
-    def _parts(self, parts: list[str]) -> None:
-        """Learn the ids of lowered letter runs and punctuation runs, many in one call."""
-        for s in range(0, len(parts), 2000):
-            some = parts[s : s + 2000]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        self.keys = np.zeros(0, np.uint64)  # hashes of known parts, sorted, with the place and number of their ids
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def ids_of(self, parts: list[str], plain: list[bool]) -> list[np.ndarray]:
+        """Ids of each part; plain parts (lowered letters, or punctuation) go many to a call."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(parts)
+        easy = [i for i, x in enumerate(plain) if x]
+        for s in range(0, len(easy), 2000):
+            some = easy[s : s + 2000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(parts[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some):
-                raw, at = ids.tobytes(), 0
-                for p, end in zip(some, (4 * ends).tolist()):
-                    self.parts[p] = raw[at:end]
-                    at = end
+                for i, x in zip(some, np.split(ids, ends[:-1])):
+                    out[i] = x
             else:
-                for p in some:
-                    self.parts[p] = np.array(self.full.encode(p, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        split = [SIMPLE.fullmatch(t) for t in texts]
-        wanted = {p for m in split if m for p in (m[1].lower(), m[2]) if p}
-        self._parts([p for p in wanted if p not in self.parts])
-        others = [t for t, m in zip(texts, split) if not m]
-        rest = iter(self.full.encode_batch_fast(others, add_special_tokens=False)) if others else iter(())
-        parts, raws = self.parts, []
-        for m in split:
-            if not m:
-                raws.append(np.array(next(rest).ids, np.uint32).tobytes())
-            elif m[2]:
-                raws.append(parts[m[1].lower()] + parts[m[2]])
-            else:
-                raws.append(parts[m[1].lower()])
-        self.place.update(zip(words, range(len(self.starts), len(self.starts) + len(words))))
-        sizes = np.array([len(r) for r in raws], np.int64) // 4
-        ends = self.used + np.cumsum(sizes)
-        while ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used : ends[-1]] = np.frombuffer(b"".join(raws), np.uint32)
-        self.starts.frombytes((ends - sizes).tobytes())
-        self.sizes.frombytes(sizes.tobytes())
-        self.used = int(ends[-1])
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text."""
-        if len(self.place) > MOST_KNOWN_WORDS:
-            self.forget()
-        rows = [t.split() for t in texts]
-        known = self.place
-        new = {w for r in rows for w in r if w not in known}
-        if new:
-            self.learn(sorted(new))
-        starts, sizes = np.array(self.starts), np.array(self.sizes)
-        out = []
-        for r in rows:
-            if not r:
-                out.append(np.zeros(0, np.uint32))
-                continue
-            at = np.fromiter(map(known.__getitem__, r), np.int64, len(r))
-            n = sizes[at]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends + n, n)])
+                for i in some:
+                    out[i] = np.array(self.full.encode(parts[i], add_special_tokens=False).ids, np.uint32)
+        hard = [i for i, x in enumerate(plain) if not x]
+        for i, x in zip(hard, self.full.encode_batch_fast([parts[i] for i in hard], add_special_tokens=False) if hard else ()):
+            out[i] = np.array(x.ids, np.uint32)
         return out
 
+    def learn(self, keys: np.ndarray, parts: list[str], plain: list[bool]) -> None:
+        ids = self.ids_of(parts, plain)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        at = np.searchsorted(self.keys, keys)
+        self.starts = np.insert(self.starts, at, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes, self.keys = np.insert(self.sizes, at, sizes), np.insert(self.keys, at, keys)
+        self.flat = np.concatenate([self.flat, *ids])
+
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids begin + their number) for texts given as bytes and offsets."""
+        start, end, first = words_of(raw, off)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        kind, low = classes_of(raw)
+        before = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+        letters, odd = before(kind == LETTER), before(kind == 0)
+        back = before((kind == LETTER) & np.concatenate([[False], kind[:-1] == PUNCTUATION]))  # letters after punctuation
+        whole = (odd[end] > odd[start]) | (back[end] > back[start + 1])
+        middle = np.where(whole, end, start + letters[end] - letters[start])
+        as_is = np.zeros(len(raw) + 1, np.int64)
+        np.add.at(as_is, start[whole], 1)
+        np.add.at(as_is, end[whole], -1)
+        low = np.where(np.cumsum(as_is[:-1]) > 0, raw, low)
+        a, b = np.stack([start, middle], 1).reshape(-1), np.stack([middle, end], 1).reshape(-1)
+        used = np.flatnonzero(b > a)
+        a, b = a[used], b[used]
+        key, sample, which = np.unique(span_hashes(low, a, b), return_index=True, return_inverse=True)
+        if len(self.keys) > MOST_KNOWN:
+            self.forget()
+        spot = np.searchsorted(self.keys, key)
+        new = np.flatnonzero(self.keys[np.minimum(spot, len(self.keys) - 1)] != key) if len(self.keys) else np.arange(len(key))
+        if len(new):
+            data, at = low.tobytes(), sample[new]
+            self.learn(key[new], [data[x:y].decode("utf-8", "replace") for x, y in zip(a[at].tolist(), b[at].tolist())], (~whole[used[at] // 2]).tolist())
+            spot = np.searchsorted(self.keys, key)
+        sizes = self.sizes[spot][which]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[spot][which] - ends + sizes, sizes)]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(used, 2 * first)]
+
 
 _TOKENIZERS: dict[str, WordIds] = {}
 
@@ -143,18 +158,25 @@ def tokenizer_of(path: str) -> WordIds:
 
 def pieces_udf(path: str, capacity: int = CAPACITY, end_id: int = END_ID):
     """Arrow UDF: text -> array<struct<piece, start, length, ids_crc32>>."""
-    kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+    names = ["piece", "start", "length", "ids_crc32"]
 
     @F.arrow_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>")
     def cut(texts: pa.Array) -> pa.Array:
         words = tokenizer_of(path)
-        out = []
-        raws = utf8_list(texts)
-        for s in range(0, len(raws), 500):
-            for ids in words.encode(raws[s : s + 500]):
-                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                out.append([{"piece": k, "start": a, "length": len(part), "ids_crc32": zlib.crc32(part.tobytes())} for k, a in enumerate(range(0, len(ids), capacity)) for part in (ids[a : a + capacity],)])
-        return pa.array(out, kind)
+        raw, off = utf8_views(texts)
+        rows: list[tuple[int, int, int, int]] = []
+        ends = [0]
+        for a, b in chunks(np.diff(off), CHUNK_BYTES):
+            every, at = words.encode(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+                ids = np.append(every[s:e], np.uint32(end_id)).astype("<u4")
+                for k, start in enumerate(range(0, len(ids), capacity)):
+                    part = ids[start : start + capacity]
+                    rows.append((k, start, len(part), zlib.crc32(part.tobytes())))
+                ends.append(len(rows))
+        columns = np.array(rows, np.int64).reshape(-1, 4).T
+        pieces = pa.StructArray.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns)], names=names)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces)
 
     return cut
 

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -219,14 +220,12 @@ def faster(rule: Rule) -> re.Pattern:
     return re.compile(f"{single[1]}{{{rule.at_least},}}" if single and rule.group == 0 else rule.pattern)
 
 
-def secrets_udf(rules: tuple[Rule, ...]):
-    """Arrow UDF: text -> array<struct<kind, start, end>> ordered by start, then the rules' order."""
+def scanner(rules: tuple[Rule, ...]):
+    """A function: array of texts -> (texts of the rows with spans, spans of each row as (start, rule, end))."""
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = sorted(set().union(*map(named_trigrams, queries)))
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
-    def scan(texts: pa.Array) -> pa.Array:
+    def scan(texts: pa.Array) -> tuple[dict[int, str], list[list[tuple[int, int, int]]]]:
         raw, off = utf8_views(texts)
         lists = postings(raw, off, wanted)
         found: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
@@ -239,11 +238,41 @@ def secrets_udf(rules: tuple[Rule, ...]):
                 if i not in whole:
                     whole[i] = raws[i].decode("utf-8", "replace")
                 found[i] += [(a, k, b) for a, b in find_spans(whole[i], rule, compiled)]
-        return pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(x)] for x in found], kind)
+        return whole, [sorted(x) for x in found]
 
     return scan
 
 
+def secrets_udf(rules: tuple[Rule, ...]):
+    """Arrow UDF: text -> array<struct<kind, start, end>> ordered by start, then the rules' order."""
+    scan = scanner(rules)
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    @F.arrow_udf("array<struct<kind:string,start:bigint,end:bigint>>")
+    def spans(texts: pa.Array) -> pa.Array:
+        return pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in x] for x in scan(texts)[1]], kind)
+
+    return spans
+
+
+def mask_udf(rules: tuple[Rule, ...] = RULES, mask: str = "[secret]"):
+    """Arrow UDF: text -> text with every secret replaced, found and masked in one visit."""
+    scan = scanner(rules)
+
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        whole, found = scan(texts)
+        rows = [i for i, x in enumerate(found) if x]
+        if not rows:
+            return texts
+        changed = pa.array([redacted_text(whole[i], [{"start": a, "end": b} for a, _, b in found[i]], mask) for i in rows], texts.type)
+        chosen = np.zeros(len(texts), bool)
+        chosen[rows] = True
+        return pc.replace_with_mask(texts, pa.array(chosen), changed)
+
+    return masked
+
+
 def scan_secrets(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "secrets") -> DataFrame:
     """``documents`` with a column of all secret spans."""
     return short_batches(documents).withColumn(name, secrets_udf(tuple(rules))(F.col(text)))
@@ -267,14 +296,6 @@ def redacted_text(text: str | None, spans: list, mask: str = "[secret]") -> str
     return "".join([*out, text[at:]])
 
 
-def redact_udf(mask: str = "[secret]"):
-    @F.arrow_udf("string")
-    def redact(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([redacted_text(t, s, mask) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
-
-    return redact
-
-
 def secret_digest(scanned: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, the digest of base spans, and the listing of all spans."""
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
