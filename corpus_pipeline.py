@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm import decontaminate as dc
 from tracelake.llm import packing, ppm, secrets, simhash
-from tracelake.llm.scratch import fresh, stored
+from tracelake.llm.scratch import fresh, short_batches, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    (spans,) = fresh(docs)
-    masked = F.when(F.size(spans) > 0, secrets.redact_udf()(F.col("text"), F.col(spans))).otherwise(F.col("text"))
-    out = secrets.scan_secrets(docs, name=spans).withColumn("text", masked).drop(spans)
+    out = short_batches(docs).withColumn("text", secrets.mask_udf()(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
