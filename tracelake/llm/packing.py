@@ -86,32 +86,32 @@ class WordIds:
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def ids_of(self, parts: list[str], plain: list[bool]) -> list[np.ndarray]:
-        """Ids of each part; plain parts (lowered letters, or punctuation) go many to a call."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(parts)
-        easy = [i for i, x in enumerate(plain) if x]
-        for s in range(0, len(easy), 2000):
-            some = easy[s : s + 2000]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(parts[i] for i in some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some):
-                for i, x in zip(some, np.split(ids, ends[:-1])):
-                    out[i] = x
-            else:
-                for i in some:
-                    out[i] = np.array(self.full.encode(parts[i], add_special_tokens=False).ids, np.uint32)
-        hard = [i for i, x in enumerate(plain) if not x]
-        for i, x in zip(hard, self.full.encode_batch_fast([parts[i] for i in hard], add_special_tokens=False) if hard else ()):
-            out[i] = np.array(x.ids, np.uint32)
-        return out
-
-    def learn(self, keys: np.ndarray, parts: list[str], plain: list[bool]) -> None:
-        ids = self.ids_of(parts, plain)
-        sizes = np.array([len(x) for x in ids], np.int64)
+    def plain_ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each part) of lowered letters and of punctuation, in one call."""
+        ids = np.array(self.bare.encode_batch_fast([b" ".join(parts).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(parts) else self.other_ids(parts)
+
+    def other_ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each part) of any parts."""
+        found = self.full.encode_batch_fast([x.decode("utf-8", "replace") for x in parts], add_special_tokens=False)
+        return np.array([i for x in found for i in x.ids], np.uint32), np.array([len(x.ids) for x in found], np.int64)
+
+    def learn(self, keys: np.ndarray, parts: list[bytes], plain: np.ndarray) -> None:
+        """Add parts, given with their hashes (ascending)."""
+        groups = [np.flatnonzero(plain)[i : i + 5000] for i in range(0, int(plain.sum()), 5000)]
+        groups += [x for x in (np.flatnonzero(~plain),) if len(x)]
+        starts, sizes = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        flat, used = [self.flat], len(self.flat)
+        for group in groups:
+            some = [parts[i] for i in group.tolist()]
+            ids, n = self.plain_ids(some) if plain[group[0]] else self.other_ids(some)
+            starts[group], sizes[group] = used + np.cumsum(n) - n, n
+            flat.append(ids)
+            used += len(ids)
         at = np.searchsorted(self.keys, keys)
-        self.starts = np.insert(self.starts, at, len(self.flat) + np.cumsum(sizes) - sizes)
-        self.sizes, self.keys = np.insert(self.sizes, at, sizes), np.insert(self.keys, at, keys)
-        self.flat = np.concatenate([self.flat, *ids])
+        self.starts, self.sizes, self.keys = np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes), np.insert(self.keys, at, keys)
+        self.flat = np.concatenate(flat)
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin + their number) for texts given as bytes and offsets."""
@@ -138,7 +138,7 @@ class WordIds:
         new = np.flatnonzero(self.keys[np.minimum(spot, len(self.keys) - 1)] != key) if len(self.keys) else np.arange(len(key))
         if len(new):
             data, at = low.tobytes(), sample[new]
-            self.learn(key[new], [data[x:y].decode("utf-8", "replace") for x, y in zip(a[at].tolist(), b[at].tolist())], (~whole[used[at] // 2]).tolist())
+            self.learn(key[new], [data[x:y] for x, y in zip(a[at].tolist(), b[at].tolist())], ~whole[used[at] // 2])
             spot = np.searchsorted(self.keys, key)
         sizes = self.sizes[spot][which]
         ends = np.cumsum(sizes)
