@@ -18,7 +18,7 @@ def column(spark, values, f):
     [
         (nz.clean_text, ["  a \n b ", "", " None", "N/A", None, "nan"], ["a b", None, None, None, None, None]),
         (nz.naics_code, ["54-13 30", "x1", "--", None], ["541330", "X1", None, None]),
-        (nz.company_key, ["Acme & Sons, Inc.", "The Co of LLC", "Inc", None, " "], ["ACME SONS", "THE", "INC", None, None]),
+        (nz.company_key, ["Acme & Sons, Inc.", "The Co of LLC", "Inc", None, " "], ["ACME SONS", "THE CO OF LLC", "INC", None, None]),
         (nz.identifier_token, ["ab-12/3", "", None], ["AB123", None, None]),
         (nz.contract_family, ["ABCDEF1234P0001", "ABCDEFMOD12", "SHORTP1", "ABCDEFGH"], ["ABCDEF1234", "ABCDEF", None, None]),
         (nz.keyword_pack, ["Pack:Rule", "solo", " a|b:c "], ["pack", "solo", "a/b"]),

@@ -163,3 +163,63 @@ def test_stream_ingest_drops_repeats(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(source))
     streaming.ingest(stream, lambda df, _: df.write.mode("append").parquet(str(out)), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r["hash"] for r in spark.read.parquet(str(out)).collect()) == ["h1", "h2"]
+
+
+def test_rule_table_to_tags(spark):
+    texts = spark.createDataFrame([('{"defaults": {"default_weight": 2, "case_insensitive": false}, "packs": [{"id": "p", "rules": [{"id": "a", "type": "phrase", "pattern": "Acme"}, {"id": "bad", "type": "regex", "pattern": "(["}, {"id": "n", "type": "regex", "pattern": "(?P<y>20\\\\d\\\\d)", "weight": 7}]}, {"id": "off", "enabled": false, "rules": [{"id": "z", "type": "phrase", "pattern": "e"}]}]}',)], "t string")
+    rules = landed.flat_rules(landed.parsed_ontologies(texts, "t"))
+    df = spark.createDataFrame([(1, "Acme 2024"), (2, "acme"), (3, None)], "id long, snippet string")
+    got = {r["id"]: (r["keywords"], r["tag_score"], [c["match"] for c in r["clauses"]]) for r in tagging.tag(df, rules).collect()}
+    assert got == {1: (["p:a", "p:n"], 9, ["Acme", "2024"]), 2: ([], 0, []), 3: ([], 0, [])}
+    spaced = spark.createDataFrame([('{"packs": [{"rules": [{"id": "a"}], "id": "p"}], "defaults": {}}',), ('{"defaults":{},"packs":[{"id":"p","rules":[{"id":"a"}]}]}',)], "t string")
+    one = landed.ontology_summary(landed.parsed_ontologies(spaced, "t")).distinct().collect()
+    assert [(r["packs"], r["rules"], len(r["sha256"])) for r in one] == [(1, 1, 64)]
+
+
+def test_windows_and_switches():
+    assert filters.posted_window(today="2024-03-31") == ("2024-03-01", "2024-03-31")
+    assert filters.posted_window(posted_from="2024-01-01", posted_to="2024-01-02") == ("2024-01-01", "2024-01-02")
+    for bad in ({"days": 0}, {"days": 366}, {"posted_from": "2024-01-01"}, {"days": 3, "posted_from": "2024-01-01", "posted_to": "2024-01-02"}, {"posted_from": "2024-01-03", "posted_to": "2024-01-02"}):
+        with pytest.raises(ValueError):
+            filters.posted_window(**bad)
+    assert filters.clamped_window((None, None), "a", "b") == ("a", "b") and filters.clamped_window(("2024-01-05", "2024-02-01"), None, "2024-03-01") == ("2024-01-05", "2024-02-01")
+    assert filters.any_filter(source=None, agency="") is False and filters.any_filter(uei="x")
+
+
+def test_first_rows_are_the_same_in_every_order(spark):
+    rows = [("k", i, [i], {"a": i}) for i in range(50)] + [(None, 1, None, None), (None, 2, None, None)]
+    schema = "hash string, n int, xs array<int>, m map<string,int>"
+    one, two = (merge.first_rows(spark.createDataFrame(r, schema).select("hash", "n", "xs"), "hash").collect() for r in (rows, rows[::-1]))
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == 2
+    assert merge.first_rows(spark.createDataFrame(rows, schema), "hash", ("n",)).where("hash = 'k'").first()["n"] == 0
+    assert merge.new_rows(spark.createDataFrame([("k",)], "hash string"), spark.createDataFrame(rows, schema)).count() == 1
+
+
+def test_runs_skip_stages(spark):
+    from tracelake.operators import runs
+
+    new = spark.createDataFrame([(1, "h1", "urgent", "U1", "Acme", AT, 5.0), (2, "h2", "calm", None, None, AT, 1.0), (3, "h1", "urgent", "U1", "Acme", AT, 5.0)], "id long, hash string, snippet string, recipient_uei string, recipient_name string, occurred_at timestamp, amount double")
+    known = spark.createDataFrame([(9, "u1", None, None, None, "x")], "entity_id long, uei string, duns string, cage string, recipient_id string, name string")
+    rules = [{"pack": "p", "rule": "r", "type": "phrase", "pattern": "URGENT", "weight": 4}]
+    run = runs.source_run(spark.createDataFrame([("h9",)], "hash string"), new, rules, known, lane_names=("same_uei",))
+    assert [(r["id"] in (1, 3), r["score"]) for r in run.snapshot.collect()] == [(True, 14)]
+    assert run.ledger.first().asDict() == {"fetched": 3, "normalized": 3, "inserted": 2, "status": "success"}
+    assert entities.link_counters(run.links).first().asDict() == {"scanned": 2, "linked": 1, "skipped_no_name": 1, "created": 0}
+    bare = runs.source_run(new.limit(0).select("hash"), new, rules, known, skip=("ingest", "link", "correlate"))
+    assert bare.events.count() == 3 and bare.links is None and bare.correlations is None and bare.skipped == ["ingest", "link", "correlate"] and bare.snapshot.count() == 2
+    with pytest.raises(ValueError):
+        runs.source_run(new, new, rules, known, skip=("nothing",))
+
+
+def test_versions_and_explanations(spark):
+    from tracelake.operators import surfaces
+
+    side = lambda rows: spark.createDataFrame(rows, "id long, rank int, score int")
+    r = surfaces.version_overlap(side([(1, 1, 9), (2, 2, 8), (3, 3, 7)]), side([(2, 1, 9), (4, 2, 5)]), top=2).first()
+    assert tuple(r) == (1, 1, 1, 3, 2)
+    kind = "b struct<clause_score:int,noise_penalty:int,pair_bonus:int,keyword_score:int,entity_bonus:int,lead_family:string>"
+    rows = spark.createDataFrame([((1, 0, 0, 0, 0, None), (3, 2, 1, 1, 1, "f")), ((1, 0, 0, 0, 0, "f"), (1, 0, 0, 0, 0, "f"))], f"{kind}, t{kind[1:]}")
+    got = [r[0] for r in rows.select(surfaces.delta_explanation(F.col("b"), F.col("t"), ("clause_score", "noise_penalty", "pair_bonus", "keyword_score", "entity_bonus", "lead_family"))).collect()]
+    assert got == ["clauses +2; keywords +1; entity +1; pair +1", "No material score-component change."]
+    with pytest.raises(ValueError):
+        surfaces.query_leads(rows, sort_by="nonsense")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Texts that count as missing (fixed values).
 NULL_LIKE = ("", "null", "none", "n/a", "nan")
 #: Words that a company name is compared without (fixed values).
-NAME_STOP_WORDS = ("A", "AN", "AND", "CO", "COMPANY", "CORP", "CORPORATION", "FEDERAL", "INC", "INCORPORATED", "L", "LC", "LLC", "LLP", "LTD", "LP", "OF", "PC", "PLC")
+NAME_STOP_WORDS = ("A", "AN", "AND", "CO", "COMPANY", "CORP", "CORPORATION", "FEDERAL", "INC", "INCORPORATED", "L", "LC", "LLC", "LLP", "LTD", "LP", "OF", "PC", "PLC", "SERVICE", "SERVICES", "SYSTEM", "SYSTEMS", "TECHNOLOGIES", "TECHNOLOGY", "THE")
 
 
 def is_blank(c: Column) -> Column:
@@ -49,6 +49,7 @@ def identifier_token(c: Column) -> Column:
 
 def contract_family(token: Column) -> Column:
     """The root of a token of eight or more characters without a modification suffix (six or more left)."""
+    # the pattern is a fixed value
     root = F.regexp_extract(token, r"^(.*?)(?:MOD\d{1,4}|P\d{1,4}|M\d{1,4}|A\d{1,4})$", 1)
     return F.when((F.length(token) >= 8) & (F.length(root) >= 6), root)
 
@@ -85,6 +86,14 @@ def agency_label(name: Column, code: Column) -> Column:
     return F.when(~is_blank(name) & ~is_blank(code), F.concat(name, F.lit(" ("), code, F.lit(")"))).otherwise(F.coalesce(clean_text(name), clean_text(code)))
 
 
+def bounded_text(c: Column, most: int = 65536) -> Column:
+    """At most about ``most`` characters: a longer text keeps its head and its tail around a note of what is missing."""
+    note = F.concat(F.lit("...<truncated_json:"), (F.length(c) - most).cast("string"), F.lit("chars>..."))
+    room = F.lit(most) - F.length(note)
+    head = F.ceil(room / 2).cast("int")
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, F.lit(1), head), note, F.right(c, (room - head).cast("int"))))
+
+
 def parsed_date(c: Column) -> Column:
     """ISO, month/day/year and compact dates; null for anything else."""
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss")], F.try_to_timestamp(c))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.normalize import company_key, contract_family, identifier_token, key_token
 
 #: Points of each kind of evidence (fixed values).
-POINTS = {"identifier_exact": 70, "contract_family": 45, "recipient_uei": 30, "recipient_name": 20, "awarding_agency": 12, "psc": 10, "naics": 10, "place_region": 8}
+POINTS = {"identifier_exact": 70, "contract_family": 45, "recipient_uei": 30, "recipient_name": 20, "awarding_agency": 12, "funding_agency": 8, "psc": 10, "naics": 10, "place_region": 8}
 NOTICE_IDS = ("solicitation_number", "notice_id", "document_id", "award_id", "piid")
 AWARD_IDS = ("award_id", "generated_unique_award_id", "piid", "fain", "uri", "solicitation_number")
 
@@ -19,10 +19,11 @@ def _present(df: DataFrame, name: str) -> Column:
 
 
 def features(df: DataFrame, ids: tuple[str, ...]) -> DataFrame:
-    """(id, ts, tokens, families, uei, name, agency, psc, naics, region) of each event."""
+    """(id, ts, tokens, families, uei, name, awarding, funding, psc, naics, region) of each event."""
     tokens = F.array_compact(F.array(*[identifier_token(_present(df, n)) for n in ids]))
     families = F.array_compact(F.array(*[contract_family(identifier_token(_present(df, n))) for n in ids]))
     token = lambda n: key_token(_present(df, n))
+    agencies = lambda who: F.array_distinct(F.array_compact(F.array(token(f"{who}_code"), company_key(_present(df, f"{who}_name")))))
     return df.select(
         "id",
         F.col("occurred_at").cast("timestamp").alias("ts"),
@@ -30,7 +31,8 @@ def features(df: DataFrame, ids: tuple[str, ...]) -> DataFrame:
         F.array_distinct(families).alias("families"),
         token("recipient_uei").alias("uei"),
         company_key(_present(df, "recipient_name")).alias("name"),
-        F.coalesce(token("agency_code"), token("agency_name")).alias("agency"),
+        agencies("agency").alias("awarding"),
+        agencies("funding_agency").alias("funding"),
         token("psc").alias("psc"),
         token("naics").alias("naics"),
         F.when(token("state").isNotNull(), F.concat(F.coalesce(token("country"), F.lit("USA")), F.lit(":"), token("state"))).alias("region"),
@@ -41,7 +43,7 @@ def index_keys(rows: DataFrame) -> DataFrame:
     """(id, kind, key): what an event can be found by."""
     one = lambda kind, c: F.when(F.col(c).isNotNull(), F.array(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key")))).otherwise(F.array())
     many = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
-    keys = F.concat(many("token", "tokens"), many("family", "families"), *[one(c, c) for c in ("uei", "name", "agency", "psc", "naics", "region")])
+    keys = F.concat(many("token", "tokens"), many("family", "families"), many("awarding", "awarding"), many("funding", "funding"), *[one(c, c) for c in ("uei", "name", "psc", "naics", "region")])
     return rows.select("id", F.explode(keys).alias("k")).select("id", "k.kind", "k.key").distinct()
 
 
@@ -71,7 +73,8 @@ def candidate_join(notices: DataFrame, awards: DataFrame, history_days: int = 36
         "contract_family": ~F.coalesce(exact, F.lit(False)) & F.coalesce(family, F.lit(False)),
         "recipient_uei": same("uei"),
         "recipient_name": same("name"),
-        "awarding_agency": same("agency"),
+        "awarding_agency": F.arrays_overlap("n.awarding", "a.awarding"),
+        "funding_agency": F.arrays_overlap("n.funding", "a.funding"),
         "psc": same("psc"),
         "naics": same("naics"),
         "place_region": same("region"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import clean_code, clean_text
@@ -19,15 +19,58 @@ def identity(df: DataFrame, uei="recipient_uei", duns="recipient_duns", cage="re
     return out.withColumn("display", display)
 
 
+def identifier_rows(df: DataFrame, key: str) -> DataFrame:
+    """(key, priority, v): every identifier of every row, in one pass."""
+    listed = F.array(*[F.struct(F.lit(k).alias("priority"), F.lower(c).alias("v")) for k, c in enumerate(IDENTIFIERS)])
+    return df.select(key, F.explode(listed).alias("i")).select(key, "i.priority", "i.v").where("v is not null")
+
+
 def match_existing(events: DataFrame, entities: DataFrame) -> DataFrame:
     """(id, entity_id): the entity that an event matches by its strongest identifier, lowest id first."""
-    found = None
-    for k, c in enumerate(IDENTIFIERS):
-        left = events.select("id", F.lower(c).alias("v")).where("v is not null")
-        right = entities.select("entity_id", F.lower(c).alias("v")).where("v is not null").groupBy("v").agg(F.min("entity_id").alias("entity_id"))
-        hit = left.join(right, "v").select("id", F.struct(F.lit(k).alias("priority"), "entity_id").alias("m"))
-        found = hit if found is None else found.union(hit)
-    return found.groupBy("id").agg(F.min("m").alias("m")).select("id", "m.entity_id")
+    known = identifier_rows(entities, "entity_id").groupBy("priority", "v").agg(F.min("entity_id").alias("entity_id"))
+    hit = identifier_rows(events, "id").join(known, ["priority", "v"])
+    return hit.groupBy("id").agg(F.min(F.struct("priority", "entity_id")).alias("m")).select("id", "m.entity_id")
+
+
+def absorbed(entities: DataFrame, events: DataFrame, matches: DataFrame) -> DataFrame:
+    """``entities`` with missing identifiers filled from the events matched to them, earliest event first."""
+    columns = IDENTIFIERS[:-1]
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"_{c}") for c in columns]
+    found = events.join(matches, "id").groupBy("entity_id").agg(*first)
+    return entities.join(found, "entity_id", "left").withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).select(*entities.columns)
+
+
+def link_events(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, entity_id, key, status) of events of ``identity`` columns without an entity.
+
+    linked: matched to an entity; created: the event's strongest identifier names a new entity, known by
+    ``key``, for which the least event id stands; skipped_no_name: nothing identifies it.
+    """
+    strongest = F.coalesce(*[F.concat(F.lit(f"{c}:"), F.lower(c)) for c in IDENTIFIERS])
+    rows = events.withColumn("key", strongest).join(match_existing(events, entities), "id", "left")
+    status = F.when(F.col("entity_id").isNotNull(), "linked").when(F.col("key").isNotNull(), "created").otherwise("skipped_no_name")
+    return rows.select("id", "entity_id", "key", status.alias("status"))
+
+
+def link_counters(links: DataFrame) -> DataFrame:
+    """(scanned, linked, skipped_no_name, created): what a linking run did; created counts entities, not events."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    return links.agg(F.count("*").alias("scanned"), (count("linked") + count("created")).alias("linked"), count("skipped_no_name").alias("skipped_no_name"), F.count_distinct(F.when(F.col("status") == "created", F.col("key"))).alias("created"))
+
+
+MOST_TERMS = 100_000
+
+
+def by_term(events: DataFrame, text: Column, terms: DataFrame) -> DataFrame:
+    """(id, entity_id): the least entity one of whose terms (entity_id, term) the text contains, ignoring case.
+
+    Containment has no key to join by, so terms go to every task, after a check that they are at most ``MOST_TERMS``.
+    """
+    wanted = terms.select("entity_id", F.lower(F.trim("term")).alias("term")).where("term != ''").distinct()
+    if wanted.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    rows = events.select("id", F.lower(text).alias("_text"))
+    return rows.join(F.broadcast(wanted), F.col("_text").contains(F.col("term"))).groupBy("id").agg(F.min("entity_id").alias("entity_id"))
 
 
 def shared_identifier_groups(events: DataFrame, write, rounds: int = 40) -> DataFrame:

@@ -12,7 +12,7 @@ def contains_text(c: Column, text: str) -> Column:
     return F.lower(c).contains(text.lower())
 
 
-def event_conditions(df: DataFrame, *, source=None, exclude_source=None, start=None, end=None, entity_id=None, has_entity=None, keyword=None, award_id=None, uei=None, agency=None, psc=None, naics=None, region=None, notice_type=None, min_amount=None) -> Column:
+def event_conditions(df: DataFrame, *, source=None, exclude_source=None, start=None, end=None, entity_id=None, has_entity=None, keyword=None, award_id=None, uei=None, agency=None, psc=None, naics=None, region=None, notice_type=None, min_amount=None, contract_id=None, document_id=None, notice_id=None, solicitation=None) -> Column:
     """The conjunction of all filters that are given; columns that ``df`` lacks can't be asked for."""
     conditions: list[Column] = []
     ask = conditions.append
@@ -48,6 +48,9 @@ def event_conditions(df: DataFrame, *, source=None, exclude_source=None, start=N
         ask(((state == parts[0]) & (country == parts[1])) | ((state == parts[1]) & (country == parts[0])) if len(parts) == 2 else (state == parts[0]) | (country == parts[0]))
     if notice_type is not None:
         ask(F.lower("notice_type") == notice_type.lower())
+    for value, names in ((contract_id, ("piid", "fain", "uri")), (document_id, ("document_id", "doc_id")), (notice_id, ("notice_id",)), (solicitation, ("solicitation_number",))):
+        if value is not None:
+            ask(reduce(lambda a, b: a | b, [F.col(n) == value for n in names if n in df.columns], F.lit(False)))
     if min_amount is not None:
         ask(F.col("amount") >= min_amount)
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
@@ -71,3 +74,41 @@ def query_events(df: DataFrame, *, sort_by: str = "occurred_at", descending: boo
     out = df.where(event_conditions(df, **filters)).orderBy(*order)
     out = out.offset(offset) if offset else out
     return out.limit(limit) if limit is not None else out
+
+
+def any_filter(**filters) -> bool:
+    """Whether any event filter is asked for; counts shown to the user then are those of matching events."""
+    return any(v is not None and v != "" for v in filters.values())
+
+
+def legacy_events(df: DataFrame, *, source=None, start=None, end=None, text=None, column: str = "snippet") -> DataFrame:
+    """The older listing: source, occurred range and a substring of the snippet."""
+    rows = df if source is None else df.where(F.col("source") == source)
+    rows = rows if start is None else rows.where(F.col("occurred_at") >= F.lit(start).cast("timestamp"))
+    rows = rows if end is None else rows.where(F.col("occurred_at") <= F.lit(end).cast("timestamp"))
+    return rows if text is None else rows.where(contains_text(F.col(column), text))
+
+
+def clamped_window(posted: tuple[str | None, str | None], start: str | None, end: str | None) -> tuple[str | None, str | None]:
+    """The later of the lower and the earlier of the upper bounds (ISO dates); without a posted window, as asked."""
+    if None in posted:
+        return start, end
+    return max(x for x in (posted[0], start) if x), min(x for x in (posted[1], end) if x)
+
+
+def posted_window(days: int | None = None, posted_from: str | None = None, posted_to: str | None = None, today: str | None = None) -> tuple[str, str]:
+    """Inclusive ISO dates of a posted window: the last 1 to 365 (by default 30) days, or both ends given."""
+    from datetime import date, timedelta
+
+    if (posted_from is None) != (posted_to is None):
+        raise ValueError("both ends of the window are needed")
+    if posted_from is not None:
+        if days is not None:
+            raise ValueError("days and explicit ends exclude each other")
+        if date.fromisoformat(posted_from) > date.fromisoformat(posted_to):
+            raise ValueError("the window ends before it starts")
+        return posted_from, posted_to
+    if not 1 <= (days := 30 if days is None else days) <= 365:
+        raise ValueError("days must be 1 to 365")
+    last = date.fromisoformat(today) if today else date.today()
+    return (last - timedelta(days=days)).isoformat(), last.isoformat()

@@ -93,7 +93,7 @@ def top_label(df: DataFrame, lane: str, column: str) -> DataFrame:
     return n.groupBy("key").agg(F.max(F.struct("n", "v")).alias("m")).select("key", F.col("m.v").alias(column), F.col("m.n").alias("n"))
 
 
-def keyword_pairs(df: DataFrame, min_pair_count: int = 3, max_events: int = 200, max_keywords: int = 10, ratio: float = 0.2, floor: int = 8, smoothing: float = 0.5) -> DataFrame:
+def keyword_pairs(df: DataFrame, min_pair_count: int = 3, max_events: int | None = 200, max_keywords: int = 10, ratio: float = 0.2, floor: int = 8, smoothing: float = 0.5) -> DataFrame:
     """Co-occurring keywords with NPMI: noise packs and frequent keywords go first, then pairs are made.
 
     ``max_keywords`` is the operator's own rule: events with more surviving keywords are left out.
@@ -104,7 +104,7 @@ def keyword_pairs(df: DataFrame, min_pair_count: int = 3, max_events: int = 200,
     allowed = df_counts.crossJoin(F.broadcast(total)).where((df_threshold(F.col("total"), ratio, floor) == 0) | (F.col("c") <= df_threshold(F.col("total"), ratio, floor)))
     per_event = words.join(allowed.select("k"), "k", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("k")).alias("ks")).where(F.size("ks").between(2, max_keywords))
     pair_lists = F.flatten(F.transform("ks", lambda a, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda b: F.struct(a.alias("k1"), b.alias("k2")))))
-    pairs = per_event.select(F.explode(pair_lists).alias("p")).groupBy("p.k1", "p.k2").agg(F.count("*").alias("c12")).where(F.col("c12").between(min_pair_count, max_events))
+    pairs = per_event.select(F.explode(pair_lists).alias("p")).groupBy("p.k1", "p.k2").agg(F.count("*").alias("c12")).where((F.col("c12") >= min_pair_count) & (F.lit(True) if max_events is None else F.col("c12") <= max_events))
     out = pairs.join(df_counts.select(F.col("k").alias("k1"), F.col("c").alias("c1")), "k1").join(df_counts.select(F.col("k").alias("k2"), F.col("c").alias("c2")), "k2").crossJoin(F.broadcast(total))
     signal = pair_signal(F.col("total"), F.col("c1"), F.col("c2"), F.col("c12"), smoothing)
     key = F.concat(F.lit("kw_pair|*|30|pair:"), F.substring(F.sha1(F.concat("k1", F.lit("+"), "k2")), 1, 16))

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normalize import is_blank
 
 
-def new_rows(existing: DataFrame, arriving: DataFrame, key: str = "hash") -> DataFrame:
-    """Arriving rows whose key is neither in ``existing`` nor earlier among them."""
-    return arriving.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+def first_rows(df: DataFrame, key: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key: the first by ``order``, then by a hash of the row, so the same row in every run. Null keys make one row."""
+    values = [F.to_json(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name) for f in df.schema]
+    first = F.min_by(F.struct(*df.columns), F.struct(*order, F.xxhash64(*values)))
+    return df.groupBy(F.col(key).alias("_key")).agg(first.alias("_row")).select("_row.*")
+
+
+def new_rows(existing: DataFrame, arriving: DataFrame, key: str = "hash", order: tuple[str, ...] = ()) -> DataFrame:
+    """Arriving rows whose key is neither in ``existing`` nor earlier among them (see ``first_rows``)."""
+    return first_rows(arriving.join(existing.select(key), key, "left_anti").select(*arriving.columns), key, order)
 
 
 def backfilled(existing: DataFrame, arriving: DataFrame, columns: tuple[str, ...], key: str = "hash") -> DataFrame:
     """``existing`` with blanks of ``columns`` filled from arriving rows of the same key."""
-    new = arriving.dropDuplicates([key]).select(key, *[F.col(c).alias(f"_{c}") for c in columns])
+    new = first_rows(arriving, key).select(key, *[F.col(c).alias(f"_{c}") for c in columns])
     filled = {c: F.when(~is_blank(F.col(c).cast("string")), F.col(c)).otherwise(F.coalesce(F.col(f"_{c}"), F.col(c))) for c in columns}
     return existing.join(new, key, "left").select(*[filled[c].alias(c) if c in columns else F.col(c) for c in existing.columns])
 
@@ -29,3 +37,17 @@ def filled_raw(raw: str, canonical: dict) -> object:
     old = F.from_json(F.col(raw), "map<string,string>")
     new = F.create_map(*[x for k, v in canonical.items() for x in (F.lit(k), v)])
     return F.to_json(F.map_zip_with(F.coalesce(old, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), new, lambda _, a, b: F.when(~is_blank(a), a).otherwise(F.coalesce(b, a))))
+
+
+def run_ledger(existing: DataFrame, fetched: DataFrame, normalized: DataFrame, key: str = "hash") -> DataFrame:
+    """One row about an ingest run: records fetched, rows normalised, rows inserted, and its status."""
+    counts = fetched.agg(F.count("*").alias("fetched")).crossJoin(normalized.agg(F.count("*").alias("normalized")))
+    fresh = normalized.select(key).where(F.col(key).isNotNull()).distinct().join(existing.select(key), key, "left_anti").agg(F.count("*").alias("inserted"))
+    status = F.when((F.col("fetched") > 0) & (F.col("normalized") == 0), "failed").otherwise("success")
+    return counts.crossJoin(fresh).withColumn("status", status)
+
+
+def filtered_ingest(existing: DataFrame, arriving: DataFrame, min_score: int, key: str = "hash") -> DataFrame:
+    """New arriving rows whose score, ten for a known entity and three a keyword, is at least ``min_score``."""
+    score = F.when(F.col("entity_id").isNotNull(), 10).otherwise(0) + 3 * F.greatest(F.size("keywords"), F.lit(0))
+    return new_rows(existing, arriving.withColumn("score", score).where(F.col("score") >= min_score), key)

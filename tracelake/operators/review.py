@@ -17,7 +17,7 @@ def label_summary(rows: DataFrame, *by: str) -> DataFrame:
 def precision_at(rows: DataFrame, ks: tuple[int, ...] = (5, 10, 25, 50)) -> DataFrame:
     """Precision of the first k of every snapshot, pooled; undecided items don't count."""
     place = F.row_number().over(Window.partitionBy("snapshot").orderBy("rank", "doc_id"))
-    placed = rows.withColumn("place", place).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("place <= k")
+    placed = rows.withColumn("place", place).where(F.col("place") <= max(ks)).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("place <= k")
     out = placed.groupBy("k").agg(F.count_if(F.col("decision") == "keep").alias("keep"), F.count_if(F.col("decision").isin("keep", "reject")).alias("decisive"))
     return out.withColumn("precision", F.bround(F.try_divide("keep", "decisive"), 4))
 

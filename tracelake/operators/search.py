@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): lower-case runs of ASCII letters and digits."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    w = df.select(F.col(key), words.alias("w")).select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    return w.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+#: Queries with more distinct terms than this are joined by shuffle instead of being sent to every task.
+BROADCAST_TERMS = 500_000
+
+
+def words_of(text: Column) -> Column:
+    """Lower-case runs of ASCII letters and digits."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def bm25(documents: DataFrame, queries: DataFrame, key: str, text: str, query_key: str, query_text: str, top: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The ``top`` documents of every query (ties by key)."""
-    postings = tokens(documents, key, text)
-    stats = documents.select(F.size(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("avg_length"))
-    wanted = tokens(queries, query_key, query_text).select(query_key, "term")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rows = wanted.join(df, "term").join(postings, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    scored = rows.groupBy(query_key, key).agg(F.bround(F.sum(gain), 4).alias("score"))
+    """The ``top`` documents of every query over one field (ties by key)."""
+    return fielded(documents, queries, key, {text: 1.0}, query_key, query_text, top, k1, b)
+
+
+def fielded(documents: DataFrame, queries: DataFrame, key: str, boosts: dict[str, float], query_key: str, query_text: str, top: int = 10, k1: float = 1.2, b: float = 0.75, where: Column | None = None) -> DataFrame:
+    """The ``top`` documents of every query: best of the fields' BM25 scores times their boosts (ties by key).
+
+    ``where`` filters documents (source, category) before anything is counted. Only words that some query
+    asks for become postings: they are picked before the shuffle, which moves one row for each document and asked word.
+    """
+    docs = documents if where is None else documents.where(where)
+    fields = [F.struct(F.lit(f).alias("field"), words_of(F.col(f)).alias("w")) for f in boosts]
+    rows = docs.select(key, F.explode(F.array(*fields)).alias("x")).select(key, "x.field", "x.w", F.size("x.w").alias("length"))
+    stats = rows.groupBy("field").agg(F.count("*").alias("docs"), F.avg("length").alias("avg_length"))
+    wanted = queries.select(query_key, F.explode(F.array_distinct(words_of(F.col(query_text)))).alias("term"))
+    terms = wanted.select("term").distinct()
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else (lambda x: x)
+    postings = rows.select(key, "field", "length", F.explode("w").alias("term")).join(small(terms), "term", "left_semi")
+    postings = postings.groupBy(key, "field", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    weights = df.join(F.broadcast(stats), "field").select("field", "term", "avg_length", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    asked = weights.join(wanted, "term")
+    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    scored = postings.join(small(asked), ["field", "term"]).groupBy(query_key, key, "field").agg(F.bround(F.sum(gain), 4).alias("score"))
+    boost = F.create_map(*[x for f, n in boosts.items() for x in (F.lit(f), F.lit(float(n)))])
+    best = scored.groupBy(query_key, key).agg(F.max(F.bround(F.col("score") * boost[F.col("field")], 4)).alias("score"))
     place = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(key)))
-    return scored.withColumn("place", place).where(F.col("place") <= top)
+    return best.withColumn("place", place).where(F.col("place") <= top)

@@ -8,6 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 100
+MOST_RULES = 10_000
+
+
+def rule_list(rules: list[dict] | DataFrame) -> list[dict]:
+    """Rules as dicts. A rule table is read whole if it is checked to have at most ``MOST_RULES`` rows; regexes that aren't valid are dropped."""
+    if isinstance(rules, DataFrame):
+        rows = rules.limit(MOST_RULES + 1).collect()
+        if len(rows) > MOST_RULES:
+            raise ValueError(f"more than {MOST_RULES} rules")
+        rules = [r.asDict(recursive=True) for r in rows]
+    return [r for r in rules if r["type"] == "phrase" or valid_regex(r["pattern"])]
+
+
+def valid_regex(pattern: str | None) -> bool:
+    try:
+        return pattern is not None and bool(re.compile(pattern))
+    except re.error:
+        return False
 
 
 def rule_hits(rules: list[dict], fields: dict[str, Column]) -> Column:
@@ -17,12 +35,13 @@ def rule_hits(rules: list[dict], fields: dict[str, Column]) -> Column:
         for f in r.get("fields") or list(fields):
             if f not in fields:
                 continue
-            text = F.coalesce(fields[f], F.lit(""))
+            text, blind = F.coalesce(fields[f], F.lit("")), r.get("case_insensitive") is not False
             if r["type"] == "phrase":
-                found = F.contains(F.lower(text), F.lit(r["pattern"].lower()))
+                found = F.contains(F.lower(text), F.lit(r["pattern"].lower())) if blind else F.contains(text, F.lit(r["pattern"]))
                 match = F.lit(r["pattern"])
             else:
-                found, match = text.rlike("(?i)" + r["pattern"]), F.regexp_extract(text, "(?i)" + r["pattern"], 0)
+                match = F.regexp_substr(text, F.lit(("(?i)" if blind else "") + r["pattern"].replace("(?P<", "(?<")))
+                found = match.isNotNull()
             hits.append(F.when(found, F.struct(F.lit(r["pack"]).alias("pack"), F.lit(r["rule"]).alias("rule"), F.lit(f).alias("field"), match.alias("match"), F.lit(r["type"]).alias("type"), F.lit(int(r["weight"])).alias("weight"))))
     if not hits:
         return F.array().cast("array<struct<pack:string,rule:string,field:string,match:string,type:string,weight:int>>")
@@ -30,9 +49,9 @@ def rule_hits(rules: list[dict], fields: dict[str, Column]) -> Column:
     return F.array_sort(F.concat(*parts) if len(parts) > 1 else parts[0])
 
 
-def tag(df: DataFrame, rules: list[dict], fields: tuple[str, ...] = ("snippet",)) -> DataFrame:
+def tag(df: DataFrame, rules: list[dict] | DataFrame, fields: tuple[str, ...] = ("snippet",)) -> DataFrame:
     """``df`` with ``clauses``, ``keywords`` (sorted distinct pack:rule) and ``tag_score``."""
-    tagged = df.withColumn("clauses", rule_hits(rules, {f: F.col(f) for f in fields}))
+    tagged = df.withColumn("clauses", rule_hits(rule_list(rules), {f: F.col(f) for f in fields}))
     keywords = F.array_sort(F.array_distinct(F.transform("clauses", lambda c: F.concat_ws(":", c["pack"], c["rule"]))))
     return tagged.withColumn("keywords", keywords).withColumn("tag_score", F.aggregate("clauses", F.lit(0), lambda a, c: a + c["weight"]))
 
@@ -71,3 +90,25 @@ def best_of(df: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
     from pyspark.sql.window import Window
 
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def pack_terms(df: DataFrame, text: Column, packs: dict[str, list[str]], column: str = "keywords") -> DataFrame:
+    """``df`` whose empty keyword arrays are filled with pack:term for every term that the text contains, ignoring case."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hits = [F.when(low.contains(w.lower()), F.lit(f"{pack}:{w}")) for pack, terms in packs.items() for w in terms]
+    parts = [F.array_compact(F.array(*hits[i : i + CHUNK])) for i in range(0, len(hits), CHUNK)] or [F.array().cast("array<string>")]
+    found = F.array_sort(F.array_distinct(F.concat(*parts)))
+    empty = (F.size(F.coalesce(F.col(column), F.array().cast("array<string>"))) == 0) if column in df.columns else F.lit(True)
+    return df.withColumn(column, F.when(empty, found).otherwise(F.col(column)) if column in df.columns else found)
+
+
+def split_query(q: Column) -> Column:
+    """Parts of a query between OR (any case) and commas, without blanks and quotes around them."""
+    parts = F.filter(F.transform(F.split(q, r"(?i)\s+OR\s+|,"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.when(F.size(parts) > 0, F.transform(parts, lambda p: F.btrim(F.btrim(p, F.lit('"')), F.lit("'")))).otherwise(F.array(q))
+
+
+def hunt_rows(source: str, df: DataFrame, key: str, title: Column, amount: Column | None = None, at: Column | None = None) -> DataFrame:
+    """One row shape for every hunted source: (source, key, title, amount, at)."""
+    none = lambda kind: F.lit(None).cast(kind)
+    return df.select(F.lit(source).alias("source"), F.col(key).cast("string").alias("key"), title.alias("title"), (none("double") if amount is None else amount.cast("double")).alias("amount"), (none("timestamp") if at is None else at.cast("timestamp")).alias("at"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import candidates, evidence, families, filters, lanes, merge, quality, relevance, scoring, views
 from ..sources import exports
 from ..sources import views as v
-from .queries import _LEADS_SQL, CANDIDATE_SQL, _base, _boosted, _lead_rank, awards_sql, register
+from .queries import _LEADS_SQL, CANDIDATE_SQL, _base, _boosted, _lead_rank, awards_sql, candidate_sides, register
 
 # ---- version 3 scores ------------------------------------------------------------------------------
 
@@ -280,7 +280,7 @@ def snk3(spark, sf_dir):
 
 @register("snk5_candidates", CANDIDATE_SQL.replace("SELECT notice AS notice_id, award AS award_event_id, CAST(score AS BIGINT) AS score, incumbent AS likely_incumbent, place FROM r WHERE place <= 10", "SELECT notice AS notice_id, award AS award_event_id, CAST(score AS BIGINT) AS score, n.recipient_name AS notice_recipient_name, a.recipient_name AS award_recipient_name, a.agency_name AS award_agency_name FROM r JOIN n ON n.id = notice JOIN a ON a.id = award WHERE place <= 10 AND score >= 50"))
 def snk5(spark, sf_dir):
-    notices, awards = filters.window(v.notice_events(spark, sf_dir), v.AS_OF, 30), filters.window(v.award_events(spark, sf_dir), v.AS_OF, 365)
+    notices, awards = candidate_sides(spark, sf_dir)
     out = exports.candidate_rows(candidates.candidate_join(notices, awards), notices, awards, min_score=50)
     return out.select("notice_id", "award_event_id", "score", "notice_recipient_name", "award_recipient_name", "award_agency_name")
 
@@ -291,9 +291,9 @@ def snk8(spark, sf_dir):
     return exports.delta_rows(scoring.delta(old, new), old, new, ("recipient_name",)).select("id", "change_type", "from_recipient_name", "to_recipient_name")
 
 
-@register("snk11_search_documents", awards_sql("SELECT sha256('AWARDS|' || id) AS hash, id, recipient_name FROM awards WHERE id > 1000"))
+@register("snk11_search_documents", awards_sql("SELECT sha256('AWARDS|' || id) AS hash, id, recipient_name FROM awards"))
 def snk11(spark, sf_dir):
-    return exports.search_documents(v.award_events(spark, sf_dir), ("recipient_name",), after=1000)
+    return exports.search_documents(v.award_events(spark, sf_dir), ("recipient_name",))
 
 
 # ---- gates -----------------------------------------------------------------------------------------

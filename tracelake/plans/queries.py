@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
-from ..operators import candidates, entities, filters, lanes, merge, review, scoring, search, tagging
+from ..operators import candidates, filters, lanes, merge, review, scoring, search, tagging
 from ..sources import views as v
 
 QUERIES: dict = {}
@@ -58,9 +58,16 @@ def _lane_sql(lane: str) -> str:
 
 
 def _lane(lane: str):
-    @register(LANE_QUERY[lane], _lane_sql(lane))
+    sql = _lane_sql(lane)
+    if lane == "same_award_id":  # order keys are unique, so awards share the last three digits as their id here
+        sql = sql.replace("upper(award_id)", "'AW-' || CAST(id % 1000 AS VARCHAR)")
+
+    @register(LANE_QUERY[lane], sql)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return lanes.same_field(v.award_events(spark, sf_dir), (lane,), max_events=None)
+        events = v.award_events(spark, sf_dir)
+        if lane == "same_award_id":
+            events = events.withColumn("award_id", F.concat(F.lit("aw-"), (F.col("id") % 1000).cast("string")))
+        return lanes.same_field(events, (lane,), max_events=None)
 
     return query
 
@@ -108,7 +115,8 @@ def cor3(spark, sf_dir):
 PAIRS_SQL = f"""WITH {v.AWARDS_SQL}, {_WORDS},
 t AS (SELECT count(DISTINCT id) AS total FROM awards),
 c AS (SELECT k, count(DISTINCT id) AS c FROM words GROUP BY k),
-p AS (SELECT a.k AS k1, b.k AS k2, count(*) AS c12 FROM words a JOIN words b ON a.id = b.id AND a.k < b.k GROUP BY a.k, b.k HAVING count(*) BETWEEN 3 AND 1000000),
+w AS (SELECT words.* FROM words JOIN c ON c.k = words.k CROSS JOIN t WHERE c.c <= greatest(8, ceil(0.2e0 * total))),
+p AS (SELECT a.k AS k1, b.k AS k2, count(*) AS c12 FROM w a JOIN w b ON a.id = b.id AND a.k < b.k GROUP BY a.k, b.k HAVING count(*) >= 3),
 m AS (SELECT p.k1, p.k2, x.c AS c1, y.c AS c2, p.c12, t.total, p.c12 + 0.5e0 AS a, x.c - p.c12 + 0.5e0 AS b, y.c - p.c12 + 0.5e0 AS cc, t.total - x.c - y.c + p.c12 + 0.5e0 AS d
       FROM p JOIN c x ON x.k = p.k1 JOIN c y ON y.k = p.k2 CROSS JOIN t)
 SELECT k1, k2, c1, c2, c12, round(ln((a / (a + b + cc + d)) / (((a + b) / (a + b + cc + d)) * ((a + cc) / (a + b + cc + d)))) / -ln(a / (a + b + cc + d)), 6) AS npmi,
@@ -117,7 +125,7 @@ SELECT k1, k2, c1, c2, c12, round(ln((a / (a + b + cc + d)) / (((a + b) / (a + b
 
 @register("cor4_keyword_pairs", PAIRS_SQL)
 def cor4(spark, sf_dir):
-    found = lanes.keyword_pairs(v.award_events(spark, sf_dir), max_events=1_000_000, ratio=0.0)
+    found = lanes.keyword_pairs(v.award_events(spark, sf_dir), max_events=None)
     return found.select("k1", "k2", "c1", "c2", "c12", "npmi", "log_odds", "lift_raw")
 
 
@@ -138,38 +146,44 @@ def cor16(spark, sf_dir):
 # ---- joins ---------------------------------------------------------------------------------------
 
 CANDIDATE_SQL = f"""WITH {v.AWARDS_SQL}, {v.NOTICES_SQL},
-a AS (SELECT *, upper(replace(recipient_name, '#', ' ')) AS rname FROM awards WHERE occurred_at >= TIMESTAMP '2000-08-02' AND occurred_at <= TIMESTAMP '2001-08-02'),
-n AS (SELECT *, upper(replace(recipient_name, '#', ' ')) AS rname FROM notices WHERE occurred_at >= TIMESTAMP '2001-07-03' AND occurred_at <= TIMESTAMP '2001-08-02'),
+a AS (SELECT *, upper(replace(recipient_name, '#', ' ')) AS rname, country AS funding FROM awards WHERE occurred_at >= TIMESTAMP '2000-08-02' AND occurred_at <= TIMESTAMP '2001-08-02'),
+n AS (SELECT notices.*, upper(replace(recipient_name, '#', ' ')) AS rname, r_name AS funding FROM notices JOIN nation ON n_name = agency_name JOIN region ON n_regionkey = r_regionkey WHERE occurred_at >= TIMESTAMP '2001-07-03' AND occurred_at <= TIMESTAMP '2001-08-02'),
 ak AS (
   SELECT id, 'token' AS kind, award_id AS key FROM a UNION SELECT id, 'token', piid FROM a UNION SELECT id, 'uei', upper(recipient_uei) FROM a UNION SELECT id, 'name', rname FROM a
-  UNION SELECT id, 'agency', upper(agency_name) FROM a UNION SELECT id, 'psc', upper(psc) FROM a UNION SELECT id, 'naics', upper(naics) FROM a
+  UNION SELECT id, 'agency', upper(agency_name) FROM a UNION SELECT id, 'psc', upper(psc) FROM a UNION SELECT id, 'naics', upper(naics) FROM a UNION SELECT id, 'funding', funding FROM a
 ),
 usable AS (SELECT kind, key FROM ak GROUP BY kind, key HAVING count(*) <= 25),
 nk AS (
   SELECT id, 'token' AS kind, solicitation_number AS key FROM n UNION SELECT id, 'uei', upper(recipient_uei) FROM n UNION SELECT id, 'name', rname FROM n
-  UNION SELECT id, 'agency', upper(agency_name) FROM n UNION SELECT id, 'psc', upper(psc) FROM n UNION SELECT id, 'naics', upper(naics) FROM n
+  UNION SELECT id, 'agency', upper(agency_name) FROM n UNION SELECT id, 'psc', upper(psc) FROM n UNION SELECT id, 'naics', upper(naics) FROM n UNION SELECT id, 'funding', funding FROM n
 ),
 p AS (SELECT DISTINCT nk.id AS notice, ak.id AS award FROM nk JOIN usable u ON nk.kind = u.kind AND nk.key = u.key JOIN ak ON ak.kind = u.kind AND ak.key = u.key),
 e AS (
   SELECT notice, award, n.solicitation_number IN (a.award_id, a.piid) AS exact, upper(n.recipient_uei) = upper(a.recipient_uei) AS uei, n.rname = a.rname AS same_name,
-         upper(n.agency_name) = upper(a.agency_name) AS agency, upper(n.psc) = upper(a.psc) AS psc, upper(n.naics) = upper(a.naics) AS naics,
+         upper(n.agency_name) = upper(a.agency_name) AS agency, upper(n.psc) = upper(a.psc) AS psc, upper(n.naics) = upper(a.naics) AS naics, n.funding = a.funding AS fund,
          (epoch(n.occurred_at) - epoch(a.occurred_at)) / 86400e0 AS days
   FROM p JOIN n ON n.id = notice JOIN a ON a.id = award
 ),
 s AS (
-  SELECT notice, award, least(100, CASE WHEN exact THEN 70 ELSE 0 END + CASE WHEN uei THEN 30 ELSE 0 END + CASE WHEN same_name THEN 20 ELSE 0 END + CASE WHEN agency THEN 12 ELSE 0 END
+  SELECT notice, award, least(100, CASE WHEN exact THEN 70 ELSE 0 END + CASE WHEN uei THEN 30 ELSE 0 END + CASE WHEN same_name THEN 20 ELSE 0 END + CASE WHEN agency THEN 12 ELSE 0 END + CASE WHEN fund THEN 8 ELSE 0 END
          + CASE WHEN psc THEN 10 ELSE 0 END + CASE WHEN naics THEN 10 ELSE 0 END + CASE WHEN days >= 0 AND days <= 365 THEN CASE WHEN days <= 90 THEN 10 WHEN days <= 180 THEN 7 ELSE 5 END ELSE 0 END) AS score,
-         days >= 0 AND days <= 365 AND (exact OR ((uei OR same_name) AND (agency OR psc OR naics))) AS incumbent,
-         CAST(exact AS INT) + CAST(uei AS INT) + CAST(same_name AS INT) + CAST(agency AS INT) + CAST(psc AS INT) + CAST(naics AS INT) + CAST(days >= 0 AND days <= 365 AS INT) AS pieces FROM e
+         days >= 0 AND days <= 365 AND (exact OR ((uei OR same_name) AND (agency OR fund OR psc OR naics))) AS incumbent,
+         CAST(exact AS INT) + CAST(uei AS INT) + CAST(same_name AS INT) + CAST(agency AS INT) + CAST(fund AS INT) + CAST(psc AS INT) + CAST(naics AS INT) + CAST(days >= 0 AND days <= 365 AS INT) AS pieces FROM e
 ),
 r AS (SELECT *, row_number() OVER (PARTITION BY notice ORDER BY score DESC, incumbent DESC, pieces DESC, award) AS place FROM s WHERE score >= 45)
 SELECT notice AS notice_id, award AS award_event_id, CAST(score AS BIGINT) AS score, incumbent AS likely_incumbent, place FROM r WHERE place <= 10"""
 
 
+def candidate_sides(spark, sf_dir):
+    """(notices of 30 days, awards of a year), each with its region as the funding agency."""
+    nation, region = v.table(spark, sf_dir, "nation"), v.table(spark, sf_dir, "region")
+    regions = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("n_name").alias("agency_name"), F.col("r_name").alias("funding_agency_name"))
+    notices = filters.window(v.notice_events(spark, sf_dir), v.AS_OF, 30).join(regions, "agency_name")
+    return notices, filters.window(v.award_events(spark, sf_dir), v.AS_OF, 365).withColumn("funding_agency_name", F.col("country"))
+
+
 def _candidates(spark, sf_dir):
-    notices = filters.window(v.notice_events(spark, sf_dir), v.AS_OF, 30)
-    awards = filters.window(v.award_events(spark, sf_dir), v.AS_OF, 365)
-    return candidates.candidate_join(notices, awards)
+    return candidates.candidate_join(*candidate_sides(spark, sf_dir))
 
 
 @register("jn1_candidate_join", CANDIDATE_SQL)
@@ -245,9 +259,13 @@ def qry3(spark, sf_dir):
 # ---- normalisation -------------------------------------------------------------------------------
 
 
-@register("nrm16_company_keys", "SELECT name_key, count(*) AS n FROM (SELECT trim(regexp_replace(upper(s_name), '[^A-Z0-9]+', ' ', 'g')) AS name_key FROM supplier) s GROUP BY name_key")
+_STOP_SQL = ", ".join(f"'{w}'" for w in nz.NAME_STOP_WORDS)
+
+
+@register("nrm16_company_keys", f"SELECT s_suppkey, array_to_string(CASE WHEN len(list_filter(w, lambda x: NOT list_contains([{_STOP_SQL}], x))) > 0 THEN list_filter(w, lambda x: NOT list_contains([{_STOP_SQL}], x)) ELSE w END, ' ') AS name_key FROM (SELECT s_suppkey, list_filter(string_split_regex(replace(upper(CASE WHEN s_suppkey % 10 = 0 THEN 'The Services Co.' WHEN s_suppkey % 3 = 0 THEN 'The ' || s_name || ' & Systems, Inc.' ELSE s_name || ' technology&friends of plc' END), '&', ' AND '), '[^A-Z0-9]+'), lambda x: x <> '') AS w FROM supplier) s")
 def nrm16(spark, sf_dir):
-    return v.table(spark, sf_dir, "supplier").groupBy(nz.company_key(F.col("s_name")).alias("name_key")).agg(F.count("*").alias("n"))
+    name = F.when(F.col("s_suppkey") % 10 == 0, "The Services Co.").when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("The "), "s_name", F.lit(" & Systems, Inc."))).otherwise(F.concat("s_name", F.lit(" technology&friends of plc")))
+    return v.table(spark, sf_dir, "supplier").select("s_suppkey", nz.company_key(name).alias("name_key"))
 
 
 @register("nrm3_codes", "SELECT p_partkey, upper(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS naics, upper(trim(regexp_replace(p_type, '\\s+', ' ', 'g'))) AS psc FROM part")
@@ -305,9 +323,14 @@ def tag5(spark, sf_dir):
     return tagging.event_rules(_tagged(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
-@register("tag2_apply_counters", TAG_SQL + "SELECT count(*) AS scanned, count(CASE WHEN k.doc_id IS NOT NULL THEN 1 END) AS updated, count(CASE WHEN k.doc_id IS NULL THEN 1 END) AS unchanged FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM c) k ON k.doc_id = d.doc_id")
+_OLD_SQL = "SELECT doc_id, string_agg(k, ';' ORDER BY k) AS ks FROM (SELECT DISTINCT doc_id, pack || ':' || rule AS k FROM c{where}) d GROUP BY doc_id"
+
+
+@register("tag2_apply_counters", TAG_SQL + f"SELECT count(*) AS scanned, count(CASE WHEN coalesce(o.ks, '') <> coalesce(n.ks, '') THEN 1 END) AS updated, count(CASE WHEN coalesce(o.ks, '') = coalesce(n.ks, '') THEN 1 END) AS unchanged FROM documents d LEFT JOIN ({_OLD_SQL.format(where=' WHERE NOT (rule IN (' + chr(39) + 'with' + chr(39) + ', ' + chr(39) + 'table' + chr(39) + '))')}) o ON o.doc_id = d.doc_id LEFT JOIN ({_OLD_SQL.format(where='')}) n ON n.doc_id = d.doc_id")
 def tag2(spark, sf_dir):
-    return tagging.changes(_tagged(spark, sf_dir).withColumn("old_keywords", F.array().cast("array<string>")))
+    docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("snippet"))
+    before = tagging.tag(docs, [r for r in RULES if r["rule"] not in ("with", "table")])
+    return tagging.changes(tagging.tag(before.select("id", "snippet", F.col("keywords").alias("old_keywords")), RULES))
 
 
 @register("hnt1_term_score", "SELECT doc_id, 3 * CAST(regexp_matches(lower(text), '\\bthere\\b') AS INT) + 3 * CAST(regexp_matches(lower(text), '\\bwith\\b') AS INT) + 2 * CAST(regexp_matches(lower(text), '\\band\\b') AS INT) + CAST(regexp_matches(lower(text), '\\bder\\b') AS INT) AS hunt_score FROM documents")
@@ -335,22 +358,22 @@ def _weights():
 
 
 _SCORE_SQL = TAG_SQL + ", s AS (SELECT d.doc_id AS id, coalesce(sum(weight), 0) AS w, count(DISTINCT pack || ':' || rule) AS k FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id)\n"
-_V1_SQL = "CASE WHEN w <> 0 THEN w ELSE 3 * k END"
+_V1_SQL = "CASE WHEN w <> 0 THEN w ELSE 3 * k END + CASE WHEN id % 3 = 0 THEN 10 ELSE 0 END"
 
 
 @register("scr1_score_v1", _SCORE_SQL + f"SELECT id, CAST({_V1_SQL} AS BIGINT) AS score FROM s")
 def scr1(spark, sf_dir):
-    return _tagged(spark, sf_dir).select("id", scoring.score_v1(_weights(), F.size("keywords"), F.lit(False)).cast("bigint").alias("score"))
+    return _tagged(spark, sf_dir).select("id", scoring.score_v1(_weights(), F.size("keywords"), F.col("id") % 3 == 0).cast("bigint").alias("score"))
 
 
 V2_SQL = TAG_SQL + """, r AS (SELECT doc_id, weight, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, rule) AS k FROM c),
 s AS (SELECT d.doc_id AS id, CAST(trunc(coalesce(sum(CASE WHEN r.k <= 2 THEN r.weight ELSE 0.5 * r.weight END), 0)) AS BIGINT) AS w, count(r.weight) AS k FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id)
-SELECT id, CAST(CASE WHEN w <> 0 THEN w ELSE 3 * k END AS BIGINT) AS score FROM s"""
+SELECT id, CAST(CASE WHEN w <> 0 THEN w ELSE 3 * k END + CASE WHEN id % 3 = 0 THEN 10 ELSE 0 END + id % 5 AS BIGINT) AS score FROM s"""
 
 
 @register("scr2_score_v2", V2_SQL)
 def scr2(spark, sf_dir):
-    return _tagged(spark, sf_dir).select("id", scoring.score_v2(_weights(), F.size("keywords"), F.lit(False), F.lit(0), top=2).cast("bigint").alias("score"))
+    return _tagged(spark, sf_dir).select("id", scoring.score_v2(_weights(), F.size("keywords"), F.col("id") % 3 == 0, F.col("id") % 5, top=2).cast("bigint").alias("score"))
 
 
 @register("scr4_pack_buckets", TAG_SQL + "SELECT CASE WHEN pack = 'operational_noise_terms' THEN 'suppressor' ELSE 'neutral' END AS bucket, count(*) AS clauses FROM c GROUP BY 1")
@@ -445,13 +468,6 @@ def qua4(spark, sf_dir):
 # ---- entities, merge, search ---------------------------------------------------------------------
 
 
-@register("ent3_match_existing", awards_sql("SELECT id, entity_id FROM awards"))
-def ent3(spark, sf_dir):
-    events = entities.identity(v.award_events(spark, sf_dir))
-    known = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.concat(F.lit("UEI"), F.col("c_custkey").cast("string")).alias("uei"), *[F.lit(None).cast("string").alias(c) for c in ("duns", "cage", "recipient_id")], F.col("c_name").alias("name"))
-    return entities.match_existing(events, known)
-
-
 @register("ing1_new_rows", "SELECT o_custkey AS hash, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01') GROUP BY o_custkey")
 def ing1(spark, sf_dir):
     orders = v.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("hash"), "o_orderdate")

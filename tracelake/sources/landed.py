@@ -12,7 +12,7 @@ RULE = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "type", "p
 PACK = T.StructType(
     [T.StructField("id", T.StringType()), T.StructField("enabled", T.BooleanType()), T.StructField("default_weight", T.IntegerType()), T.StructField("weight", T.IntegerType()), T.StructField("rules", T.ArrayType(RULE))]
 )
-ONTOLOGY = T.StructType([T.StructField("defaults", T.StructType([T.StructField("default_weight", T.IntegerType())])), T.StructField("packs", T.ArrayType(PACK))])
+ONTOLOGY = T.StructType([T.StructField("defaults", T.StructType([T.StructField("default_weight", T.IntegerType()), T.StructField("case_insensitive", T.BooleanType())])), T.StructField("packs", T.ArrayType(PACK))])
 FIELDS = ("snippet", "place_text", "doc_id", "source_url", "raw_json")
 DEFAULT_FIELDS = ("snippet", "place_text", "doc_id")
 
@@ -34,13 +34,23 @@ def page_diagnostics(pages: DataFrame) -> DataFrame:
 
 def rule_table(spark: SparkSession, path: str) -> DataFrame:
     """Flat rules of ontology files: enabled packs; weight of the rule, else the pack, else the file."""
-    packs = spark.read.schema(ONTOLOGY).json(path, multiLine=True).select("defaults", F.explode("packs").alias("p")).where(F.coalesce("p.enabled", F.lit(True)))
+    return flat_rules(spark.read.schema(ONTOLOGY).json(path, multiLine=True))
+
+
+def parsed_ontologies(texts: DataFrame, text: str) -> DataFrame:
+    """Ontologies from a column of JSON texts."""
+    return texts.select(F.from_json(text, ONTOLOGY).alias("o")).select("o.*")
+
+
+def flat_rules(ontologies: DataFrame) -> DataFrame:
+    """(pack, rule, type, pattern, weight, weight_source, fields, case_insensitive); ``tagging.tag`` takes such a table."""
+    packs = ontologies.select("defaults", F.explode("packs").alias("p")).where(F.coalesce("p.enabled", F.lit(True)))
     rules = packs.select("defaults", "p", F.explode("p.rules").alias("r"))
     weight = F.coalesce("r.weight", "p.default_weight", "p.weight", "defaults.default_weight")
     source = F.when(F.col("r.weight").isNotNull(), "rule").when(F.coalesce("p.default_weight", "p.weight").isNotNull(), "pack").otherwise("defaults")
     allowed = F.filter(F.coalesce("r.fields", F.array()), lambda f: f.isin(*FIELDS))
     fields = F.when(F.size(allowed) > 0, allowed).otherwise(F.array(*map(F.lit, DEFAULT_FIELDS)))
-    return rules.where(weight.isNotNull()).select(F.col("p.id").alias("pack"), F.col("r.id").alias("rule"), F.lower("r.type").alias("type"), F.col("r.pattern").alias("pattern"), weight.alias("weight"), source.alias("weight_source"), fields.alias("fields"))
+    return rules.where(weight.isNotNull()).select(F.col("p.id").alias("pack"), F.col("r.id").alias("rule"), F.lower("r.type").alias("type"), F.col("r.pattern").alias("pattern"), weight.alias("weight"), source.alias("weight_source"), fields.alias("fields"), F.coalesce("defaults.case_insensitive", F.lit(True)).alias("case_insensitive"))
 
 
 def term_list(spark: SparkSession, path: str) -> DataFrame:
@@ -112,3 +122,10 @@ def normalized_notices(records: DataFrame) -> DataFrame:
         F.replace(get("uiLink"), F.lit("beta.sam.gov"), F.lit("sam.gov")).alias("source_url"),
         "raw_json",
     )
+
+
+def ontology_summary(ontologies: DataFrame) -> DataFrame:
+    """(sha256, packs, rules) of every ontology; the hash is over its JSON with sorted keys, so spacing and order of keys don't matter."""
+    text = F.to_json(F.parse_json(F.to_json(F.struct("defaults", "packs"))))
+    rules = F.aggregate(F.coalesce("packs", F.array().cast(ONTOLOGY["packs"].dataType)), F.lit(0), lambda n, p: n + F.greatest(F.size(p["rules"]), F.lit(0)))
+    return ontologies.select(F.sha2(text, 256).alias("sha256"), F.greatest(F.size("packs"), F.lit(0)).alias("packs"), rules.alias("rules"))
