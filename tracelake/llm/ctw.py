@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .scratch import short_batches, stored
 from .textbytes import chunks, utf8_list
 
-DEPTH = 4
+DEPTH = 5
 SPLIT = 2
 FREQUENT = 20000
 FREQUENT_GRAMS = 1 << 20
