@@ -15,7 +15,7 @@ grams has a probability for whatever is scored:
 2. The levels above (at most 256 contexts) are sums over the subtrees; the driver weights them.
 3. Each gram's forecast is folded through those levels: that is the table (gram, log2 P).
 
-The most counted grams, at most ``FREQUENT_GRAMS``, are resolved where the documents are read; a
+The most counted grams, at most ``FREQUENT_GRAMS``, are a stored table that each worker reads, so they are resolved where the documents are read; a
 document's other grams are joined with their counts to the table, as its rare words are.
 
 With ``spread`` the model is bounded instead: a context longer than one byte becomes a node only if
@@ -34,13 +34,14 @@ from __future__ import annotations
 
 import itertools
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import short_batches, stored
+from .scratch import new_path, short_batches, stored
 from .textbytes import chunks, utf8_list
 
 DEPTH = 5
@@ -420,7 +421,31 @@ class GramTable:
         return total, pair // max(len(key), 1), key[pair % max(len(key), 1)], n
 
 
-def gram_table(counts: DataFrame, depth: int, most: int) -> tuple[GramTable, DataFrame]:
+_LOADED: dict[str, GramTable] = {}
+
+
+@dataclass(frozen=True)
+class StoredGrams:
+    """A table of at most ``FREQUENT_GRAMS`` (gram, bits) in shared storage; a worker reads it once, the driver never."""
+
+    path: str
+    depth: int
+
+    def table(self) -> GramTable:
+        if self.path not in _LOADED:
+            import pyarrow.fs as fs
+            import pyarrow.parquet as pq
+
+            store, root = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+            files = [x.path for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".parquet")]
+            read = [pq.read_table(f, columns=["gram", "bits"], filesystem=store) for f in sorted(files)]
+            columns = [np.concatenate([t[n].to_numpy() for t in read]) if read else np.zeros(0) for n in ("gram", "bits")]
+            _LOADED.clear()
+            _LOADED[self.path] = GramTable(columns[0].astype(np.int64), columns[1].astype(np.float64), self.depth)
+        return _LOADED[self.path]
+
+
+def gram_table(counts: DataFrame, depth: int, most: int) -> tuple[StoredGrams, DataFrame]:
     """(the most counted grams, at most ``most``; (gram, bits) of all others) from all grams and counts."""
     model = stored(subtree_table(counts, depth), "ctw-model")
     nodes = model.where("node is not null").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("below", "zeros", "ones"))).toPandas()
@@ -433,9 +458,11 @@ def gram_table(counts: DataFrame, depth: int, most: int) -> tuple[GramTable, Dat
             break
         cut = r["rank"]
     log2_p = log2_udf(top_levels(nodes, depth), depth)
-    often = grams.where(F.lit(False) if cut is None else F.col("rank") >= cut).select("gram", log2_p("gram", "bits").alias("bits")).toPandas()
+    often = grams.where(F.lit(False) if cut is None else F.col("rank") >= cut).select("gram", log2_p("gram", "bits").alias("bits"))
+    path = new_path(counts.sparkSession, "ctw-frequent")
+    often.write.parquet(path)
     others = grams.where(F.lit(True) if cut is None else F.col("rank") < cut).select("gram", log2_p("gram", "bits").alias("bits"))
-    return GramTable(often["gram"].to_numpy(np.int64), often["bits"].to_numpy(float), depth), others
+    return StoredGrams(path, depth), others
 
 
 # ---- scoring -----------------------------------------------------------------------------------
@@ -444,7 +471,7 @@ _SCORED = "n_tokens bigint, score double, known bigint, base double, rare array<
 _SCORED_KIND = pa.struct([("n_tokens", pa.int64()), ("score", pa.float64()), ("known", pa.int64()), ("base", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("n", pa.int64())])))])
 
 
-def scoring_udf(tree: ContextTree | GramTable, frequent: dict[bytes, float]):
+def scoring_udf(tree: ContextTree | StoredGrams, frequent: dict[bytes, float]):
     """Arrow UDF: text -> token count, log10 P, base terms of frequent words, the rare words, and the grams that log10 P lacks."""
 
     @F.arrow_udf(_SCORED)
@@ -458,8 +485,8 @@ def scoring_udf(tree: ContextTree | GramTable, frequent: dict[bytes, float]):
         gram_counts: list[np.ndarray] = []
         for a, b in chunks(np.array([len(x) for x in raws], np.int64), CHUNK_BYTES):
             rows = [words_of(x) for x in raws[a:b]]
-            if isinstance(tree, GramTable):
-                log2, row, gram, n = tree.score(rows)
+            if isinstance(tree, StoredGrams):
+                log2, row, gram, n = tree.table().score(rows)
                 grams.append(gram)
                 gram_counts.append(n)
                 gram_ends.append(gram_ends[-1][-1] + np.cumsum(np.bincount(row, minlength=len(rows))))
