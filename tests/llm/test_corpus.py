@@ -118,7 +118,7 @@ def test_ctw_rare_context_has_its_own_node(spark):
     key = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2)
     train = [i for i in range(200, 250) if zlib.crc32(str(i).encode()) % 7 != 2][:5]
     frame = spark.createDataFrame([*common, *((i, "xaby xaby") for i in train), (key, "xaby")], "doc_id long, text string")
-    whole, bounded = (next(r["score"] for r in ctw.score_documents(frame, spread=s).collect() if r["doc_id"] == key) for s in (None, 8192))
+    whole, bounded = (next(r["score"] for r in ctw.score_documents(frame, depth=4, spread=s).collect() if r["doc_id"] == key) for s in (None, 8192))
     assert whole > bounded + 0.2
 
 
