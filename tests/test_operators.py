@@ -223,3 +223,14 @@ def test_versions_and_explanations(spark):
     assert got == ["clauses +2; keywords +1; entity +1; pair +1", "No material score-component change."]
     with pytest.raises(ValueError):
         surfaces.query_leads(rows, sort_by="nonsense")
+
+
+def test_ranks_of_a_long_ranking(spark, tmp_path):
+    rows = spark.range(0, 5000, 1, 7).select("id", (F.pmod(F.xxhash64("id"), F.lit(50))).alias("score"), F.when(F.col("id") % 3 == 0, F.lit(AT)).alias("occurred_at"))
+
+    def store(df):
+        df.write.parquet(str(tmp_path / "ranked"))
+        return spark.read.parquet(str(tmp_path / "ranked"))
+
+    one, many = (scoring.snapshot(rows, "s", f).select("id", "rank").collect() for f in (None, store))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(many) == 5000

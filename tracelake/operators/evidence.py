@@ -53,10 +53,13 @@ def linked_sources(leads: DataFrame, links: DataFrame, found: DataFrame, events:
     per_event = rows.groupBy("id", "event_id").agg(F.collect_set("lane").alias("lanes"))  # at most one value per lane
     known = [c for c in columns if c in events.columns]
     told = per_event.join(events.select(F.col("id").alias("event_id"), "source", *known), "event_id")
+    counts = told.groupBy("id", "source").agg(F.count("*").alias("linked_events"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("lanes")))).alias("lanes"))
+    # only the first few events of a lead and source are ranked: Spark cuts them before the shuffle
     k = F.row_number().over(Window.partitionBy("id", "source").orderBy("event_id"))
-    told = told.withColumn("_k", k)
-    few = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= samples, F.struct("_k", F.col(c).alias("v"))))), lambda x: x["v"])
-    return told.groupBy("id", "source").agg(F.count("*").alias("linked_events"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("lanes")))).alias("lanes"), few("event_id").alias("sample_ids"), *[few(c).alias(f"sample_{c}") for c in known])
+    firsts = told.select("id", "source", "event_id", *known).withColumn("_k", k).where(F.col("_k") <= samples)
+    few = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_k", F.col(c).alias("v")))), lambda x: x["v"])
+    firsts = firsts.groupBy("id", "source").agg(few("event_id").alias("sample_ids"), *[few(c).alias(f"sample_{c}") for c in known])
+    return counts.join(firsts, ["id", "source"])
 
 
 # ---- packages --------------------------------------------------------------------------------------

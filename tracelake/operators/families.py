@@ -107,9 +107,13 @@ def group_summary(leads: DataFrame, places: DataFrame, family: str | None = None
     if family is not None:  # leads without the family stay under their primary one
         primary = places.where("role = 'primary'").select("id", F.col("family").alias("_first"))
         mine = mine.join(primary, "id", "left").select("id", F.when(F.col("lead_family") == family, F.col("lead_family")).otherwise(F.col("_first")).alias("lead_family"))
-    first = F.row_number().over(Window.partitionBy("lead_family").orderBy("rank", "id"))
-    rows = leads.select("id", "score", "rank").join(mine, "id", "left").withColumn("_k", first)
-    out = rows.groupBy("lead_family").agg(F.count("*").alias("leads"), F.max("score").alias("top_score"), F.min("rank").alias("top_rank"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= samples, F.struct("_k", "id")))), lambda x: x["id"]).alias("sample_ids"))
+    rows = leads.select("id", "score", "rank").join(mine, "id", "left")
+    counts = rows.groupBy("lead_family").agg(F.count("*").alias("leads"), F.max("score").alias("top_score"), F.min("rank").alias("top_rank"))
+    # only the first few leads of a family are ranked: Spark cuts them before the shuffle
+    place = F.row_number().over(Window.partitionBy("lead_family").orderBy("rank", "id"))
+    firsts = rows.select("lead_family", "id", "rank").withColumn("_k", place).where(F.col("_k") <= samples)
+    firsts = firsts.groupBy(F.col("lead_family").alias("_family")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "id"))), lambda x: x["id"]).alias("sample_ids"))
+    out = counts.join(firsts, F.col("lead_family").eqNullSafe(F.col("_family"))).drop("_family")
     return out.orderBy(F.col("lead_family").isNull(), F.desc("leads"), "top_rank", "lead_family")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,10 +52,24 @@ def ranked(df: DataFrame, score: Column, min_score: int = 1, limit: int | None =
     return rows.limit(limit) if limit else rows
 
 
-def snapshot(top: DataFrame, snapshot_id: str) -> DataFrame:
-    """Freeze a bounded ranking: ranks from 1."""
-    order = Window.partitionBy("snapshot_id").orderBy(F.desc("score"), F.col("occurred_at").desc_nulls_last(), F.desc("id"))
-    return top.withColumn("snapshot_id", F.lit(snapshot_id)).withColumn("rank", F.row_number().over(order))
+def snapshot(top: DataFrame, snapshot_id: str, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Freeze a ranking: ranks from 1.
+
+    A bounded ranking is numbered by one task. With ``store``, which writes a table to shared storage and reads it
+    back, a ranking of any length is: sorted rows are numbered inside their partitions, and only the
+    partitions' sizes meet in one place.
+    """
+    order = [F.desc("score"), F.col("occurred_at").desc_nulls_last(), F.desc("id")]
+    rows = top.withColumn("snapshot_id", F.lit(snapshot_id))
+    if store is None:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("snapshot_id").orderBy(*order)))
+    rows = store(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.withColumn("_before", before).drop("_n")
+    numbered = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn("rank", (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int")).drop("_part", "_at", "_before")
 
 
 def delta(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -265,10 +265,14 @@ def src9(spark, sf_dir):
     return customers.union(merge.new_rows(customers, suppliers, "name").select("name"))
 
 
-@register("snk2_event_entities", awards_sql("SELECT id, entity_id, recipient_name AS name, recipient_uei AS uei FROM awards"))
+@register("snk2_event_entities", awards_sql("SELECT id, entity_id, CASE WHEN entity_id % 4 <> 0 THEN upper(recipient_name) ELSE recipient_name END AS name, recipient_uei AS uei FROM awards"))
 def snk2(spark, sf_dir):
     customers = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_name").alias("name"))
-    return exports.event_entities(v.award_events(spark, sf_dir), customers)
+    events = v.award_events(spark, sf_dir)
+    raw = F.to_json(F.struct(F.col("recipient_uei").alias("RECIPIENT Uei"), F.col("recipient_name").alias("Recipient_Name")))
+    bare = lambda c, n: F.when(F.col("id") % n != 0, F.col(c))
+    events = events.withColumn("raw_json", raw).withColumns({"recipient_uei": bare("recipient_uei", 2), "recipient_name": bare("recipient_name", 3)})
+    return exports.event_entities(events, customers.where("entity_id % 4 != 0").withColumn("name", F.upper("name")), "raw_json")
 
 
 @register("snk3_correlations", awards_sql("SELECT 'same_contract_id|*|30|piid:' || piid AS correlation_key, count(*) AS event_count, count(*) AS members, min(id) AS first_id, max(id) AS last_id FROM awards GROUP BY piid HAVING count(*) BETWEEN 2 AND 200"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import streaming
 from ..functions import normalize as nz
 from ..operators import candidates, filters, lanes, merge, review, scoring, search, tagging
 from ..sources import views as v
@@ -490,5 +494,18 @@ def qry9(spark, sf_dir):
 
 @register("str1_event_activity", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events FROM events GROUP BY 1, 2")
 def str1(spark, sf_dir):
-    w = v.table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("events"))
-    return w.select(F.col("window.start").alias("start"), "event_type", "events")
+    folder = f"{shared_folder(spark)}/activity-{uuid.uuid4().hex}"
+    schema = v.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return streaming.activity_table(stream, f"{folder}/table", f"{folder}/state").select("start", "event_type", "events")
+
+
+def shared_folder(spark) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder only where it is unset and Spark runs in one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tracelake-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
