@@ -25,6 +25,10 @@ def clean_code(c: Column) -> Column:
     return F.upper(clean_text(c))
 
 
+def clean_label(c: Column) -> Column:
+    return F.lower(clean_text(c))
+
+
 def naics_code(c: Column) -> Column:
     code = F.upper(F.regexp_replace(clean_text(c), "[^A-Za-z0-9]", ""))
     return F.when(code != "", code)

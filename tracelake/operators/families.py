@@ -139,3 +139,8 @@ def concentration(leads: DataFrame, places: DataFrame, tops: tuple[int, ...] = (
     out = n.groupBy("top").agg(F.sum("n").alias("leads"), F.max_by("family", F.when(F.col("family").isNotNull(), F.struct("n", "family"))).alias("family"), F.max(F.when(F.col("family").isNotNull(), F.col("n"))).alias("most"))
     share = F.bround(F.coalesce(F.col("most"), F.lit(0)) / F.col("leads"), 4)
     return out.select("top", "leads", "family", share.alias("share"), (share > collapse).alias("collapsed"))
+
+
+def matches_family(places: DataFrame, family: str) -> DataFrame:
+    """(id): leads that have the family as their primary or as a secondary one."""
+    return places.where((F.col("family") == family) & F.col("role").isin("primary", "secondary")).select("id").distinct()

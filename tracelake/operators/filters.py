@@ -112,3 +112,34 @@ def posted_window(days: int | None = None, posted_from: str | None = None, poste
         raise ValueError("days must be 1 to 365")
     last = date.fromisoformat(today) if today else date.today()
     return (last - timedelta(days=days)).isoformat(), last.isoformat()
+
+
+def hard_filters(df: DataFrame, text: str, *, include_any: tuple[str, ...] = (), exclude_any: tuple[str, ...] = (), agency_like: str | None = None, agency: str = "agency_name", min_amount: float | None = None, amount: str = "amount") -> DataFrame:
+    """Hunted rows that mention any wanted and no unwanted term (whole words), whose agency contains a text, and whose amount, if known, is enough."""
+    from .tagging import term_hits
+
+    rows = df
+    if include_any:
+        rows = rows.where(term_hits(F.col(text), list(include_any)) > 0)
+    if exclude_any:
+        rows = rows.where(term_hits(F.col(text), list(exclude_any)) == 0)
+    if agency_like is not None:
+        rows = rows.where(contains_text(F.coalesce(agency, F.lit("")), agency_like))
+    return rows if min_amount is None else rows.where(F.col(amount).isNull() | (F.col(amount) >= min_amount))
+
+
+def lead_conditions(df: DataFrame, as_of: str | None = None, since_days: int | None = None, created_from=None, created_to=None, **filters) -> Column:
+    """Conditions of lead candidates, to be asked before a scan limit: those of events, and ranges of the creation and of recent time."""
+    condition = event_conditions(df, **filters)
+    if created_from is not None:
+        condition = condition & (F.col("created_at") >= F.lit(created_from).cast("timestamp"))
+    if created_to is not None:
+        condition = condition & (F.col("created_at") <= F.lit(created_to).cast("timestamp"))
+    if since_days is not None:
+        condition = condition & (F.col("occurred_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {int(since_days)} DAYS"))
+    return condition
+
+
+def in_window(c: Column, start: str, end: str) -> Column:
+    """Whether a time lies in the window; a time that isn't known doesn't."""
+    return F.coalesce(c.between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")), F.lit(False))

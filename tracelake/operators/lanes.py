@@ -111,6 +111,17 @@ def keyword_pairs(df: DataFrame, min_pair_count: int = 3, max_events: int | None
     return out.select(key.alias("correlation_key"), "k1", "k2", "c1", "c2", "c12", *[F.bround(c, 6).alias(n) for n, c in signal.items()])
 
 
+def pair_links(df: DataFrame, found: DataFrame) -> DataFrame:
+    """(correlation_key, event_id) of the events that hold both keywords of a pair.
+
+    An event meets only pairs of two of its own keywords, so rows are bounded by the pairs' event counts.
+    """
+    words = df.select("id", F.array_sort(F.array_distinct(F.transform("keywords", normal_keyword))).alias("ks"))
+    both = F.flatten(F.transform("ks", lambda a, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda b: F.struct(a.alias("k1"), b.alias("k2")))))
+    rows = words.select(F.col("id").alias("event_id"), F.explode(both).alias("p")).select("event_id", "p.*")
+    return rows.join(found.select("correlation_key", "k1", "k2"), ["k1", "k2"]).select("correlation_key", "event_id")
+
+
 def reconcile(old: DataFrame, new: DataFrame, columns: tuple[str, ...] = ("event_count",)) -> DataFrame:
     """What a rebuild does to each correlation key: created, updated, unchanged or deleted."""
     o = old.select("correlation_key", F.struct(*columns).alias("o"))

@@ -77,3 +77,28 @@ def window_differs(requested: tuple[str, str], first: Column, last: Column) -> C
     """Whether the data's own span leaves part of the requested one empty or goes beyond it."""
     start, end = (F.to_date(F.lit(x)) for x in requested)
     return F.coalesce((F.to_date(first) != start) | (F.to_date(last) != end), F.lit(True))
+
+
+def evaluation_checks(metrics: DataFrame) -> DataFrame:
+    """The four gates of an evaluation, from one row: ``complete``, ``top10``, ``top10_non_routine``, ``top10_backed``, ``top50``, ``family`` and ``family_share``.
+
+    Most of the first ten leads must not be routine and five must be backed; a family may hold half of fifty leads,
+    which is required only of the fallback family.
+    """
+    c = F.col
+    enough = c("top50") >= 10
+    gate = lambda name, ok, required, severity: F.struct(F.lit(name).alias("metric"), F.coalesce(ok, F.lit(False)).alias("ok"), F.coalesce(required, F.lit(False)).alias("required"), severity.alias("severity"))
+    fallback = enough & (c("family") == FALLBACK_FAMILY)
+    gates = F.array(
+        gate("evaluation_artifact_completeness", c("complete"), F.lit(True), F.lit("critical")),
+        gate("evaluation_top10_non_routine_majority", c("top10_non_routine") >= F.ceil(c("top10") / 2), F.lit(False), F.lit("warning")),
+        gate("evaluation_top10_proxy_or_pairbacked_threshold", c("top10_backed") >= F.least(F.lit(5), c("top10")), F.lit(False), F.lit("warning")),
+        gate("evaluation_family_collapse_threshold", ~enough | (F.coalesce(c("family_share"), F.lit(0.0)) <= 0.5), fallback, F.when(fallback, "error").otherwise("warning")),
+    )
+    kept = [x for x in metrics.columns if x not in EVALUATED]
+    return metrics.select(*kept, F.explode(gates).alias("g")).select(*kept, "g.*")
+
+
+EVALUATED = ("complete", "top10", "top10_non_routine", "top10_backed", "top50", "family", "family_share")
+#: The family that leads fall back to (a fixed value).
+FALLBACK_FAMILY = "vendor_network_contract_lineage"

@@ -93,3 +93,19 @@ def score_spread(rows: DataFrame, top: int = 10) -> DataFrame:
     r = rows.where(F.col("rank") <= top)
     out = r.agg(F.max("score").alias("max_score"), F.min("score").alias("min_score"), F.median("score").alias("median_score"), F.count_distinct("score").alias("unique_scores"))
     return out.withColumn("spread", F.col("max_score") - F.col("min_score"))
+
+
+def pair_metrics(pairs: DataFrame, min_signal: float = 0.15, min_events: int = 2) -> DataFrame:
+    """(id, pair_count, pair_count_total, pair_strength): strong pairs, all pairs, and the summed strength of the strong ones.
+
+    ``pairs`` has (id, npmi, event_count). A pair without a signal (null) weighs 1 / sqrt(event_count).
+    """
+    strong = (F.col("npmi") >= min_signal) & (F.col("event_count") >= min_events)
+    gain = F.when(F.col("npmi").isNull(), 1 / F.sqrt(F.greatest(F.col("event_count"), F.lit(1)))).when(strong, F.greatest(F.lit(0.0), F.col("npmi"))).otherwise(0.0)
+    return pairs.groupBy("id").agg(F.count_if(strong | F.col("npmi").isNull()).alias("pair_count"), F.count("*").alias("pair_count_total"), F.bround(F.sum(gain), 6).alias("pair_strength"))
+
+
+def noisy_v2(score: Column, bonus: Column, noise: Column) -> tuple[Column, Column]:
+    """(score, bonus) of version 2 where an event is noise: a bonus of two at most, and eight points less."""
+    less = F.when(noise, F.least(F.lit(2), bonus)).otherwise(bonus)
+    return score - bonus + less - F.when(noise, 8).otherwise(0), less

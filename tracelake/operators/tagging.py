@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normalize import bounded_text
+
 CHUNK = 100
 MOST_RULES = 10_000
 
@@ -112,3 +114,20 @@ def hunt_rows(source: str, df: DataFrame, key: str, title: Column, amount: Colum
     """One row shape for every hunted source: (source, key, title, amount, at)."""
     none = lambda kind: F.lit(None).cast(kind)
     return df.select(F.lit(source).alias("source"), F.col(key).cast("string").alias("key"), title.alias("title"), (none("double") if amount is None else amount.cast("double")).alias("amount"), (none("timestamp") if at is None else at.cast("timestamp")).alias("at"))
+
+
+#: What of an event is tagged (fixed values).
+TAGGABLE = ("snippet", "place_text", "doc_id", "source_url", "raw_json")
+
+
+def taggable_fields(df: DataFrame, most: int = 65536) -> DataFrame:
+    """``df`` with the fields that are tagged, as texts: what is missing is empty, nested raw records are JSON, long ones are shortened."""
+    kinds = dict(df.dtypes)
+
+    def text(name: str) -> Column:
+        if name not in kinds:
+            return F.lit("")
+        c = F.to_json(name) if kinds[name].startswith(("struct", "map", "array")) else F.col(name).cast("string")
+        return F.coalesce(bounded_text(c, most) if name == "raw_json" else c, F.lit(""))
+
+    return df.withColumns({n: text(n) for n in TAGGABLE})

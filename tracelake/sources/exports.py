@@ -84,3 +84,38 @@ def search_documents(events: DataFrame, columns: tuple[str, ...], after: int | N
     rows = events if after is None else events.where(F.col("id") > after)
     key = F.sha2(F.concat_ws("|", "source", F.col("id").cast("string")), 256)
     return rows.select(key.alias("hash"), "id", *columns)
+
+
+def export_events(events: DataFrame, path: str, mode: str = "errorifexists", **query) -> None:
+    """The filtered, sorted events of ``filters.query_events`` as CSV and JSON."""
+    from ..operators.filters import query_events
+
+    write_both(query_events(events, **query), path, mode)
+
+
+def export_snapshot(leads: DataFrame, path: str, places: DataFrame | None = None, family: str | None = None, mode: str = "errorifexists") -> None:
+    """A lead snapshot, all of it or one family's (primary or secondary), and a summary of one row."""
+    from ..operators.evidence import review_rows, review_summary
+    from ..operators.families import matches_family
+
+    chosen = leads if family is None else leads.join(matches_family(places, family), "id", "left_semi")
+    rows = review_rows(chosen)
+    write_both(rows.orderBy("rank"), f"{path}/leads", mode)
+    review_summary(rows).write.mode(mode).json(f"{path}/summary")
+
+
+def export_packages(packages: DataFrame, by: str, path: str, mode: str = "errorifexists") -> None:
+    """Evidence packages as JSON Lines, one package a line, sorted by ``by`` over all files."""
+    packages.orderBy(by).write.mode(mode).json(path)
+
+
+def export_dossier_index(leads: DataFrame, dossiers: DataFrame, path: str, top: int = 10, mode: str = "errorifexists") -> None:
+    """The index of the first ``top`` leads' dossiers: the lead, and how many support records it has by lane."""
+    write_both(dossier_index(leads, dossiers, top), path, mode)
+
+
+def dossier_index(leads: DataFrame, dossiers: DataFrame, top: int = 10) -> DataFrame:
+    """(rank, id, score, records, lanes) of the first ``top`` leads in order."""
+    per_lead = dossiers.groupBy(F.col("lead_id").alias("id")).agg(F.count("*").alias("records"), F.array_sort(F.collect_set("lane")).alias("lanes"))  # a lead has few lanes
+    rows = leads.where(F.col("rank") <= top).join(per_lead, "id", "left")
+    return rows.select("rank", "id", "score", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("lanes", F.array().cast("array<string>")).alias("lanes")).orderBy("rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,19 +19,30 @@ FIELDS = ("snippet", "place_text", "doc_id", "source_url", "raw_json")
 DEFAULT_FIELDS = ("snippet", "place_text", "doc_id")
 
 
-def award_pages(spark: SparkSession, path: str) -> DataFrame:
+def record_pages(spark: SparkSession, path: str, member: str, one_a_file: bool = True) -> DataFrame:
+    """(raw_json, source_file, page): the records of the list ``member`` of every landed page, and an empty page as one row without a record.
+
+    ``page`` numbers pages within the read. A file is one page, or holds a page a line (which Spark can split).
+    """
+    pages = spark.read.schema(f"{member} array<string>").json(path, multiLine=one_a_file, recursiveFileLookup=True)
+    numbered = pages.select(member, F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("page"))
+    return numbered.select(F.explode_outer(member).alias("raw_json"), "source_file", "page")
+
+
+def award_pages(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
     """One row per record of ``results[]``: the record as a JSON text, and its file."""
-    pages = spark.read.schema("results array<string>").json(path, multiLine=True, recursiveFileLookup=True)
-    return pages.select(F.explode("results").alias("raw_json"), F.col("_metadata.file_path").alias("source_file"))
+    return record_pages(spark, path, "results", one_a_file).where("raw_json is not null").drop("page")
 
 
-def notice_pages(spark: SparkSession, path: str) -> DataFrame:
-    pages = spark.read.schema("opportunitiesData array<string>").json(path, multiLine=True, recursiveFileLookup=True)
-    return pages.select(F.explode("opportunitiesData").alias("raw_json"), F.col("_metadata.file_path").alias("source_file"))
+def notice_pages(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
+    """One row per record of ``opportunitiesData[]``. Files of several search terms are read together; ``merge.first_rows`` makes records unique."""
+    return record_pages(spark, path, "opportunitiesData", one_a_file).where("raw_json is not null").drop("page")
 
 
 def page_diagnostics(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("source_file").agg(F.count("*").alias("records"))
+    """Per file of ``record_pages``: pages with records, empty pages, records."""
+    per_page = pages.groupBy("source_file", "page").agg(F.count("raw_json").alias("n"))
+    return per_page.groupBy("source_file").agg(F.count_if(F.col("n") > 0).alias("pages_with_data"), F.count_if(F.col("n") == 0).alias("empty_pages"), F.sum("n").alias("records"))
 
 
 def rule_table(spark: SparkSession, path: str) -> DataFrame:
@@ -54,17 +67,43 @@ def flat_rules(ontologies: DataFrame) -> DataFrame:
 
 
 def term_list(spark: SparkSession, path: str) -> DataFrame:
-    """Terms of newline-delimited files; comments and repeats dropped."""
-    return spark.read.text(path).select(F.trim("value").alias("term")).where("term != '' and not startswith(term, '#')").distinct()
-
-
-def label_files(spark: SparkSession, csv: str) -> DataFrame:
-    """Reviewer labels with valid decisions; invalid rows carry a reason."""
-    rows = spark.read.csv(csv, header=True, recursiveFileLookup=True)
-    decision = F.lower(F.trim("decision"))
-    rank = F.expr("try_cast(rank as int)")
-    problem = F.when(~decision.isin("keep", "reject", "unclear"), "decision").when(rank.isNull() | (rank < 1), "rank").when(F.coalesce(clean_text(F.col("event_id")), F.lit("")) == "", "identity")
-    return rows.select("*", F.col("_metadata.file_path").alias("source_file")).withColumns({"decision": decision, "rank": rank, "problem": problem})
+    """(term, place): terms of newline-delimited files in order, from their first place on; comments and repeats dropped."""
+    lines = spark.read.text(path).select(F.trim("value").alias("term"), F.monotonically_increasing_id().alias("place"))
+    return lines.where("term != '' and not startswith(term, '#')").groupBy("term").agg(F.min("place").alias("place"))
+
+
+def merged_terms(*lists: DataFrame) -> DataFrame:
+    """Several ``term_list`` tables as one, in the order given; a term counts where it comes first."""
+    every = [t.select("term", F.struct(F.lit(k).alias("list"), "place").alias("place")) for k, t in enumerate(lists)]
+    return reduce(DataFrame.unionByName, every).groupBy("term").agg(F.min("place").alias("place"))
+
+
+LABELS = "snapshot_id string, event_id string, rank string, decision string, foia_ready string"
+YES, NO = ("yes", "y", "true", "1"), ("no", "n", "false", "0")
+
+
+def label_files(spark: SparkSession, csv: str | None = None, jsonl: str | None = None) -> DataFrame:
+    """Reviewer labels of CSV files and JSON Lines files below folders; a row that isn't valid carries its ``problem``."""
+    read = []
+    if csv is not None:
+        rows = spark.read.csv(csv, header=True, recursiveFileLookup=True, escape='"')
+        read.append(rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in LABELS.replace(" string", "").split(", ")], F.col("_metadata.file_path").alias("source_file")))
+    if jsonl is not None:
+        read.append(spark.read.schema(LABELS).json(jsonl, recursiveFileLookup=True).select("*", F.col("_metadata.file_path").alias("source_file")))
+    return checked_labels(reduce(DataFrame.unionByName, read))
+
+
+def checked_labels(rows: DataFrame) -> DataFrame:
+    """``rows`` with decision, rank and foia_ready in their own types, and ``problem``: decision, foia_ready, rank, identity or duplicate."""
+    decision, ready = F.lower(clean_text(F.col("decision"))), F.lower(clean_text(F.col("foia_ready")))
+    rank, event = F.expr("try_cast(rank as int)"), clean_text(F.col("event_id"))
+    answer = F.when(ready.isin(*YES), "yes").when(ready.isin(*NO), "no")
+    problem = F.when(decision.isNotNull() & ~decision.isin("keep", "reject", "unclear"), "decision").when(ready.isNotNull() & answer.isNull(), "foia_ready").when(rank.isNull() | (rank < 1), "rank").when(event.isNull(), "identity")
+    out = rows.withColumns({"problem": problem, "decision": decision, "foia_ready": answer, "rank": rank, "event_id": event})
+    twice = out.where("event_id is not null").groupBy("snapshot_id", "event_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = twice.select(F.col("snapshot_id").alias("_s"), F.col("event_id").alias("_e"), "_n")
+    out = out.join(repeated, F.col("snapshot_id").eqNullSafe(F.col("_s")) & (F.col("event_id") == F.col("_e")), "left")
+    return out.withColumn("problem", F.coalesce("problem", F.when(F.col("_n").isNotNull(), "duplicate"))).drop("_s", "_e", "_n")
 
 
 def json_field(raw: str, *names: str):
