@@ -4,6 +4,7 @@ import functools
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -179,11 +180,83 @@ def test_near_duplicates_equal_brute_force(documents, nothing, rows):
     got = sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(documents).collect())
     assert got == want
     assert simhash.near_duplicates(nothing).count() == 0
-    kept = simhash.one_of_each(documents)
+    kept = simhash.one_of_each(documents, n_prints=1)
     assert kept.columns == documents.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(x for x in set(least.values()))
 
 
+def plain_mixture(value: int, k: int) -> int:
+    """SplitMix64 in whole numbers."""
+    if not k:
+        return value
+    most = (1 << 64) - 1
+    z = (value + 0x9E3779B97F4A7C15 * k) & most
+    z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & most
+    z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & most
+    return z ^ (z >> 31)
+
+
+def plain_fingerprints(text: str | None, n: int) -> tuple[int, ...]:
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return tuple(sum(1 << b for b in range(64) if 2 * sum(plain_mixture(h, k) >> b & 1 for h in hashes) > len(hashes)) for k in range(n))
+
+
+def test_near_copies_link_by_any_fingerprint(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    texts = [None, "", "one", "one two"]
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice((20, 200)))]
+        texts.append(" ".join(base))
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    prints = [plain_fingerprints(t, 6) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if any((x ^ y).bit_count() <= 2 for x, y in zip(prints[i], prints[j])):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sorted(r["doc_id"] for r in simhash.one_of_each(frame).collect())
+    assert got == [i for i in range(len(texts)) if find(i) == i]
+    alone = simhash.one_of_each(frame, n_prints=1).count()
+    assert len(got) < alone < len(texts)
+
+
+def test_an_anchor_gives_a_forest_of_links():
+    rng = np.random.default_rng(3)
+    prints = np.unique(rng.integers(0, 64, 40)).astype(np.uint64) << np.uint64(58)
+    found = simhash.spanning_links(prints, np.arange(len(prints)), 1)
+    comp = plain_components_within(prints.tolist(), 1)
+    assert len(found) == len(prints) - len(set(comp.values()))
+    assert all(comp[int(prints[a])] == comp[int(prints[b])] for a, b in found)
+
+
+def plain_components_within(prints: list[int], bits: int) -> dict[int, int]:
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(prints, 2):
+        if (a ^ b).bit_count() <= bits:
+            root[find(a)] = find(b)
+    return {p: find(p) for p in prints}
+
+
 def test_links_find_every_pair_within_two_bits(spark):
     rng = random.Random(4)
     prints = {0, (1 << 64) - 1}
@@ -243,8 +316,6 @@ def test_whole_rows_with_maps_and_clashing_names(spark):
 def test_whole_rows_are_shuffled_once(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = simhash.one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
-    import re
-
     wide = [line for line in plan.splitlines() if re.search(r"\bExchange hashpartitioning", line)]
     assert "SortMergeJoin" in plan and len(wide) <= 6
 
@@ -412,12 +483,16 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{source}/benchmark.parquet").collect()]
     rows = [r.asDict() for r in docs.collect()]
     rows = [r for r in rows if any(c.isalpha() for c in r["text"] or "")]
-    comp = plain_components(sorted({plain_fingerprint(r["text"]) for r in rows}))
-    least = {}
-    for r in rows:
-        k = comp[plain_fingerprint(r["text"])]
-        least[k] = min(least.get(k, r["doc_id"]), r["doc_id"])
-    rows = [r for r in rows if r["doc_id"] in set(least.values())]
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    prints = np.array([plain_fingerprints(r["text"], 6) for r in rows], np.uint64)
+    near = (np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 2).any(2)
+    least = list(range(len(rows)))
+    for _ in rows:  # labels of the least row spread along links until none changes
+        now = [min(least[j] for j in np.flatnonzero(near[i])) for i in range(len(rows))]
+        if now == least:
+            break
+        least = now
+    rows = [r for i, r in enumerate(rows) if least[i] == i]
     index = dc.ItemIndex(items)
     rows = [r for r in rows if max(index.verify(r["text"].lower().encode(), range(len(index.items)))) < 0.8]
     for r in rows:
