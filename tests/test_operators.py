@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake import streaming
 from tracelake.operators import candidates, entities, filters, lanes, merge, review, scoring, tagging
-from tracelake.sources import landed
+from tracelake.sources import canonical, landed
 
 AT = dt.datetime(2024, 3, 1)
 
@@ -144,6 +144,34 @@ def test_landed_feeds(spark, tmp_path):
     assert sorted(r["term"] for r in landed.term_list(spark, str(tmp_path / "terms.txt")).collect()) == ["alpha", "beta"]
 
 
+def test_canonical_fields_of_odd_records(spark):
+    texts = [None, "", "[1]", "not json", "{}", '{"UEI": "a", "uei": "b", "place_of_performance": {"state": {"name": "x"}, "city": " Bonn "}}', '{"naics": {"code": "54-1"}, "award": {"recipient": {"legalBusinessName": "N"}}, "officeAddress": {"city": "C"}, "placeOfPerformance": {}, "active": true}', '{"Award ID": " NaN ", "awardId": 7, "notice_id": null}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, raw_json string")
+    award = {r["id"]: r for r in canonical.award_fields(rows).collect()}
+    assert len(award) == len(texts) and len(award[0].asDict()) == 33
+    assert all(award[i][c] is None for i in range(5) for c in canonical.AWARD_FIELDS)
+    assert award[5]["recipient_uei"] == "A" and award[5]["place_of_performance_city"] == "Bonn" and award[5]["place_of_performance_state"] is None
+    assert award[6]["naics_code"] is None and award[7]["award_id"] == award[7]["document_id"] == award[7]["source_record_id"] == "7"
+    notice = {r["id"]: r for r in canonical.notice_fields(rows).collect()}
+    assert notice[6]["naics_code"] == "541" and notice[6]["recipient_name"] == "N" and notice[6]["place_of_performance_city"] == "C" and notice[5]["recipient_uei"] == "A"
+    context = {r["id"]: r for r in canonical.context_fields(rows).collect()}
+    assert context[6]["sam_active"] is True and context[6]["sam_naics_code"] == "541" and all(context[1][c] is None for c in canonical.CONTEXT_FIELDS)
+
+
+def test_term_lists_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# c\nbeta\nalpha\nbeta\n")
+    (tmp_path / "b.txt").write_text("gamma\nalpha\n")
+    merged = landed.merged_terms(landed.term_list(spark, str(tmp_path / "a.txt")), landed.term_list(spark, str(tmp_path / "b.txt")))
+    assert [r["term"] for r in merged.orderBy("place").collect()] == ["beta", "alpha", "gamma"]
+
+
+def test_label_rows_that_are_not_valid(spark):
+    rows = [("s", "1", "1", "keep", "yes"), ("s", "2", "0", "keep", None), ("s", " ", "3", None, "no"), ("s", "4", "4", "perhaps", "no"), ("s", "5", "5", "REJECT", "sure"), ("s", "6", "6", None, None), ("s", "6", "7", "keep", "n"), (None, "7", "8", "unclear", "1"), (None, "7", "9", "unclear", "1")]
+    got = landed.checked_labels(spark.createDataFrame(rows, landed.LABELS)).orderBy("rank").collect()
+    assert {r["rank"]: r["problem"] for r in got} == {0: "rank", 1: None, 3: "identity", 4: "decision", 5: "foia_ready", 6: "duplicate", 7: "duplicate", 8: "duplicate", 9: "duplicate"}
+    assert {r["rank"]: r["foia_ready"] for r in got}[8] == "yes" and {r["rank"]: r["decision"] for r in got}[5] == "reject"
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))

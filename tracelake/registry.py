@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import details as _details  # noqa: F401  (registers its queries)
 from .plans import feeds as _feeds  # noqa: F401  (registers its queries)
 from .plans import flows as _flows  # noqa: F401  (registers its queries)
 from .plans import leads as _leads  # noqa: F401  (registers its queries)
