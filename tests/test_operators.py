@@ -224,15 +224,15 @@ def test_first_rows_are_the_same_in_every_order(spark):
 
 
 def test_runs_skip_stages(spark):
-    from tracelake.operators import runs
+    from tracelake.operators import linking, runs
 
     new = spark.createDataFrame([(1, "h1", "urgent", "U1", "Acme", AT, 5.0), (2, "h2", "calm", None, None, AT, 1.0), (3, "h1", "urgent", "U1", "Acme", AT, 5.0)], "id long, hash string, snippet string, recipient_uei string, recipient_name string, occurred_at timestamp, amount double")
-    known = spark.createDataFrame([(9, "u1", None, None, None, "x")], "entity_id long, uei string, duns string, cage string, recipient_id string, name string")
+    known = spark.createDataFrame([(9, "u1", None, None, None, None, "x")], "entity_id long, uei string, duns string, cage string, recipient_id string, parent_code string, name string")
     rules = [{"pack": "p", "rule": "r", "type": "phrase", "pattern": "URGENT", "weight": 4}]
     run = runs.source_run(spark.createDataFrame([("h9",)], "hash string"), new, rules, known, lane_names=("same_uei",))
     assert [(r["id"] in (1, 3), r["score"]) for r in run.snapshot.collect()] == [(True, 14)]
     assert run.ledger.first().asDict() == {"fetched": 3, "normalized": 3, "inserted": 2, "status": "success"}
-    assert entities.link_counters(run.links).first().asDict() == {"scanned": 2, "linked": 1, "skipped_no_name": 1, "created": 0}
+    assert linking.counters(run.links).first().asDict() == {"scanned": 2, "linked": 1, "skipped_no_name": 1, "created": 0}
     bare = runs.source_run(new.limit(0).select("hash"), new, rules, known, skip=("ingest", "link", "correlate"))
     assert bare.events.count() == 3 and bare.links is None and bare.correlations is None and bare.skipped == ["ingest", "link", "correlate"] and bare.snapshot.count() == 2
     with pytest.raises(ValueError):

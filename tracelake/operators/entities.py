@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.normalize import clean_code, clean_text
 
 #: Identifiers from the strongest to the weakest (fixed values).
-IDENTIFIERS = ("uei", "duns", "cage", "recipient_id", "name")
+IDENTIFIERS = ("uei", "duns", "cage", "recipient_id", "parent_code", "name")
+#: The source whose records name the buying organisation by a parent path where they have no recipient (fixed value).
+NOTICES = "SAM.gov"
 
 
-def identity(df: DataFrame, uei="recipient_uei", duns="recipient_duns", cage="recipient_cage", recipient_id="recipient_id", name="recipient_name") -> DataFrame:
-    """(id, uei, duns, cage, recipient_id, name, display)."""
+def identity(df: DataFrame, uei="recipient_uei", duns="recipient_duns", cage="recipient_cage", recipient_id="recipient_id", name="recipient_name", parent_code="parent_path_code", parent_name="parent_path_name", kind="organization_type", source="source") -> DataFrame:
+    """(id, uei, duns, cage, recipient_id, parent_code, name, organization_type, display) from the columns of these names that ``df`` has.
+
+    Notices take the parent path's name and code where they have no recipient's name and id; only they have a parent-path code and
+    an organisation type. ``display`` is the name, else the first identifier with its kind (``SAM:`` or, in other sources, ``RID:`` for a recipient id).
+    """
     get = lambda c, f: f(F.col(c)) if c in df.columns else F.lit(None).cast("string")
-    out = df.select("id", get(uei, clean_code).alias("uei"), get(duns, clean_code).alias("duns"), get(cage, clean_code).alias("cage"), get(recipient_id, clean_text).alias("recipient_id"), get(name, clean_text).alias("name"))
-    display = F.coalesce("name", *[F.concat(F.lit(f"{c.upper()}:"), c) for c in ("uei", "cage", "duns", "recipient_id")])
-    return out.withColumn("display", display)
+    notice = F.coalesce(F.col(source) == NOTICES, F.lit(False)) if source in df.columns else F.lit(False)
+    code, path, own = F.when(notice, get(parent_code, clean_code)), F.when(notice, get(parent_name, clean_text)), get(recipient_id, clean_text)
+    out = df.select("id", get(uei, clean_code).alias("uei"), get(duns, clean_code).alias("duns"), get(cage, clean_code).alias("cage"), F.coalesce(own, code).alias("recipient_id"), code.alias("parent_code"), F.coalesce(get(name, clean_text), path).alias("name"), F.when(notice, get(kind, clean_text)).alias("organization_type"), notice.alias("_notice"))
+    named = [F.concat(F.lit(f"{c.upper()}:"), c) for c in ("uei", "cage", "duns")]
+    return out.withColumn("display", F.coalesce("name", *named, F.concat(F.when(F.col("_notice"), "SAM:").otherwise("RID:"), "recipient_id"))).drop("_notice")
 
 
 def identifier_rows(df: DataFrame, key: str) -> DataFrame:
@@ -40,24 +48,6 @@ def absorbed(entities: DataFrame, events: DataFrame, matches: DataFrame) -> Data
     return entities.join(found, "entity_id", "left").withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).select(*entities.columns)
 
 
-def link_events(events: DataFrame, entities: DataFrame) -> DataFrame:
-    """(id, entity_id, key, status) of events of ``identity`` columns without an entity.
-
-    linked: matched to an entity; created: the event's strongest identifier names a new entity, known by
-    ``key``, for which the least event id stands; skipped_no_name: nothing identifies it.
-    """
-    strongest = F.coalesce(*[F.concat(F.lit(f"{c}:"), F.lower(c)) for c in IDENTIFIERS])
-    rows = events.withColumn("key", strongest).join(match_existing(events, entities), "id", "left")
-    status = F.when(F.col("entity_id").isNotNull(), "linked").when(F.col("key").isNotNull(), "created").otherwise("skipped_no_name")
-    return rows.select("id", "entity_id", "key", status.alias("status"))
-
-
-def link_counters(links: DataFrame) -> DataFrame:
-    """(scanned, linked, skipped_no_name, created): what a linking run did; created counts entities, not events."""
-    count = lambda s: F.count_if(F.col("status") == s)
-    return links.agg(F.count("*").alias("scanned"), (count("linked") + count("created")).alias("linked"), count("skipped_no_name").alias("skipped_no_name"), F.count_distinct(F.when(F.col("status") == "created", F.col("key"))).alias("created"))
-
-
 MOST_TERMS = 100_000
 
 

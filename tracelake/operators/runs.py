@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import entities, lanes, merge, scoring, surfaces, tagging
+from ..storage import stored
+from . import entities, lanes, linking, merge, scoring, surfaces, tagging
 
 STAGES = ("ingest", "tag", "link", "correlate", "rank")
 
@@ -26,11 +27,11 @@ class Run:
     skipped: list[str] = field(default_factory=list)
 
 
-def source_run(existing: DataFrame, arriving: DataFrame, rules: list[dict] | DataFrame, known: DataFrame, *, key: str = "hash", fields: tuple[str, ...] = ("snippet",), lane_names: tuple[str, ...] = ("same_uei", "same_agency", "same_psc", "same_naics"), score: Column | None = None, snapshot_id: str = "run", limit: int = 200, skip: tuple[str, ...] = (), store: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Run:
+def source_run(existing: DataFrame, arriving: DataFrame, rules: list[dict] | DataFrame, known: DataFrame, *, key: str = "hash", fields: tuple[str, ...] = ("snippet",), lane_names: tuple[str, ...] = ("same_uei", "same_agency", "same_psc", "same_naics"), score: Column | None = None, snapshot_id: str = "run", limit: int = 200, skip: tuple[str, ...] = (), store: Callable[[DataFrame, str], DataFrame] = stored) -> Run:
     """Insert-if-absent, tagging, entity linking, lanes and a frozen ranking of the new events; any stage can be skipped.
 
     ``store`` writes a table to shared storage and reads it back, so that later stages share one computation
-    of the new events; by default nothing is written.
+    of the new events, and linking one of each round.
     """
     if unknown := set(skip) - set(STAGES):
         raise ValueError(f"no such stages: {sorted(unknown)}")
@@ -42,7 +43,7 @@ def source_run(existing: DataFrame, arriving: DataFrame, rules: list[dict] | Dat
         run.events = tagging.tag(run.events, rules, fields)
     run.events = store(run.events, "events")
     if "link" not in skip:
-        run.links = entities.link_events(entities.identity(run.events), known)
+        run.links, _ = linking.linked(entities.identity(run.events), known, lambda df: store(df, "linking"))
         run.events = run.events.drop("entity_id").join(run.links.select("id", "entity_id"), "id", "left")
     if "correlate" not in skip:
         run.correlations = lanes.same_field(run.events, lane_names)

@@ -31,7 +31,7 @@ def ent1(spark, sf_dir):
     return _identities(spark, sf_dir).select("id", "uei", "cage", "recipient_id", "name")
 
 
-@register("ent2_display_names", awards_sql(f"SELECT id, coalesce(name, 'UEI:' || uei, 'CAGE:' || cage, 'RECIPIENT_ID:' || recipient_id) AS display FROM ({_IDENTITY_SQL}) i"))
+@register("ent2_display_names", awards_sql(f"SELECT id, coalesce(name, 'UEI:' || uei, 'CAGE:' || cage, 'RID:' || recipient_id) AS display FROM ({_IDENTITY_SQL}) i"))
 def ent2(spark, sf_dir):
     return _identities(spark, sf_dir).select("id", "display")
 

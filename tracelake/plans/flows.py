@@ -7,10 +7,10 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
-from ..operators import entities, filters, health, lanes, merge, review, runs, scoring, search, surfaces, tagging
+from ..operators import entities, filters, health, lanes, linking, merge, review, runs, scoring, search, surfaces, tagging
 from ..sources import landed
 from ..sources import views as v
-from .queries import _LEADS_SQL, _WORDS, PAIRS_SQL, TAG_SQL, _base, _boosted, _lead_rank, awards_sql, register
+from .queries import _LEADS_SQL, _WORDS, PAIRS_SQL, TAG_SQL, _base, _boosted, _lead_rank, awards_sql, register, stored
 
 #: An ontology file (fixed values): one case-bound file, packs that are off, and regexes that aren't valid.
 ONTOLOGIES = [
@@ -133,7 +133,7 @@ def _linked(spark, sf_dir):
     events = v.award_events(spark, sf_dir)
     changed = events.select("id", F.when(F.col("id") % 4 != 0, F.col("recipient_uei")).alias("recipient_uei"), F.when(F.col("id") % 7 != 0, F.when(F.col("entity_id") % 5 == 0, F.lit("customer#SHARED")).otherwise(F.col("recipient_name"))).alias("recipient_name"))
     customer = v.table(spark, sf_dir, "customer").where("c_custkey % 3 != 0")
-    none = [F.lit(None).cast("string").alias(c) for c in ("duns", "cage", "recipient_id")]
+    none = [F.lit(None).cast("string").alias(c) for c in ("duns", "cage", "recipient_id", "parent_code")]
     known = customer.select(F.col("c_custkey").alias("entity_id"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("UEI"), F.col("c_custkey").cast("string"))).alias("uei"), *none, F.when(F.col("c_custkey") % 5 == 0, F.lit("Customer#shared")).otherwise(F.col("c_name")).alias("name"))
     return entities.identity(changed), known
 
@@ -149,9 +149,57 @@ def ent3_absorbed(spark, sf_dir):
     return entities.absorbed(known, events, entities.match_existing(events, known)).select("entity_id", "uei")
 
 
-@register("ent4_link_counters", _LINK_SQL + "\nSELECT count(*) AS scanned, count(CASE WHEN key IS NOT NULL THEN 1 END) AS linked, count(CASE WHEN key IS NULL THEN 1 END) AS skipped_no_name, count(DISTINCT CASE WHEN entity_id IS NULL THEN key END) AS created FROM l")
+#: Identities that chain: few values of each kind in a nation, so that entities take up what later events bring. Ids of orders, and the same in SQL.
+_CHAINED = {
+    "uei": ("id % 4 < 2", "'U' || c || n"), "duns": ("id % 5 < 2", "'D' || (c + id % 2) || n"), "cage": ("id % 7 IN (1, 2)", "'C' || CAST(floor(c / 2) AS BIGINT) || n"),
+    "rid": ("id % 6 = 0 AND id % 8 <> 3", "'r' || (c % 29) || n"), "code": ("id % 8 = 3", "'P' || (c % 31) || n"), "name": ("id % 3 <> 0", "CASE WHEN id % 2 = 0 THEN 'Name ' ELSE 'NAME ' END || CAST(floor(c / 3) AS BIGINT) || n"), "path": ("id % 8 = 3", "'Office ' || (c % 31) || n"),
+}
+_CHAIN_SQL = f"""WITH RECURSIVE {v.AWARDS_SQL},
+raw AS (SELECT id, agency_name AS grp, {", ".join(f"CASE WHEN {when} THEN {value} END AS {k}" for k, (when, value) in _CHAINED.items())} FROM (SELECT id, agency_name, entity_id AS c, '/' || agency_name AS n FROM awards) a),
+e AS (SELECT *, coalesce(nm, 'UEI:' || uei, 'CAGE:' || cage, 'DUNS:' || duns, CASE WHEN code IS NOT NULL THEN 'SAM:' ELSE 'RID:' END || rid) AS display
+  FROM (SELECT id, grp, upper(uei) AS uei, upper(duns) AS duns, upper(cage) AS cage, coalesce(rid, upper(code)) AS rid, upper(code) AS code, coalesce(name, path) AS nm FROM raw) x),
+i AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY id) AS k FROM e WHERE display IS NOT NULL),
+known AS (SELECT n_name AS grp, list({{'who': -1 - n_nationkey, 'uei': 'U1/' || n_name, 'duns': CAST(NULL AS VARCHAR), 'cage': CAST(NULL AS VARCHAR), 'rid': CAST(NULL AS VARCHAR), 'code': CAST(NULL AS VARCHAR), 'name': lower('Name 2/' || n_name)}}) AS ents FROM nation GROUP BY n_name),
+steps AS (
+  SELECT grp, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS who, ents FROM known
+  UNION ALL
+  SELECT grp, k, id, coalesce(hit, id) AS who,
+    CASE WHEN hit IS NULL THEN list_append(ents, {{'who': id, 'uei': uei, 'duns': duns, 'cage': cage, 'rid': rid, 'code': code, 'name': lower(display)}})
+         ELSE list_transform(ents, lambda x: CASE WHEN x.who = hit THEN {{'who': x.who, 'uei': coalesce(x.uei, uei), 'duns': coalesce(x.duns, duns), 'cage': coalesce(x.cage, cage), 'rid': coalesce(x.rid, rid), 'code': coalesce(x.code, code), 'name': x.name}} ELSE x END) END AS ents
+  FROM (SELECT s.grp AS grp, i.k AS k, i.id AS id, s.ents AS ents, i.uei AS uei, i.duns AS duns, i.cage AS cage, i.rid AS rid, i.code AS code, i.display AS display,
+          coalesce({", ".join(f"list_filter(s.ents, lambda x: x.{c} = {'lower(i.display)' if c == 'name' else 'i.' + c})[1].who" for c in ("uei", "duns", "cage", "rid", "code", "name"))}) AS hit
+        FROM steps s JOIN i ON s.grp = i.grp AND i.k = s.k + 1) n),
+l AS (SELECT e.id AS id, s.who AS who FROM e LEFT JOIN steps s ON e.id = s.id)"""
+
+
+def _chained(spark, sf_dir):
+    rows = v.award_events(spark, sf_dir).select("id", F.col("entity_id").alias("c"), F.concat(F.lit("/"), "agency_name").alias("n"))
+    columns = {"uei": "recipient_uei", "duns": "recipient_duns", "cage": "recipient_cage", "rid": "recipient_id", "code": "parent_path_code", "name": "recipient_name", "path": "parent_path_name"}
+    made = [F.expr(f"CASE WHEN {when} THEN {value} END").alias(columns[k]) for k, (when, value) in _CHAINED.items()]
+    events = entities.identity(rows.select("id", F.when(F.col("id") % 8 == 3, entities.NOTICES).otherwise("AWARDS").alias("source"), *made))
+    none = [F.lit(None).cast("string").alias(c) for c in ("duns", "cage", "recipient_id", "parent_code")]
+    nation = v.table(spark, sf_dir, "nation")
+    known = nation.select((-1 - F.col("n_nationkey")).cast("long").alias("entity_id"), F.concat(F.lit("U1/"), "n_name").alias("uei"), *none, F.concat(F.lit("Name 2/"), "n_name").alias("name"))
+    return events, known, lambda df: stored(df, "linking")
+
+
+@register("ent4_link_counters", _CHAIN_SQL + "\nSELECT count(*) AS scanned, count(who) AS linked, count(*) - count(who) AS skipped_no_name, count(CASE WHEN who = id THEN 1 END) AS created FROM l")
 def ent4(spark, sf_dir):
-    return entities.link_counters(entities.link_events(*_linked(spark, sf_dir)))
+    return linking.counters(linking.linked(*_chained(spark, sf_dir))[0])
+
+
+@register("ent4_linked_events", _CHAIN_SQL + "\nSELECT id, CASE WHEN who < 0 THEN who END AS entity_id, CASE WHEN who >= 0 THEN who END AS created_by, CASE WHEN who IS NULL THEN 'skipped_no_name' WHEN who = id THEN 'created' ELSE 'linked' END AS status FROM l")
+def ent4_links(spark, sf_dir):
+    return linking.linked(*_chained(spark, sf_dir))[0]
+
+
+@register("ent3_entities_after", _CHAIN_SQL + """
+SELECT CASE WHEN x.who < 0 THEN x.who ELSE row_number() OVER (ORDER BY x.who) - (SELECT count(*) FROM nation) - 1 END AS entity_id, x.uei AS uei, x.duns AS duns, x.cage AS cage, x.rid AS recipient_id, x.code AS parent_code, lower(x.name) AS name
+FROM (SELECT unnest(ents) AS x FROM (SELECT ents, row_number() OVER (PARTITION BY grp ORDER BY k DESC) AS r FROM steps) t WHERE r = 1) u""")
+def ent3_after(spark, sf_dir):
+    events, known, write = _chained(spark, sf_dir)
+    after, _ = linking.entity_table(*linking.linked(events, known, write), known, events, write)
+    return after.withColumn("name", F.lower("name"))
 
 
 @register("ent5_entity_by_term", "SELECT c_custkey AS id, min(t.n_nationkey) AS entity_id FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN (SELECT n_nationkey, lower(n_name) AS term FROM nation UNION ALL SELECT n_nationkey, right(lower(n_name), 2) FROM nation) t ON contains(lower(c_name || ' of ' || n.n_name), t.term) GROUP BY c_custkey")
@@ -395,7 +443,7 @@ RUN_RULES = [
 def _run(spark, sf_dir, **options):
     events = v.award_events(spark, sf_dir).withColumns({"hash": F.col("award_id"), "snippet": F.concat_ws(" ", "psc", "naics", "agency_name")})
     customer = v.table(spark, sf_dir, "customer").where("c_nationkey < 10")
-    none = [F.lit(None).cast("string").alias(c) for c in ("duns", "cage", "recipient_id")]
+    none = [F.lit(None).cast("string").alias(c) for c in ("duns", "cage", "recipient_id", "parent_code")]
     known = customer.select(F.col("c_custkey").alias("entity_id"), F.concat(F.lit("UEI"), F.col("c_custkey").cast("string")).alias("uei"), *none, F.col("c_name").alias("name"))
     return runs.source_run(events.where("occurred_at < timestamp '1999-01-01'").select("hash"), events.drop("entity_id", "keywords"), RUN_RULES, known, **options)
 

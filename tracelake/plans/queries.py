@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from .. import streaming
 from ..functions import normalize as nz
 from ..operators import candidates, filters, lanes, merge, review, scoring, search, tagging
 from ..sources import views as v
+from ..storage import shared_folder, stored  # noqa: F401  (stored: for the other modules of queries)
 
 QUERIES: dict = {}
 LANES = ("same_entity", "same_uei", "same_award_id", "same_contract_id", "same_agency", "same_psc", "same_naics", "same_place_region")
@@ -498,14 +498,3 @@ def str1(spark, sf_dir):
     schema = v.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     return streaming.activity_table(stream, f"{folder}/table", f"{folder}/state").select("start", "event_type", "events")
-
-
-def shared_folder(spark) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where it is unset and Spark runs in one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tracelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
