@@ -279,3 +279,23 @@ def test_lookup_finds_all_and_nothing_else():
     assert (lookup(keys) == np.arange(len(keys))).all()
     other = np.setdiff1d(rng.integers(0, 1 << 40, 20000).astype(np.uint64), keys)
     assert (lookup(other) == -1).all() and len(ppm.Lookup(keys[:0])(keys)) == len(keys)
+
+
+def test_files_outside_tables_need_a_scheme_that_workers_know(spark, documents):
+    from tracelake.llm import scratch
+
+    assert scratch.store_address("s3a://b/x") == "s3://b/x" and scratch.store_address("file:/a/b") == "file:///a/b" and scratch.store_address("hdfs://n:1/x") == "hdfs://n:1/x"
+    for bad in ("/tmp/x", "x/y:z", "dbfs:/x", "wasbs://c@a/x"):
+        with pytest.raises(ValueError):
+            scratch.store_address(bad)
+    with pytest.raises(ValueError):
+        media.write_media(documents, "/no/scheme")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    try:  # a folder without a scheme means the default file system
+        spark.conf.set("spark.checkpoint.dir", "/shared/x/")
+        assert scratch.shared_folder(spark) == "file:///shared/x"
+        spark.conf.set("spark.hadoop.fs.defaultFS", "hdfs://name:9000/")
+        assert scratch.shared_folder(spark) == "hdfs://name:9000/shared/x"
+    finally:
+        spark.conf.unset("spark.hadoop.fs.defaultFS")
+        spark.conf.set("spark.checkpoint.dir", folder)

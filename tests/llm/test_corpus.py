@@ -555,3 +555,12 @@ def test_last_stage_takes_hard_rows(spark):
     assert {p["doc_id"] for p in out} == {None, *range(1, 10)} and sum(p["length"] for p in out) == sum(len(plain_ids(r[1])) for r in hard_rows())
     check_packing(out, 4096)
     assert corpus_pipeline.pack(spark, docs.limit(0), "").count() == 0
+
+
+def test_dense_prints_bring_no_pairs_of_all(spark):
+    """All words within two bits of one: 2,080 links each at the centre, but no more connections than rows of the anchors."""
+    prints = [0, *(1 << b for b in range(64)), *((1 << a) | (1 << b) for a, b in itertools.combinations(range(64), 2))]
+    frame = spark.createDataFrame([(simhash.signed(x), [simhash.signed(x)]) for x in prints], "node long, fps array<long>")
+    found = simhash.connections(frame)
+    assert found.count() < simhash.replicated(frame.select("node")).count()
+    assert {r["root"] for r in simhash.components(found).collect()} == {min(simhash.signed(x) for x in prints)}

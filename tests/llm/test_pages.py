@@ -25,7 +25,15 @@ CASES = [
     (page(f'<div class="has-sidebar"><article><p>See.</p><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article></div>'), "See.\none\ntwo\na\nb"),
     ("", ""),
     (None, ""),
-    ("no tags at all", ""),
+    ("no tags at all", "no tags at all"),
+    (f"<p>{LONG}</p>", LONG.strip()),
+    (f"<h1>T</h1><p>{LONG}</p>", f"T\n{LONG.strip()}"),
+    (f"<html>{LONG}", LONG.strip()),
+    (f"<div>{LONG}</div>", LONG.strip()),
+    (f"<body>{LONG}</body>", LONG.strip()),
+    ("<html><head><title>T</title></head><body><p>One.</p><ul><li>two<li>three</ul></body></html>", "One.\ntwo\nthree"),
+    (f"<html><body><nav><a href=a>Home</a> <a href=b>Shop</a></nav><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><footer>Imprint</footer></body></html>", f"Head\n{LONG.strip()}\n{LONG.strip()}"),
+    (f"<html><body><div class=menu><a href=a>Home</a></div>{LONG}<div class=ad><p>Buy now. {LONG}</p></div></body></html>", LONG.strip()),
 ]
 
 
@@ -112,7 +120,7 @@ def test_marginals_equal_enumeration(model):
     nodes, _ = html_text.parse_page("<article><p>abc</p><div class=ad><p>buy</p></div></article>")
     weights = {}
     for states in itertools.product(html_text.STATES, repeat=len(nodes) - 1):
-        s = (html_text.FRAME, *states)
+        s = (html_text.FRAME, *states)  # the page has an article
         w = 0.0
         for i, n in enumerate(nodes[1:], 1):
             w += model.edge_of(s[n.parent], n)[s[i]] + model.own(n)[s[i]]

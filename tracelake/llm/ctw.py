@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import new_path, short_batches, stored
+from .scratch import new_path, short_batches, store_address, store_of, stored
 from .textbytes import chunks, utf8_list
 
 DEPTH = 5
@@ -436,7 +436,7 @@ class StoredGrams:
             import pyarrow.fs as fs
             import pyarrow.parquet as pq
 
-            store, root = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+            store, root = store_of(self.path)
             files = [x.path for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".parquet")]
             read = [pq.read_table(f, columns=["gram", "bits"], filesystem=store) for f in sorted(files)]
             columns = [np.concatenate([t[n].to_numpy() for t in read]) if read else np.zeros(0) for n in ("gram", "bits")]
@@ -460,6 +460,7 @@ def gram_table(counts: DataFrame, depth: int, most: int) -> tuple[StoredGrams, D
     log2_p = log2_udf(top_levels(nodes, depth), depth)
     often = grams.where(F.lit(False) if cut is None else F.col("rank") >= cut).select("gram", log2_p("gram", "bits").alias("bits"))
     path = new_path(counts.sparkSession, "ctw-frequent")
+    store_address(path)
     often.write.parquet(path)
     others = grams.where(F.lit(True) if cut is None else F.col("rank") < cut).select("gram", log2_p("gram", "bits").alias("bits"))
     return StoredGrams(path, depth), others

@@ -16,6 +16,9 @@ advert, form or comment by its tag or by a whole name of its class or id. At mos
 hash of page_id; a bounded sample as documented) are counted, and together they weigh as much as
 ``STRENGTH`` pages, so that one site's habits don't drown what is known. Every page is scored whole.
 
+Pages without an article or main element have potentials of their own for their root, html and body, so their text can be content there: all of it where no tag and
+no name marks any part of the page (a plain text, say), else as their texts and the rest of the tree tell.
+
 Defined results: null or empty html gives an empty text with 0 characters; malformed or cut html
 is read as far as it goes (an unfinished tag at the end is dropped); a marginal of exactly one half
 counts as content; repeated rows give repeated results; an empty table gives an empty result (the
@@ -46,6 +49,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 #: What a start tag closes if open (up to the named container).
 SIBLINGS = {"body": ({"head"}, {"html"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROOTS = frozenset({"article", "main"})
+TOPS = frozenset({"#root", "html", "body"})
 ASIDE_TAGS = frozenset("nav header footer aside form button select dialog menu head object svg canvas audio video".split())
 #: Names of class, id or role that often mark what isn't part of an article, and what is (pseudo-counts; labels of training pages).
 ASIDE_WORDS = frozenset(
@@ -63,7 +67,7 @@ SENTENCE_END = re.compile(r"[.!?…。](?:\s|$)")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "shut", "root", "chars", "linked", "ends", "blocks")
+    __slots__ = ("tag", "parent", "names", "shut", "root", "lone", "chars", "linked", "ends", "blocks")
 
     def __init__(self, tag: str, parent: int, names: tuple[str, ...], above: Node | None):
         self.tag, self.parent, self.names = tag, parent, names
@@ -71,6 +75,8 @@ class Node:
         self.shut = tag in ASIDE_TAGS or not ASIDE_WORDS.isdisjoint(names) or (above is not None and above.shut)
         #: for labels only: an article or main element that isn't inside such a part
         self.root = tag in ROOTS and not self.shut
+        #: of the root, html and body: "" on pages with an article or main element, "open" on other pages, "bare" where nothing marks any part
+        self.lone = ""
         self.chars = self.linked = self.ends = self.blocks = 0
 
 
@@ -153,6 +159,11 @@ def parse_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         stack.append(len(nodes) - 1)
     end_block()
     gather_texts(nodes)
+    if not any(n.tag in ROOTS for n in nodes):
+        kind = "open" if any(n.names or n.tag in ASIDE_TAGS and n.tag != "head" for n in nodes) else "bare"
+        for n in nodes:
+            if n.tag in TOPS:
+                n.lone = kind
     return nodes, blocks
 
 
@@ -185,7 +196,7 @@ def labels_of(nodes: list[Node]) -> list[int] | None:
 
 def evidence_of(n: Node) -> str:
     """What an edge's potential depends on: the child's tag, apart for plain and named elements of no fixed meaning."""
-    return n.tag + "*" if n.names and n.tag not in ASIDE_TAGS and n.tag not in ROOTS else n.tag
+    return n.tag + "*" if n.names and n.tag not in ASIDE_TAGS and n.tag not in ROOTS else n.tag + n.lone
 
 
 def marks_of(n: Node) -> list[str]:
@@ -226,6 +237,9 @@ EDGE_PRIOR = {
 }
 EDGE_PRIOR |= {tag: {ASIDE: (40.0, 0.02, 0.02), FRAME: (40.0, 0.1, 0.02), CONTENT: (40.0, 0.02, 0.1)} for tag in ASIDE_TAGS}
 EDGE_PRIOR |= {tag: EDGE_PRIOR[""] | {FRAME: (0.05, 20.0, 0.5)} for tag in ("html", "body")}
+EDGE_PRIOR |= {tag + kind: EDGE_PRIOR[""] | {FRAME: (0.05, 20.0, 4.0)} for tag in ("html", "body") for kind in ("open", "bare")}
+#: Pseudo-counts of the root's state by the kind of its page (see ``Node.lone``).
+ROOT_PRIOR = {"": (0.0, 1.0, 0.0), "open": (0.0, 15.0, 1.0), "bare": (0.0, 0.2, 20.0)}
 EDGE_PRIOR |= {"main": EDGE_PRIOR["article"], "*": {ASIDE: (40.0, 0.02, 0.02), FRAME: (0.8, 6.0, 3.0), CONTENT: (8.0, 0.02, 40.0)}}
 #: The features of one text depend on each other, so that their sum counts less.
 TEXT_WEIGHT = 0.75
@@ -271,7 +285,7 @@ class TreeModel:
         return [TEXT_WEIGHT * sum(f[s] for f in text) + sum(m[s] for m in marks) for s in STATES]
 
     def marginals(self, nodes: list[Node]) -> list[float]:
-        """Exact P(content) of every node: messages upward, then downward. The root is frame."""
+        """Exact P(content) of every node: messages upward, then downward. The root of a page with an article is frame."""
         n = len(nodes)
         up = [self.own(x) for x in nodes]
         message: list[list[float]] = [[0.0, 0.0, 0.0]] * n
@@ -282,7 +296,9 @@ class TreeModel:
             above = up[x.parent]
             for p in STATES:
                 above[p] += sent[p]
-        belief = [[0.0, 1.0, 0.0]]
+        root = [w * math.exp(u - max(up[0])) for w, u in zip(ROOT_PRIOR[nodes[0].lone], up[0])]
+        total = sum(root)
+        belief = [[w / total for w in root]] if total else [[0.0, 0.0, 1.0]]
         for i in range(1, n):
             x, q = nodes[i], [0.0, 0.0, 0.0]
             for p in STATES:

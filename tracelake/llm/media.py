@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .scratch import new_path, short_batches
+from .scratch import new_path, short_batches, store_address, store_of
 from .textbytes import utf8_list
 
 WIDTH = 576
@@ -105,13 +105,6 @@ def feature_of(pixels: np.ndarray) -> str:
 # ---- the data source ---------------------------------------------------------------------------
 
 
-def _store(uri: str):
-    """(pyarrow file system, path) of any address that pyarrow knows (file, hdfs, s3, gs ...)."""
-    import pyarrow.fs as fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
-
-
 @dataclass
 class ByteRange(InputPartition):
     """Members of ``archive`` whose header starts in [start, end)."""
@@ -196,7 +189,7 @@ class ArchiveReader(DataSourceReader):
     def partitions(self):
         import pyarrow.fs as fs
 
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         archives = []
         for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if info.base_name.startswith("_committed-"):
@@ -210,7 +203,7 @@ class ArchiveReader(DataSourceReader):
     def read(self, part):
         if not part.archive:
             return
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         path = f"{root}/{part.archive}"
         archive = Retried(lambda: store.open_input_file(path), path)
         offsets = np.frombuffer(archive.do(lambda f: read_exactly(f, part.index_at, 8 * part.members), "index"), "<i8")
@@ -239,7 +232,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         self.name = uuid.uuid4().hex
 
     def write(self, iterator):
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         store.create_dir(root, recursive=True)
         archive = f"{self.name}-{uuid.uuid4().hex}.arc"
         offsets: list[int] = []
@@ -257,14 +250,14 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Wrote(archive, at, len(offsets))
 
     def commit(self, messages):
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         store.create_dir(root, recursive=True)
         done = [[m.archive, m.index_at, m.members] for m in messages if m is not None]
         with store.open_output_stream(f"{root}/_committed-{self.name}.json") as out:
             out.write(json.dumps(done).encode())
 
     def abort(self, messages):
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         for m in messages:
             if m is not None:
                 store.delete_file(f"{root}/{m.archive}")
@@ -329,6 +322,7 @@ def unpadded(payload: bytes) -> int:
 def write_media(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     """Store every whole text as a PNG member of the archive directory ``path``."""
     spark = documents.sparkSession
+    store_address(path)
     spark.dataSource.register(MediaArchive)
     rows = short_batches(documents).select(F.col(key).cast("bigint").alias("doc_id"), _media(F.col(text)).alias("media"))
     rows.write.format("media_archive").option("path", path).mode("append").save()

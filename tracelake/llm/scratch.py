@@ -32,9 +32,35 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set("spark.checkpoint.dir", folder)
+    if folder.startswith("/"):  # Spark takes it in its default file system
+        default = spark.conf.get("spark.hadoop.fs.defaultFS", None) or ("file://" if spark.sparkContext.master.split("[")[0] == "local" else "")
+        folder = default.rstrip("/") + folder if default != "file://" else f"file://{folder}"
     return folder.rstrip("/")
 
 
+#: Schemes of Hadoop whose stores pyarrow knows by another name, and those that both call alike.
+RENAMED = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "webhdfs": "hdfs"}
+SHARED_NAMES = ("file", "hdfs", "viewfs", "s3", "gs", "abfs", "abfss")
+
+
+def store_address(uri: str) -> str:
+    """``uri`` as pyarrow spells it. Addresses without a scheme, and schemes that pyarrow lacks, are refused: workers would read and write their own disks, or nothing."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        raise ValueError(f"{uri}: files outside tables need an address with a scheme (file:, hdfs:, s3a:, ...); give spark.checkpoint.dir one")
+    scheme = RENAMED.get(scheme, scheme)
+    if scheme not in SHARED_NAMES:
+        raise ValueError(f"{uri}: pyarrow has no file system for {scheme}:; set spark.checkpoint.dir to one of {', '.join(SHARED_NAMES)}, s3a")
+    return f"file://{'/' + rest.lstrip('/')}" if scheme == "file" else f"{scheme}:{rest}"
+
+
+def store_of(uri: str):
+    """(pyarrow file system, path in it) of an address with a scheme."""
+    import pyarrow.fs as fs
+
+    return fs.FileSystem.from_uri(store_address(uri))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

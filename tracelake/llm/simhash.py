@@ -297,7 +297,7 @@ def rooted(documents: DataFrame, key: str, text: str, most_bits: int) -> tuple[D
     """(doc_id, fp) of every document; (fp, n, root, component_id) of every fingerprint (n: its documents)."""
     prints = stored(short_batches(documents).select(F.col(key).alias("doc_id"), fingerprint_udf(F.col(text)).alias("fp")), "simhash")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
-    found = components(links(distinct.select("fp"), most_bits))
+    found = components(connections(distinct.select(F.col("fp").alias("node"), F.array("fp").alias("fps")), most_bits))
     grouped = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints, stored(grouped.select("fp", "n", "root").join(smallest, "root"), "simhash-groups")

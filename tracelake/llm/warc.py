@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import short_batches, stored
+from .scratch import short_batches, store_address, store_of, stored
 
 LEAST_REVISIT = 1000
 BROADCAST_GROUPS = 200_000
@@ -206,12 +206,11 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
 
 
 def export_bundles(bundles: DataFrame, uri: str) -> None:
-    """Write every bundle as ``<bundle_id>.warc.zst`` under ``uri`` (any address pyarrow knows)."""
+    """Write every bundle as ``<bundle_id>.warc.zst`` under ``uri`` (an address with a scheme)."""
+    store_address(uri)
 
     def put(batches):
-        import pyarrow.fs as fs
-
-        store, root = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+        store, root = store_of(uri)
         store.create_dir(root, recursive=True)
         for batch in batches:
             for name, archive in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
