@@ -290,12 +290,13 @@ def test_files_outside_tables_need_a_scheme_that_workers_know(spark, documents):
             scratch.store_address(bad)
     with pytest.raises(ValueError):
         media.write_media(documents, "/no/scheme")
-    folder = spark.conf.get("spark.checkpoint.dir")
-    try:  # a folder without a scheme means the default file system
-        spark.conf.set("spark.checkpoint.dir", "/shared/x/")
-        assert scratch.shared_folder(spark) == "file:///shared/x"
-        spark.conf.set("spark.hadoop.fs.defaultFS", "hdfs://name:9000/")
-        assert scratch.shared_folder(spark) == "hdfs://name:9000/shared/x"
-    finally:
-        spark.conf.unset("spark.hadoop.fs.defaultFS")
-        spark.conf.set("spark.checkpoint.dir", folder)
+
+    class Session:  # a folder without a scheme means the default file system
+        def __init__(self, master, **conf):
+            self.conf, self.sparkContext = {"spark.checkpoint.dir": "/shared/x/"} | conf, self
+            self.master = master
+
+    assert scratch.shared_folder(Session("local[2]")) == "file:///shared/x"
+    assert scratch.shared_folder(Session("yarn", **{"spark.hadoop.fs.defaultFS": "hdfs://name:9000/"})) == "hdfs://name:9000/shared/x"
+    with pytest.raises(ValueError):
+        scratch.store_address(scratch.shared_folder(Session("yarn")))
