@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import normalize as nz
-from ..operators import entities, filters, health, lanes, linking, merge, review, runs, scoring, search, surfaces, tagging
+from ..operators import entities, filters, health, lanes, linking, merge, postings, review, runs, scoring, search, store, surfaces, tagging
 from ..sources import landed
 from ..sources import views as v
-from .queries import _LEADS_SQL, _WORDS, PAIRS_SQL, TAG_SQL, _base, _boosted, _lead_rank, awards_sql, register, stored
+from ..storage import new_folder, stored
+from ..streaming import landing
+from .queries import QUERIES, _LEADS_SQL, _WORDS, PAIRS_SQL, TAG_SQL, _base, _boosted, _lead_rank, awards_sql, register
 
 #: An ontology file (fixed values): one case-bound file, packs that are off, and regexes that aren't valid.
 ONTOLOGIES = [
@@ -84,6 +87,68 @@ def ing5(spark, sf_dir):
     return merge.filtered_ingest(events.where("occurred_at < timestamp '2000-01-01'"), late, 12).select("id", "score")
 
 
+# Orders as landed records in two waves. The first has blanks and no late half of 1998; the second repeats some of its records in the same words, fills
+# blanks (never what is there), brings late records, and some without a key.
+_WAVES_SQL = """w AS (
+  SELECT 1 AS wave, o_custkey AS n, CAST(o_orderkey AS VARCHAR) AS hash, CASE WHEN o_orderkey % 3 = 0 THEN ' n/a ' WHEN o_orderkey % 3 = 1 THEN o_orderpriority END AS psc, o_orderstatus AS state FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' AND o_orderkey % 10 <> 7
+  UNION ALL SELECT 2, o_custkey, CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 4 < 2 THEN 'late' END, 'never' FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' OR o_orderkey % 10 = 7 OR o_orderkey % 5 = 0
+)"""
+_MERGED_SQL = "m AS (SELECT hash, min_by(n, wave) AS n, CASE WHEN lower(trim(coalesce(min_by(coalesce(psc, ''), wave), ''))) NOT IN ('', 'n/a') THEN min_by(coalesce(psc, ''), wave) WHEN count(*) = 2 AND max_by(coalesce(psc, ''), wave) <> '' THEN max_by(coalesce(psc, ''), wave) ELSE nullif(min_by(coalesce(psc, ''), wave), '') END AS psc, min_by(state, wave) AS state FROM w GROUP BY hash)"
+_WAVE_SCHEMA = "n bigint, hash string, psc string, state string"
+
+
+def _waves(spark, sf_dir):
+    orders = v.table(spark, sf_dir, "orders")
+    key, early = F.col("o_orderkey"), F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
+    blank = F.when(key % 3 == 0, " n/a ").when(key % 3 == 1, F.col("o_orderpriority"))
+    row = lambda psc, state: (F.col("o_custkey").cast("bigint").alias("n"), key.cast("string").alias("hash"), psc.alias("psc"), state.alias("state"))
+    first = orders.where(early & (key % 10 != 7)).select(*row(blank, F.col("o_orderstatus")))
+    second = orders.where(~early | (key % 10 == 7) | (key % 5 == 0)).select(*row(F.when(key % 4 < 2, "late"), F.lit("never")))
+    again = orders.where(early & (key % 10 == 3)).select(*row(blank, F.col("o_orderstatus")))
+    keyless = orders.where(key % 50 == 0).select(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("hash"), F.lit("x").alias("psc"), F.lit("x").alias("state"))
+    return first, second.unionByName(again).unionByName(keyless)
+
+
+def _store(spark, columns=("psc",)):
+    return store.EventStore(spark, new_folder(spark, "events"), T.StructType.fromDDL(_WAVE_SCHEMA), columns=columns, buckets=16)
+
+
+@register("ing2_bucketed_store", f"WITH {_WAVES_SQL}, {_MERGED_SQL}\nSELECT hash, n, psc, state FROM m")
+def ing2_store(spark, sf_dir):
+    first, second = _waves(spark, sf_dir)
+    table = _store(spark)
+    table.merge(first, batch=0)
+    table.merge(second, batch=1)
+    table.merge(second, batch=2)  # changes nothing
+    return table.rows()
+
+
+@register("ing3_observed_ledger", f"""WITH {_WAVES_SQL}, o AS (SELECT o_orderkey AS k, o_orderdate AS d FROM orders), {_MERGED_SQL},
+f AS (SELECT count(*) AS n FROM w JOIN m ON w.hash = m.hash WHERE wave = 2 AND coalesce(w.psc, '') <> '' AND EXISTS (SELECT 1 FROM w x WHERE x.hash = w.hash AND x.wave = 1 AND lower(trim(coalesce(x.psc, ''))) IN ('', 'n/a'))),
+second AS (SELECT (SELECT count(*) FROM w WHERE wave = 2) + (SELECT count(*) FROM o WHERE d < TIMESTAMP '1998-01-01' AND k % 10 = 3) AS n)
+SELECT 0 AS batch, (SELECT count(*) FROM w WHERE wave = 1) AS fetched, (SELECT count(*) FROM w WHERE wave = 1) AS normalized, (SELECT count(*) FROM w WHERE wave = 1) AS inserted, 0 AS backfilled, 'success' AS status
+UNION ALL SELECT 1, n + (SELECT count(*) FROM o WHERE k % 50 = 0), n, (SELECT count(*) FROM m) - (SELECT count(*) FROM w WHERE wave = 1), (SELECT n FROM f), 'success' FROM second
+UNION ALL SELECT 2, (SELECT count(*) FROM o WHERE k % 50 = 0), 0, 0, 0, 'failed'""")
+def ing3_observed(spark, sf_dir):
+    first, second = _waves(spark, sf_dir)
+    table = _store(spark)
+    table.merge(first, batch=0)
+    table.merge(second, batch=1, order=("state",))
+    table.merge(second.where("hash IS NULL"), batch=2)
+    table.merge(first, batch=0)  # merged already: no row
+    return table.ledger()
+
+
+@register("str1_landed_merge", f"WITH {_WAVES_SQL}, {_MERGED_SQL}\nSELECT hash, n, psc, state FROM m")
+def str1_landed(spark, sf_dir):
+    first, second = _waves(spark, sf_dir)
+    table, folder = _store(spark), new_folder(spark, "landing")
+    for wave, rows in enumerate((first, second)):  # the stream ends in between and goes on from its checkpoint
+        rows.write.json(f"{folder}/pages/wave={wave}")
+        landing.land(landing.pages(spark, f"{folder}/pages", _WAVE_SCHEMA, files=4), table, f"{folder}/checkpoint", order=("state",)).awaitTermination()
+    return table.rows()
+
+
 # ---- tags ----------------------------------------------------------------------------------------
 
 
@@ -433,6 +498,28 @@ def qry9_fields(spark, sf_dir):
     return found.select("qid", "id", F.col("place").cast("bigint").alias("place"))
 
 
+@register("qry9_indexed_search", QUERIES["qry9_search"][1])
+def qry9_indexed(spark, sf_dir):
+    documents = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = postings.Postings(spark, new_folder(spark, "index"), ("text",))
+    half = documents.agg(F.floor(F.max("id") / 2)).first()[0]
+    index.append(documents.where(F.col("id") <= half))
+    index.append(documents)  # from the high-water mark
+    found = index.search(v.table(spark, sf_dir, "benchmark"), {"text": 1.0}, "item_id", "text")
+    return found.select("item_id", F.col("id").alias("doc_id"), F.col("place").cast("bigint").alias("place"))
+
+
+@register("snk11_appended_documents", awards_sql("SELECT segment, sum(documents) AS documents, max(high) AS high FROM (SELECT CASE WHEN id <= (SELECT max(id) FROM awards) // 3 THEN 0 ELSE 1 END AS segment, 1 AS documents, id AS high FROM awards) s GROUP BY segment"))
+def snk11_appended(spark, sf_dir):
+    events = v.award_events(spark, sf_dir).select("id", "recipient_name", "agency_name")
+    index = postings.Postings(spark, new_folder(spark, "index"), ("recipient_name", "agency_name"))
+    third = events.agg(F.floor(F.max("id") / 3)).first()[0]
+    index.append(events.where(F.col("id") <= third))
+    index.append(events)
+    index.append(events)  # nothing above the mark
+    return index.marks().select(F.col("segment").cast("bigint").alias("segment"), "documents", "high")
+
+
 RUN_RULES = [
     {"pack": "priority", "rule": "urgent", "type": "phrase", "pattern": "urgent", "weight": 5},
     {"pack": "sector", "rule": "heavy", "type": "regex", "pattern": "BUILDING|MACHINERY", "weight": 3, "case_insensitive": False},
