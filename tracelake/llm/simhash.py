@@ -11,9 +11,11 @@ copies of any size costs one row. Groups of near copies spread over the 2**54 an
 43,745 fingerprints (the words within three bits of it) and a fingerprint at most 2,080 links,
 whatever the input. That is the dealt covering cut to a proven subset of its anchors: recall stays 1.
 
-One fingerprint misses most near copies: texts with a Jaccard similarity of 0.8 of five-word shingles often differ in more
-than two of its bits. ``one_of_each`` therefore takes several fingerprints of a document, from independent mixtures of the same hashes,
-and links two documents if any of these are within two bits. All go through the same covering.
+One fingerprint misses most near copies: texts with a Jaccard similarity of 0.8 of five-word shingles often differ in some ten of its
+bits. ``one_of_each`` therefore takes candidates from the covering and from bands of MinHash values of the same hashes, and
+links two documents only if the Jaccard similarity of their shingle sets is at least 0.8. In a band's group everything is compared with one
+member; what isn't similar to it is grouped again without it, until nothing is left, so a group costs pairs in proportion to its members, not
+to their square, and no pair of a group that has a chance is left out.
 
 Links form components by repeated minimum hooking on both sides of each edge (large star, small
 star), each round written to shared storage.
@@ -38,7 +40,6 @@ from .textbytes import utf8_list
 SHINGLE = 3
 SEED = 42
 MOST_BITS = 2
-PRINTS = 6
 HALF = 31
 MANY = 1 << 16
 
@@ -71,22 +72,6 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return majority(shingle_hashes(text, width))
 
 
-def mixed(values: np.ndarray, k: int) -> np.ndarray:
-    """The ``k``-th mixture of hashes: themselves for 0, else SplitMix64 of their sums with ``k`` steps."""
-    if not k:
-        return values
-    z = values + np.uint64((0x9E3779B97F4A7C15 * k) % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def fingerprints(text: bytes, n: int, width: int = SHINGLE) -> list[int]:
-    """``n`` fingerprints; the first is ``fingerprint``'s. Without words all are zero."""
-    values = shingle_hashes(text, width)
-    return [majority(mixed(values, k)) for k in range(n)]
-
-
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -103,22 +88,6 @@ def fingerprint_udf(texts: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def fingerprints_udf(n: int):
-    """Arrow UDF: text -> ``n`` fingerprints as signed numbers."""
-
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def several(texts: pa.Array) -> pa.Array:
-        known: dict[bytes, list[int]] = {}
-        out = []
-        for t in utf8_list(texts):
-            if t not in known:
-                known[t] = [signed(x) for x in fingerprints(t, n)]
-            out.append(known[t])
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return several
-
-
 # ---- anchors -----------------------------------------------------------------------------------
 
 
@@ -323,21 +292,111 @@ def row_hashes(rows: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(salt), *values, *nulls) for salt in ("first", "second")]
 
 
-def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", n_prints: int = PRINTS) -> DataFrame:
+# ---- near copies, verified -----------------------------------------------------------------------
+
+WIDTH = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 32, 8
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+READERS = 256  # partners that a copy of a shingle set serves
+
+
+def minhashes(values: np.ndarray) -> np.ndarray:
+    """``BANDS * ROWS`` MinHash values (32 bits) of distinct hashes."""
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint64)
+    for s in range(0, len(values), 512):
+        least = np.minimum(least, (np.multiply.outer(FACTORS, values[s : s + 512]) >> np.uint64(32)).min(1))
+    return least.astype("<u4")
+
+
+def sketch(text: bytes) -> tuple[int, list[int], int, bytes]:
+    """(fingerprint, band values, what equal texts have in common, sorted shingle set of 32-bit hashes), all of five-word shingles."""
+    values = shingle_hashes(text, WIDTH)
+    distinct = np.unique(values)
+    least, fp = minhashes(distinct), signed(majority(values))
+    bands = [signed(xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
+    members = np.unique((distinct >> np.uint64(32)).astype("<u4"))
+    same = signed(xxhash.xxh64_intdigest(least.tobytes() + members.size.to_bytes(8, "little") + fp.to_bytes(8, "little", signed=True), SEED))
+    return fp, bands, same, members.tobytes()
+
+
+@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("same", T.LongType()).add("members", T.BinaryType()))
+def sketch_udf(texts: pa.Array) -> pa.Array:
+    known: dict[bytes, tuple] = {}
+    out = []
+    for t in utf8_list(texts):
+        if t not in known:
+            known[t] = sketch(t)
+        out.append(known[t])
+    columns = list(zip(*out)) if out else [(), (), (), ()]
+    kinds = [("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("same", pa.int64()), ("members", pa.binary())]
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
+
+
+@F.arrow_udf(T.DoubleType())
+def jaccard_udf(left: pa.Array, right: pa.Array) -> pa.Array:
+    out = []
+    for a, b in zip(left, right):
+        a, b = np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        out.append(both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0)
+    return pa.array(out, pa.float64())
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of pairs of nodes; ``sets`` has (node, members). A node in many pairs as ``a`` is read from several copies of its set."""
+    copies = F.floor((F.col("n") - 1) / READERS).cast("long") + 1
+    counts = stored(pairs.groupBy("a").agg(F.count("*").alias("n")), "near-counts")
+    spread = join_frequent(pairs.withColumnRenamed("a", "key"), counts.withColumnRenamed("a", "key").withColumn("copies", copies), "key", "n").select(F.col("key").alias("a"), "b", F.pmod(F.xxhash64("b"), "copies").alias("copy"))
+    left = sets.join(counts, sets["node"] == counts["a"]).select("a", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), F.col("members").alias("_left"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("_right"))
+    return short_batches(spread.join(left, ["a", "copy"]).join(right, "b")).select("a", "b", jaccard_udf("_left", "_right").alias("jaccard"))
+
+
+def verified_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): similar nodes, as far as the covering or a band brings them together; ``nodes`` has (node, fp, bands, members)."""
+    bands = nodes.select("node", F.explode("bands").alias("value"))
+    shared = bands.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    left = stored(join_frequent(bands.withColumnRenamed("value", "key"), shared.withColumnRenamed("value", "key"), "key", "n").select(F.col("key").alias("value"), "node"), "near-bands")
+    close = connections(nodes.select("node", F.array("fp").alias("fps")))
+    found = stored(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "near-close")
+    needed = left.select("node").union(found.select("a")).union(found.select("b")).distinct()
+    sets = stored(nodes.select("node", "members").join(needed, "node", "left_semi"), "near-sets")
+    judged = stored(similar(found, sets), "near-judged")
+    links = [judged]
+    while not left.isEmpty():
+        # each band has a first member of its own: the least by a hash that the band's value seeds
+        place = F.struct(F.xxhash64("node", "value").alias("h"), "node")
+        heads = stored(left.groupBy("value").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("value").alias("key"), F.col("head.node").alias("first"), "n"), "near-heads")
+        rows = stored(join_frequent(left.withColumnRenamed("value", "key"), heads, "key", "n").where("node != first").select(F.col("key").alias("value"), "node", F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")), "near-rows")
+        pairs = stored(rows.select("a", "b").distinct(), "near-pairs")
+        judged = stored(similar(pairs, sets), "near-judged")
+        links.append(judged)
+        apart = judged.where(F.col("jaccard") < similarity).select("a", "b")
+        left = stored(rows.join(apart, ["a", "b"], "left_semi").select("value", "node"), "near-left")
+    whole = links[0]
+    for more in links[1:]:
+        whole = whole.unionByName(more)
+    return whole.where(F.col("jaccard") >= similarity).select("a", "b")
+
+
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The documents without near copies: of each component one row, that with the smallest id.
 
-    Documents link if any of their ``n_prints`` fingerprints are within two bits. Ids may repeat or be null (null is
+    Documents link if the Jaccard similarity of their sets of five-word shingles (32-bit hashes) is at least ``similarity``; texts with equal
+    MinHash values, set size and fingerprint count as equal. Ids may repeat or be null (null is
     after all others): of rows that share the smallest id, the one with the least hash of all columns stays,
     and of rows equal in every column one. All columns, maps too, are returned as they were. A row is known by 128
     bits of hash. Whole rows are shuffled once, by that hash; equal rows are one before that.
     """
     h1, h2 = fresh(documents, 2)
     first, second = row_hashes(documents)
-    prints = short_batches(documents).select(F.col(key).alias("doc_id"), fingerprints_udf(n_prints)(F.col(text)).alias("fps"), first.alias("h1"), second.alias("h2"))
+    prints = short_batches(documents).select(F.col(key).alias("doc_id"), sketch_udf(F.col(text)).alias("s"), first.alias("h1"), second.alias("h2"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("least")
-    distinct = stored(prints.groupBy("fps").agg(least).withColumn("node", F.monotonically_increasing_id()), "simhash-distinct")
-    found = components(connections(distinct.select("node", "fps")))
-    rooted_rows = distinct.select("node", "least").join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
+    distinct = prints.groupBy("s.same").agg(least, F.first("s.fp").alias("fp"), F.first("s.bands").alias("bands"), F.first("s.members").alias("members"))
+    nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "simhash-distinct")
+    found = components(verified_links(nodes.select("node", "fp", "bands", "members"), similarity))
+    rooted_rows = nodes.select("node", "least").join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     keep = rooted_rows.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.h1").alias(h1), F.col("least.h2").alias(h2))
     rows = documents.withColumns({h1: first, h2: second}).dropDuplicates([h1, h2])
     return rows.join(keep.hint("merge"), [h1, h2], "left_semi").select(*(f"`{c}`" for c in documents.columns))
