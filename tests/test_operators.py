@@ -262,3 +262,42 @@ def test_ranks_of_a_long_ranking(spark, tmp_path):
 
     one, many = (scoring.snapshot(rows, "s", f).select("id", "rank").collect() for f in (None, store))
     assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(many) == 5000
+
+
+def test_many_terms_are_found_in_one_pass(spark, monkeypatch):
+    from tracelake.operators import tagging, terms
+
+    texts = [(1, "The quick Brown fox"), (2, None), (3, ""), (4, "ÉTÉ à la foxtrot"), (5, "x" * 10_000 + "needle")]
+    words = [("fox", 1), ("FOX", 2), ("brown f", 3), ("été", 4), ("needle", 5), ("", 6), (None, 7), ("absent", 8), ("ox", 1)]
+    df, table = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(words, "term string, value long")
+    want = {1: [1, 2, 3], 2: [], 3: [], 4: [1, 2, 4], 5: [5]}
+    found = df.select("id", terms.contained(F.col("text"), table).alias("v"))
+    assert {r["id"]: r["v"] for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(terms, "PART_BYTES", 40)
+    assert {r["id"]: r["v"] for r in df.select("id", terms.contained(F.col("text"), table).alias("v")).collect()} == want
+    assert df.select(terms.contained(F.col("text"), table.limit(0)).alias("v")).distinct().collect()[0]["v"] == []
+    packs = {"a": ["fox", "quick", "zzz"], "b": [f"none{i}" for i in range(10)]}
+    few = {r["id"]: r["keywords"] for r in tagging.pack_terms(df, F.col("text"), packs).collect()}
+    monkeypatch.setattr(tagging, "MANY_TERMS", 5)
+    assert {r["id"]: r["keywords"] for r in tagging.pack_terms(df, F.col("text"), packs).collect()} == few and few[1] == ["a:fox", "a:quick"]
+
+
+def test_raw_records_are_bounded_json(spark):
+    import json
+
+    from tracelake.functions import normalize as nz
+
+    deep = {"k": {"k": {"k": {"k": {"k": {"k": 1}}}}}}
+    cases = [
+        ('{"b": 1, "a": [1.5, "é", null, true]}', '{"a":[1.5,"é",null,true],"b":1}'),
+        ("no json", "no json"), (None, None), ("", ""), ("[]", "[]"),
+        (json.dumps({"x" * 200: deep}), json.dumps({"x" * 200: {"k": {"k": {"k": {"k": {"k": "__depth_truncated__"}}}}}}, separators=(",", ":"))),
+        (json.dumps(list(range(70)) + ["x" * 60]), json.dumps([*range(32), "__truncated_items__:7", *range(39, 70), "x" * 60], separators=(",", ":"))),
+        (json.dumps({f"k{i:03}": i for i in range(66)}), json.dumps({"__truncated_keys__": 2} | {f"k{i:03}": i for i in range(66) if i < 32 or i >= 34}, separators=(",", ":"))),
+    ]
+    rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c string")
+    assert {r["i"]: r["b"] for r in rows.select("i", nz.bounded_json(F.col("c")).alias("b")).collect()} == {i: w for i, (_, w) in enumerate(cases)}
+    long = json.dumps({"note": "x" * 70_000 + "ultra_secret_widget"})
+    kept = spark.createDataFrame([(long,)], "c string").select(nz.bounded_json(F.col("c")).alias("b")).first()["b"]
+    assert kept.endswith('ultra_secret_widget"}') and len(json.loads(kept)["note"]) == 2048

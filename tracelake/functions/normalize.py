@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts that count as missing (fixed values).
 NULL_LIKE = ("", "null", "none", "n/a", "nan")
@@ -94,10 +98,62 @@ def bounded_text(c: Column, most: int = 65536) -> Column:
     """At most about ``most`` characters: a longer text keeps its head and its tail around a note of what is missing."""
     note = F.concat(F.lit("...<truncated_json:"), (F.length(c) - most).cast("string"), F.lit("chars>..."))
     room = F.lit(most) - F.length(note)
-    head = F.ceil(room / 2).cast("int")
+    head = F.floor(room / 2).cast("int")
     return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, F.lit(1), head), note, F.right(c, (room - head).cast("int"))))
 
 
+#: Bounds of a raw record's JSON (fixed values): levels, members of an object or list, characters of a string.
+LEVELS, MEMBERS, CHARACTERS = 6, 64, 2048
+#: No JSON of fewer characters can break a bound.
+SHORT = 2 * MEMBERS
+
+
+def _cut(text: str, most: int, note: str) -> str:
+    head = (most - len(note)) // 2
+    return text[:head] + note + text[len(text) - (most - len(note) - head) :]
+
+
+def _bounded(value: object, level: int) -> object:
+    if level >= LEVELS:
+        return "__depth_truncated__"
+    half = MEMBERS // 2
+    if isinstance(value, dict):
+        keys = sorted(value)
+        kept = keys if len(keys) <= MEMBERS else keys[:half] + keys[-half:]
+        out = {k: _bounded(value[k], level + 1) for k in kept}
+        return out if len(kept) == len(keys) else out | {"__truncated_keys__": len(keys) - len(kept)}
+    if isinstance(value, list):
+        if len(value) <= MEMBERS:
+            return [_bounded(x, level + 1) for x in value]
+        return [*(_bounded(x, level + 1) for x in value[:half]), f"__truncated_items__:{len(value) - MEMBERS}", *(_bounded(x, level + 1) for x in value[-half:])]
+    if isinstance(value, str) and len(value) > CHARACTERS:
+        return _cut(value, CHARACTERS, f"...<truncated:{len(value) - CHARACTERS}chars>...")
+    return value
+
+
+@F.arrow_udf(T.StringType())
+def _bounded_udf(texts: pa.Array) -> pa.Array:
+    """Bounded JSON of long JSON texts; texts that aren't JSON stay."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(_bounded(json.loads(text), 0), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return text
+
+    return pa.array([one(t) for t in texts.to_pylist()], pa.string())
+
+
+def bounded_json(c: Column, most: int = 65536) -> Column:
+    """JSON text with sorted keys and bounded levels, members, strings and length.
+
+    Keys are sorted by way of VARIANT, whose objects keep them so; only texts long enough to break a bound go to Python.
+    """
+    text = F.coalesce(F.to_json(F.try_parse_json(c)), c)
+    long = F.length(c) > SHORT
+    return bounded_text(F.when(long, _bounded_udf(F.when(long, c))).otherwise(text), most)
+
+
 def parsed_date(c: Column) -> Column:
     """ISO, month/day/year and compact dates; null for anything else."""
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss")], F.try_to_timestamp(c))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import clean_code, clean_text
+from .terms import contained
 
 #: Identifiers from the strongest to the weakest (fixed values).
 IDENTIFIERS = ("uei", "duns", "cage", "recipient_id", "parent_code", "name")
@@ -48,19 +49,10 @@ def absorbed(entities: DataFrame, events: DataFrame, matches: DataFrame) -> Data
     return entities.join(found, "entity_id", "left").withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).select(*entities.columns)
 
 
-MOST_TERMS = 100_000
-
-
 def by_term(events: DataFrame, text: Column, terms: DataFrame) -> DataFrame:
-    """(id, entity_id): the least entity one of whose terms (entity_id, term) the text contains, ignoring case.
-
-    Containment has no key to join by, so terms go to every task, after a check that they are at most ``MOST_TERMS``.
-    """
-    wanted = terms.select("entity_id", F.lower(F.trim("term")).alias("term")).where("term != ''").distinct()
-    if wanted.limit(MOST_TERMS + 1).count() > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms")
-    rows = events.select("id", F.lower(text).alias("_text"))
-    return rows.join(F.broadcast(wanted), F.col("_text").contains(F.col("term"))).groupBy("id").agg(F.min("entity_id").alias("entity_id"))
+    """(id, entity_id): the least entity one of whose terms (entity_id, term) the text contains, ignoring case; see ``terms.contained``."""
+    wanted = terms.select(F.col("entity_id").alias("value"), F.trim("term").alias("term"))
+    return events.select("id", F.array_min(contained(text, wanted)).alias("entity_id")).where("entity_id IS NOT NULL")
 
 
 def shared_identifier_groups(events: DataFrame, write, rounds: int = 40) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.normalize import bounded_text
+from ..functions.normalize import bounded_json
+from .terms import contained
 
 CHUNK = 100
 MOST_RULES = 10_000
@@ -94,12 +97,32 @@ def best_of(df: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 
 
+def _named(spark, names: list[str]):
+    """Arrow UDF: places in a list of names -> the sorted distinct names."""
+    sent = spark.sparkContext.broadcast(names)
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def named(places: pa.Array) -> pa.Array:
+        return pa.array([sorted({sent.value[i] for i in x}) for x in places.to_pylist()], pa.list_(pa.string()))
+
+    return named
+
+
+#: With more terms than this a table of terms and one pass over each text replace one expression for each term.
+MANY_TERMS = 300
+
+
 def pack_terms(df: DataFrame, text: Column, packs: dict[str, list[str]], column: str = "keywords") -> DataFrame:
     """``df`` whose empty keyword arrays are filled with pack:term for every term that the text contains, ignoring case."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.when(low.contains(w.lower()), F.lit(f"{pack}:{w}")) for pack, terms in packs.items() for w in terms]
-    parts = [F.array_compact(F.array(*hits[i : i + CHUNK])) for i in range(0, len(hits), CHUNK)] or [F.array().cast("array<string>")]
-    found = F.array_sort(F.array_distinct(F.concat(*parts)))
+    listed = [(w, f"{pack}:{w}") for pack, terms in packs.items() for w in terms]
+    if len(listed) > MANY_TERMS:
+        rows = df.sparkSession.createDataFrame([(w, k) for k, (w, _) in enumerate(listed)], "term string, value long")
+        found = _named(df.sparkSession, [name for _, name in listed])(contained(text, rows))
+    else:
+        low = F.lower(F.coalesce(text, F.lit("")))
+        hits = [F.when(low.contains(w.lower()), F.lit(name)) for w, name in listed]
+        parts = [F.array_compact(F.array(*hits[i : i + CHUNK])) for i in range(0, len(hits), CHUNK)] or [F.array().cast("array<string>")]
+        found = F.array_sort(F.array_distinct(F.concat(*parts)))
     empty = (F.size(F.coalesce(F.col(column), F.array().cast("array<string>"))) == 0) if column in df.columns else F.lit(True)
     return df.withColumn(column, F.when(empty, found).otherwise(F.col(column)) if column in df.columns else found)
 
@@ -121,13 +144,13 @@ TAGGABLE = ("snippet", "place_text", "doc_id", "source_url", "raw_json")
 
 
 def taggable_fields(df: DataFrame, most: int = 65536) -> DataFrame:
-    """``df`` with the fields that are tagged, as texts: what is missing is empty, nested raw records are JSON, long ones are shortened."""
+    """``df`` with the fields that are tagged, as texts: what is missing is empty, raw records are bounded JSON with sorted keys (``normalize.bounded_json``)."""
     kinds = dict(df.dtypes)
 
     def text(name: str) -> Column:
         if name not in kinds:
             return F.lit("")
-        c = F.to_json(name) if kinds[name].startswith(("struct", "map", "array")) else F.col(name).cast("string")
-        return F.coalesce(bounded_text(c, most) if name == "raw_json" else c, F.lit(""))
+        c = F.to_json(name) if kinds[name].startswith(("struct", "map", "array", "variant")) else F.col(name).cast("string")
+        return F.coalesce(bounded_json(c, most) if name == "raw_json" else c, F.lit(""))
 
     return df.withColumns({n: text(n) for n in TAGGABLE})

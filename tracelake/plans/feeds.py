@@ -240,6 +240,23 @@ def tag4(spark, sf_dir):
     return tagging.taggable_fields(rows)
 
 
+# Raw records with unsorted keys, up to 99 items, eight levels and up to 2499 characters.
+_RAW_SQL = """SELECT id, '{"a":' || CASE WHEN k > 64 THEN '[' || array_to_string(list_transform(range(0, 32), lambda x: CAST(x AS VARCHAR)), ',') || ',"__truncated_items__:' || CAST(k - 64 AS VARCHAR) || '",' || array_to_string(list_transform(range(k - 32, k), lambda x: CAST(x AS VARCHAR)), ',') || ']' ELSE '[' || array_to_string(list_transform(range(0, k), lambda x: CAST(x AS VARCHAR)), ',') || ']' END
+  || ',"b":' || id || ',"deep":{"k1":{"k2":{"k3":{"k4":{"k5":"__depth_truncated__"}}}}},"note":"'
+  || CASE WHEN n > 2048 THEN substr(t, 1, (2048 - length(m)) // 2) || m || right(t, 2048 - length(m) - (2048 - length(m)) // 2) ELSE t END || '","z":{"A":"é","b":null,"c":true}}' AS raw_json
+FROM (SELECT id, id % 100 AS k, n, '...<truncated:' || CAST(n - 2048 AS VARCHAR) || 'chars>...' AS m, substr(repeat('0123456789', 250), 1, CAST(n AS INT)) AS t FROM (SELECT id, id * 7 % 2500 AS n FROM awards) a) b"""
+
+
+@register("tag4_bounded_json", awards_sql(_RAW_SQL))
+def tag4_bounded(spark, sf_dir):
+    n, k = F.col("id") * 7 % 2500, F.col("id") % 100
+    items = F.array_join(F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<bigint>")), ",")
+    note = F.substring(F.repeat(F.lit("0123456789"), F.lit(250)), F.lit(1), n.cast("int"))
+    raw = F.concat(F.lit('{"z": {"c": true, "b": null, "A": "é"}, "note": "'), note, F.lit('", "b": '), F.col("id").cast("string"), F.lit(', "deep": {"k1": {"k2": {"k3": {"k4": {"k5": {"k6": {"k7": 1}}}}}}}, "a": ['), items, F.lit("]}"))
+    rows = v.award_events(spark, sf_dir).select("id", raw.alias("raw_json"))
+    return tagging.taggable_fields(rows).select("id", "raw_json")
+
+
 # ---- exports -------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import normalize as nz
-from ..operators import entities, filters, health, lanes, linking, merge, postings, review, runs, scoring, search, store, surfaces, tagging
+from ..operators import entities, filters, health, lanes, linking, merge, postings, review, runs, scoring, search, store, surfaces, tagging, terms
 from ..sources import landed
 from ..sources import views as v
 from ..storage import new_folder, stored
@@ -49,7 +49,7 @@ def nrm1(spark, sf_dir):
     return docs.select("doc_id", nz.clean_text(F.when(F.col("doc_id") % 10 == 0, " N/A ").otherwise(F.col("text"))).alias("text"))
 
 
-@register("nrm13_bounded_text", "SELECT doc_id, CASE WHEN length(t) <= 400 THEN t ELSE substr(t, 1, h) || note || right(t, 400 - length(note) - h) END AS text FROM (SELECT doc_id, t, note, CAST(ceil((400 - length(note)) / 2e0) AS INT) AS h FROM (SELECT doc_id, text AS t, '...<truncated_json:' || CAST(length(text) - 400 AS VARCHAR) || 'chars>...' AS note FROM documents WHERE text IS NOT NULL) a) b")
+@register("nrm13_bounded_text", "SELECT doc_id, CASE WHEN length(t) <= 400 THEN t ELSE substr(t, 1, h) || note || right(t, 400 - length(note) - h) END AS text FROM (SELECT doc_id, t, note, CAST(floor((400 - length(note)) / 2e0) AS INT) AS h FROM (SELECT doc_id, text AS t, '...<truncated_json:' || CAST(length(text) - 400 AS VARCHAR) || 'chars>...' AS note FROM documents WHERE text IS NOT NULL) a) b")
 def nrm13(spark, sf_dir):
     docs = v.table(spark, sf_dir, "documents").where("text is not null")
     return docs.select("doc_id", nz.bounded_text(F.col("text"), 400).alias("text"))
@@ -271,8 +271,17 @@ def ent3_after(spark, sf_dir):
 def ent5(spark, sf_dir):
     customer, nation = v.table(spark, sf_dir, "customer"), v.table(spark, sf_dir, "nation")
     rows = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(F.col("c_custkey").alias("id"), F.concat("c_name", F.lit(" of "), "n_name").alias("text"))
-    terms = nation.select(F.col("n_nationkey").alias("entity_id"), F.explode(F.array("n_name", F.right("n_name", F.lit(2)))).alias("term"))
-    return entities.by_term(rows, F.col("text"), terms)
+    wanted = nation.select(F.col("n_nationkey").alias("entity_id"), F.explode(F.array("n_name", F.right("n_name", F.lit(2)))).alias("term"))
+    return entities.by_term(rows, F.col("text"), wanted)
+
+
+@register("ent5_many_terms", "SELECT p_partkey AS id, array_to_string(list_sort(list(DISTINCT k)), ';') AS keywords FROM (SELECT p_partkey, p_name FROM part) p JOIN (SELECT 'pair:' || p_name[4:9] AS k, lower(p_name[4:9]) AS t FROM part) t ON contains(lower(p_name), t.t) GROUP BY p_partkey")
+def ent5_many(spark, sf_dir):
+    """Thousands of terms at once: every part's name is searched for a piece of every part's name."""
+    part = v.table(spark, sf_dir, "part")
+    pieces = part.select(F.substring("p_name", 4, 6).alias("term")).groupBy("term").agg(F.min(F.xxhash64("term")).alias("value"))
+    rows = part.select(F.col("p_partkey").alias("id"), F.explode(terms.contained(F.col("p_name"), pieces)).alias("value")).join(pieces, "value")
+    return rows.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("pair:"), "term"))), ";").alias("keywords"))
 
 
 @register("jn11_lookup", "SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")
