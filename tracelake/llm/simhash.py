@@ -13,9 +13,9 @@ whatever the input. That is the dealt covering cut to a proven subset of its anc
 
 One fingerprint misses most near copies: texts with a Jaccard similarity of 0.8 of five-word shingles often differ in some ten of its
 bits. ``one_of_each`` therefore takes candidates from the covering and from bands of MinHash values of the same hashes, and
-links two documents only if the Jaccard similarity of their shingle sets is at least 0.8. In a band's group everything is compared with one
-member; what isn't similar to it is grouped again without it, until nothing is left, so a group costs pairs in proportion to its members, not
-to their square, and no pair of a group that has a chance is left out.
+links two documents only if the Jaccard similarity of their shingle sets is at least 0.8. In a band's group, members pass one by one: each is
+compared, by its MinHash values, with the heads of the group so far (members that were like none before them), and pairs that may be similar
+are verified. So a group costs pairs in proportion to its members, and no group is held, but for its heads' 256 bytes each.
 
 Links form components by repeated minimum hooking on both sides of each edge (large star, small
 star), each round written to shared storage.
@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import streamed
 from .scratch import fresh, join_frequent, short_batches, stored
 from .textbytes import utf8_list
 
@@ -298,6 +299,7 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 8
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LIKE = 0.7  # share of equal MinHash bytes from which a pair is verified; 0.8 has a deviation of 0.025
 READERS = 256  # partners that a copy of a shingle set serves
 
 
@@ -309,18 +311,18 @@ def minhashes(values: np.ndarray) -> np.ndarray:
     return least.astype("<u4")
 
 
-def sketch(text: bytes) -> tuple[int, list[int], int, bytes]:
-    """(fingerprint, band values, what equal texts have in common, sorted shingle set of 32-bit hashes), all of five-word shingles."""
+def sketch(text: bytes) -> tuple[int, list[int], int, bytes, bytes]:
+    """(fingerprint, band values, what equal texts have in common, low bytes of the MinHash values, sorted shingle set of 32-bit hashes), all of five-word shingles."""
     values = shingle_hashes(text, WIDTH)
     distinct = np.unique(values)
     least, fp = minhashes(distinct), signed(majority(values))
     bands = [signed(xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
     members = np.unique((distinct >> np.uint64(32)).astype("<u4"))
     same = signed(xxhash.xxh64_intdigest(least.tobytes() + members.size.to_bytes(8, "little") + fp.to_bytes(8, "little", signed=True), SEED))
-    return fp, bands, same, members.tobytes()
+    return fp, bands, same, least.astype(np.uint8).tobytes(), members.tobytes()
 
 
-@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("same", T.LongType()).add("members", T.BinaryType()))
+@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("same", T.LongType()).add("signature", T.BinaryType()).add("members", T.BinaryType()))
 def sketch_udf(texts: pa.Array) -> pa.Array:
     known: dict[bytes, tuple] = {}
     out = []
@@ -328,8 +330,8 @@ def sketch_udf(texts: pa.Array) -> pa.Array:
         if t not in known:
             known[t] = sketch(t)
         out.append(known[t])
-    columns = list(zip(*out)) if out else [(), (), (), ()]
-    kinds = [("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("same", pa.int64()), ("members", pa.binary())]
+    kinds = [("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("same", pa.int64()), ("signature", pa.binary()), ("members", pa.binary())]
+    columns = list(zip(*out)) if out else [()] * len(kinds)
     return pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
 
@@ -353,31 +355,33 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return short_batches(spread.join(left, ["a", "copy"]).join(right, "b")).select("a", "b", jaccard_udf("_left", "_right").alias("jaccard"))
 
 
+def leaders(group):
+    """(a, b) of a band's members, one by one: each with the heads that its signature is like; a member that is like none becomes a head."""
+    heads, nodes, n = np.zeros((16, BANDS * ROWS), np.uint8), [], 0
+    for r in group:
+        own = np.frombuffer(r["signature"], np.uint8)
+        share = (heads[:n] == own).mean(1) if n else np.zeros(0)
+        for i in np.flatnonzero(share >= LIKE):
+            yield {"a": min(nodes[i], r["node"]), "b": max(nodes[i], r["node"])}
+        if not n or share.max() < SIMILARITY:
+            if n == len(heads):
+                heads = np.concatenate([heads, np.zeros_like(heads)])
+            heads[n] = own
+            nodes.append(r["node"])
+            n += 1
+
+
 def verified_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): similar nodes, as far as the covering or a band brings them together; ``nodes`` has (node, fp, bands, members)."""
-    bands = nodes.select("node", F.explode("bands").alias("value"))
-    shared = bands.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
-    left = stored(join_frequent(bands.withColumnRenamed("value", "key"), shared.withColumnRenamed("value", "key"), "key", "n").select(F.col("key").alias("value"), "node"), "near-bands")
-    close = connections(nodes.select("node", F.array("fp").alias("fps")))
-    found = stored(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "near-close")
-    needed = left.select("node").union(found.select("a")).union(found.select("b")).distinct()
+    """(a, b): similar nodes, as far as the covering or a band brings them together; ``nodes`` has (node, fp, bands, signature, members)."""
+    bands = nodes.select("node", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = join_frequent(bands, shared, "key", "n").join(nodes.select("node", "signature"), "node").withColumn("place", F.xxhash64("node", "key"))
+    found = streamed(rows.select("key", "place", "node", "signature"), ["key"], ["place", "node"], leaders, "a long, b long")
+    close = connections(nodes.select("node", F.array("fp").alias("fps"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(found.union(close).where("a < b").distinct(), "near-pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stored(nodes.select("node", "members").join(needed, "node", "left_semi"), "near-sets")
-    judged = stored(similar(found, sets), "near-judged")
-    links = [judged]
-    while not left.isEmpty():
-        # each band has a first member of its own: the least by a hash that the band's value seeds
-        place = F.struct(F.xxhash64("node", "value").alias("h"), "node")
-        heads = stored(left.groupBy("value").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("value").alias("key"), F.col("head.node").alias("first"), "n"), "near-heads")
-        rows = stored(join_frequent(left.withColumnRenamed("value", "key"), heads, "key", "n").where("node != first").select(F.col("key").alias("value"), "node", F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b")), "near-rows")
-        pairs = stored(rows.select("a", "b").distinct(), "near-pairs")
-        judged = stored(similar(pairs, sets), "near-judged")
-        links.append(judged)
-        apart = judged.where(F.col("jaccard") < similarity).select("a", "b")
-        left = stored(rows.join(apart, ["a", "b"], "left_semi").select("value", "node"), "near-left")
-    whole = links[0]
-    for more in links[1:]:
-        whole = whole.unionByName(more)
-    return whole.where(F.col("jaccard") >= similarity).select("a", "b")
+    return similar(pairs, sets).where(F.col("jaccard") >= similarity).select("a", "b")
 
 
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -393,9 +397,9 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", s
     first, second = row_hashes(documents)
     prints = short_batches(documents).select(F.col(key).alias("doc_id"), sketch_udf(F.col(text)).alias("s"), first.alias("h1"), second.alias("h2"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("least")
-    distinct = prints.groupBy("s.same").agg(least, F.first("s.fp").alias("fp"), F.first("s.bands").alias("bands"), F.first("s.members").alias("members"))
+    distinct = prints.groupBy("s.same").agg(least, F.first("s.fp").alias("fp"), F.first("s.bands").alias("bands"), F.first("s.signature").alias("signature"), F.first("s.members").alias("members"))
     nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "simhash-distinct")
-    found = components(verified_links(nodes.select("node", "fp", "bands", "members"), similarity))
+    found = components(verified_links(nodes.select("node", "fp", "bands", "signature", "members"), similarity))
     rooted_rows = nodes.select("node", "least").join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     keep = rooted_rows.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.h1").alias(h1), F.col("least.h2").alias(h2))
     rows = documents.withColumns({h1: first, h2: second}).dropDuplicates([h1, h2])
