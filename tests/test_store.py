@@ -129,3 +129,20 @@ def test_a_stored_index_finds_what_a_whole_search_finds(spark):
     assert index.append(docs.unionByName(more)) == 60
     assert rows(index.search(asked, boosts, "q", "words", top=5)) == rows(search.fielded(docs.unionByName(more), asked, "id", boosts, "q", "words", top=5))
     assert "bucket#" in plan_of(index.search(asked, boosts, "q", "words")).split("PartitionFilters")[1][:300]
+
+
+def test_snapshots_are_written_over_and_read_by_partition(spark):
+    from tracelake.operators.snapshots import Snapshots
+
+    table = Snapshots(spark, new_folder(spark, "snapshots"))
+    rows = spark.createDataFrame([(i, float(i % 5), None) for i in range(50)], "id long, score double, occurred_at timestamp")
+    table.freeze(rows.limit(3), "a")
+    table.freeze(rows, "a")
+    table.freeze(rows.where("id < 40").withColumn("score", F.when(F.col("id") == 39, 99.0).otherwise(F.col("score"))), "b")
+    found = [r["id"] for r in table.items("a").orderBy("rank").collect()]
+    assert found == sorted(range(50), key=lambda i: (-(i % 5), -i))
+    assert table.items("b").orderBy("rank").first()["id"] == 39
+    change = {r["id"]: r["change_type"] for r in table.delta("a", "b").collect()}
+    assert change[45] == "removed" and change[39] == "changed" and len(change) == 50
+    plan = plan_of(table.delta("a", "b"))
+    assert plan.count("PartitionFilters: [") >= 2 and plan.count("snapshot_id") >= 2

@@ -40,11 +40,48 @@ def check_groups(checks: DataFrame) -> DataFrame:
 
 
 def run_status(checks: DataFrame, most_reasons: int = 20) -> DataFrame:
-    """One row: the workflow's status, its quality, and the codes of what failed (policies are short tables)."""
+    """One row: the workflow's status, its quality as far as the checks tell (see ``run_quality``), and the codes of what failed (policies are short tables)."""
     failed = F.array_sort(F.collect_set(F.when(~F.col("ok"), F.concat_ws(":", "category", "metric"))))
     out = checks.agg(F.count("*").alias("checks"), F.count_if(~F.col("ok") & F.col("required")).alias("hard"), F.count_if(~F.col("ok") & ~F.col("required")).alias("soft"), F.slice(failed, 1, most_reasons).alias("reasons"))
     status = F.when(F.col("hard") > 0, "failed").when(F.col("soft") > 0, "warning").otherwise("ok")
-    return out.withColumn("workflow_status", status).withColumn("quality", F.when(F.col("checks") == 0, "unknown").when(status == "ok", "good").when(status == "warning", "mixed").otherwise("poor"))
+    return out.withColumn("workflow_status", status).withColumn("quality", F.when(status == "ok", "healthy").otherwise("degraded"))
+
+
+#: Required checks without which a run has no say about its source (fixed values).
+BLOCKING = ("doctor_db_ok", "workflow_execution")
+MISSION = "mission_quality"
+
+
+def run_quality(checks: DataFrame, facts: DataFrame) -> DataFrame:
+    """Status, quality and reason codes of every run.
+
+    ``checks`` has (run, place, metric, category, required, ok), a policy's few rows for each run in the order ``place``; ``facts`` a row for each run: events_window,
+    events_with_keywords, events_with_entity, snapshot_items, ingest_nonzero, rate_limit_retries, retry_attempts_total, comparison_reason_codes.
+    Quality is healthy, rate_limited, degraded or sparse, the codes that ``health.status`` reads.
+    """
+    failed = lambda required: F.array_sort(F.collect_list(F.when(~F.col("ok") & (F.col("required") == required), F.struct("place", "metric", "category"))))
+    per_run = checks.groupBy(F.col("run").alias("_run")).agg(failed(True).alias("_hard"), failed(False).alias("_soft"))
+    none = F.array().cast(dict(per_run.dtypes)["_hard"])
+    texts = F.array().cast("array<string>")
+    rows = facts.join(per_run, facts["run"] == F.col("_run"), "left").withColumns({"_hard": F.coalesce("_hard", none), "_soft": F.coalesce("_soft", none), "comparison_reason_codes": F.coalesce("comparison_reason_codes", texts)})
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))
+    hard, soft = F.size("_hard") > 0, (F.size("_soft") > 0) | (F.size("comparison_reason_codes") > 0)
+    usable = (number("snapshot_items") > 0) | ((number("events_window") > 0) & ((number("events_with_keywords") > 0) | (number("events_with_entity") > 0)))
+    blocked = F.exists("_hard", lambda c: c["metric"].isin(*BLOCKING))
+    limited = number("rate_limit_retries") > 0
+    quality = F.when(limited & usable & ~hard, "rate_limited").when(~usable, F.when(blocked, "degraded").otherwise("sparse")).when(hard | soft, "degraded").otherwise("healthy")
+    categories = lambda c: F.array_distinct(F.filter(F.transform(c, lambda x: x["category"]), lambda x: x != ""))
+    rows = rows.withColumns({"quality": quality, "workflow_status": F.when(hard, "failed").when(soft, "warning").otherwise("ok"), "has_usable_artifacts": usable, "required_failure_categories": categories("_hard"), "advisory_failure_categories": categories("_soft")})
+    useful = usable & ~hard & (soft | F.col("quality").isin("degraded", "rate_limited"))
+    code = lambda when, text: F.when(when, F.array(text if isinstance(text, Column) else F.lit(text))).otherwise(texts)
+    named = lambda prefix, c: F.transform(F.filter(c, lambda x: x["metric"] != ""), lambda x: F.concat(F.lit(prefix), x["metric"]))
+    begun = F.concat(named("required_check_failed:", "_hard"), named("advisory_check_failed:", "_soft"), "comparison_reason_codes", code(F.col("quality") != "healthy", F.concat(F.lit("quality_"), "quality")))
+    status = code((F.col("workflow_status") != "ok") & (F.size(begun) == 0), F.concat(F.lit("workflow_status:"), "workflow_status"))
+    mission = F.when(F.array_contains("required_failure_categories", MISSION), F.array(F.lit("mission_quality_failed"))).when(F.array_contains("advisory_failure_categories", MISSION), F.array(F.lit("mission_quality_warning"))).otherwise(texts)
+    empty = code(~F.coalesce("ingest_nonzero", F.lit(False)) & (number("events_window") == 0), "empty_window_or_no_fresh_ingest")
+    retried = code(limited & (number("retry_attempts_total") > 0), "rate_limit_retries_observed")
+    reasons = F.array_distinct(F.filter(F.transform(F.concat(begun, status, mission, empty, retried), lambda t: F.trim(t)), lambda t: t != ""))
+    return rows.select("run", "workflow_status", "quality", "has_usable_artifacts", useful.alias("partially_useful"), reasons.alias("reason_codes"), "required_failure_categories", "advisory_failure_categories")
 
 
 def evaluation_metrics(leads: DataFrame, tops: tuple[int, ...] = (10, 50)) -> DataFrame:

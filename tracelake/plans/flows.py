@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import normalize as nz
-from ..operators import entities, filters, health, lanes, linking, merge, postings, review, runs, scoring, search, store, surfaces, tagging, terms
+from ..operators import entities, filters, health, lanes, linking, merge, postings, review, runs, scoring, search, snapshots, store, surfaces, tagging, terms
 from ..sources import landed
 from ..sources import views as v
 from ..storage import new_folder, stored
@@ -371,6 +371,32 @@ def snp1(spark, sf_dir):
     return _leads(spark, sf_dir).select("snapshot_id", "id", F.col("rank").cast("bigint").alias("rank"), "score")
 
 
+_FROZEN_SQL = """s AS (SELECT id, occurred_at, floor(CAST(amount AS DOUBLE) / 1000e0) AS base, floor(CAST(amount AS DOUBLE) / 1000e0) + CASE WHEN naics = 'BUILDING' THEN 25 ELSE 0 END AS boosted FROM awards),
+a AS (SELECT id, base AS score, row_number() OVER (ORDER BY base DESC, occurred_at DESC, id DESC) AS rank FROM s WHERE id % 50 <> 0),
+b AS (SELECT id, boosted AS score, row_number() OVER (ORDER BY boosted DESC, occurred_at DESC, id DESC) AS rank FROM s WHERE id % 50 <> 1)"""
+
+
+def _frozen(spark, sf_dir):
+    """Two whole rankings, each kept as a snapshot; the first one twice."""
+    events = v.award_events(spark, sf_dir)
+    base = F.floor(F.col("amount").cast("double") / 1000)
+    table = snapshots.Snapshots(spark, new_folder(spark, "snapshots"))
+    for _ in range(2):
+        table.freeze(events.where("id % 50 != 0").withColumn("score", base), "a")
+    table.freeze(events.where("id % 50 != 1").withColumn("score", base + F.when(F.col("naics") == "BUILDING", 25).otherwise(0)), "b")
+    return table
+
+
+@register("snp1_stored_rankings", f"WITH {v.AWARDS_SQL}, {_FROZEN_SQL}\nSELECT 'a' AS snapshot_id, id, rank, score FROM a UNION ALL SELECT 'b', id, rank, score FROM b")
+def snp1_stored(spark, sf_dir):
+    return _frozen(spark, sf_dir).items("a", "b").select("snapshot_id", "id", "rank", "score")
+
+
+@register("dlt1_stored_delta", f"WITH {v.AWARDS_SQL}, {_FROZEN_SQL}\nSELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'new' WHEN b.id IS NULL THEN 'removed' WHEN a.rank <> b.rank OR a.score <> b.score THEN 'changed' ELSE 'same' END AS change_type, b.rank - a.rank AS rank_delta, b.score - a.score AS score_delta FROM a FULL OUTER JOIN b ON a.id = b.id")
+def dlt1_stored(spark, sf_dir):
+    return _frozen(spark, sf_dir).delta("a", "b").select("id", "change_type", "rank_delta", "score_delta")
+
+
 @register("src11_snapshot_events", _RANKED + "SELECT rank, top.id AS id, recipient_name FROM top JOIN awards ON awards.id = top.id ORDER BY rank")
 def src11(spark, sf_dir):
     items = _leads(spark, sf_dir).select("snapshot_id", "id", F.col("rank").cast("bigint").alias("rank"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, evidence, families, filters, lanes, merge, quality, relevance, scoring, views
+from ..operators import candidates, details, evidence, families, filters, lanes, merge, quality, relevance, scoring, views
 from ..sources import exports
 from ..sources import views as v
 from .queries import _LEADS_SQL, CANDIDATE_SQL, _base, _boosted, _lead_rank, awards_sql, candidate_sides, register
@@ -332,6 +332,52 @@ def qua3(spark, sf_dir):
     return quality.run_status(_checks(spark, sf_dir)).select("hard", "soft", F.array_join("reasons", ",").alias("reasons"), "workflow_status")
 
 
+_RUN_SQL = """r AS (SELECT agency_name AS run, count(*) AS n, count(CASE WHEN psc <> '5-LOW' THEN 1 END) * CAST(count(*) % 5 > 0 AS INT) AS events_window, count(CASE WHEN naics = 'BUILDING' THEN 1 END) * CAST(count(*) % 2 AS INT) AS kw, count(CASE WHEN naics = 'MACHINERY' THEN 1 END) % 3 AS ent, count(CASE WHEN amount > 200000 THEN 1 END) % 3 AS items FROM awards GROUP BY agency_name),
+k AS (SELECT *, n % 7 <> 0 AS k1, n % 4 <> 0 AS k2, n % 2 = 0 AS k3, n % 11 <> 0 AS k4, n % 3 <> 0 AS k5, n % 3 = 1 AS retried, n % 6 = 1 AS compared, n % 13 > 1 AS fresh, items > 0 OR events_window > 0 AND (kw > 0 OR ent > 0) AS usable FROM r),
+s AS (SELECT *, NOT (k1 AND k2 AND k4) AS hard, NOT (k3 AND k5) OR compared AS soft FROM k),
+q AS (SELECT *, CASE WHEN retried AND usable AND NOT hard THEN 'rate_limited' WHEN NOT usable THEN CASE WHEN NOT k1 THEN 'degraded' ELSE 'sparse' END WHEN hard OR soft THEN 'degraded' ELSE 'healthy' END AS quality FROM s)"""
+
+
+@register("qua3_run_quality", f"""WITH {v.AWARDS_SQL}, {_RUN_SQL}
+SELECT run, CASE WHEN hard THEN 'failed' WHEN soft THEN 'warning' ELSE 'ok' END AS workflow_status, quality, usable AS has_usable_artifacts, usable AND NOT hard AND (soft OR quality IN ('degraded', 'rate_limited')) AS partially_useful,
+  concat_ws(',', CASE WHEN NOT k1 THEN 'required_check_failed:workflow_execution' END, CASE WHEN NOT k2 THEN 'required_check_failed:events_window' END, CASE WHEN NOT k4 THEN 'required_check_failed:top_leads' END, CASE WHEN NOT k3 THEN 'advisory_check_failed:mission_mix' END, CASE WHEN NOT k5 THEN 'advisory_check_failed:signal' END,
+    CASE WHEN compared THEN 'comparison_empty' END, CASE WHEN quality <> 'healthy' THEN 'quality_' || quality END, CASE WHEN NOT k4 THEN 'mission_quality_failed' WHEN NOT k3 THEN 'mission_quality_warning' END, CASE WHEN NOT fresh AND events_window = 0 THEN 'empty_window_or_no_fresh_ingest' END, CASE WHEN retried THEN 'rate_limit_retries_observed' END) AS reason_codes,
+  concat_ws(',', CASE WHEN NOT k1 THEN 'pipeline_health' END, CASE WHEN NOT k2 THEN 'source_coverage_context_health' END, CASE WHEN NOT k4 THEN 'mission_quality' END) AS required, concat_ws(',', CASE WHEN NOT k3 THEN 'mission_quality' END, CASE WHEN NOT k5 THEN 'lead_signal_quality' END) AS advisory FROM q""")
+def qua3_quality(spark, sf_dir):
+    """Each nation's awards are a run."""
+    n, psc, naics = F.count("*"), F.col("psc"), F.col("naics")
+    runs = v.award_events(spark, sf_dir).groupBy(F.col("agency_name").alias("run")).agg(n.alias("n"), F.count_if(psc != "5-LOW").alias("w"), F.count_if(naics == "BUILDING").alias("kw"), F.count_if(naics == "MACHINERY").alias("ent"), F.count_if(F.col("amount") > 200000).alias("items"))
+    n = F.col("n")
+    policy = [(1, "workflow_execution", "pipeline_health", True, n % 7 != 0), (2, "events_window", "source_coverage_context_health", True, n % 4 != 0), (3, "mission_mix", "mission_quality", False, n % 2 == 0), (4, "top_leads", "mission_quality", True, n % 11 != 0), (5, "signal", "lead_signal_quality", False, n % 3 != 0)]
+    checks = runs.select("run", F.explode(F.array(*[F.struct(F.lit(p).alias("place"), F.lit(m).alias("metric"), F.lit(c).alias("category"), F.lit(r).alias("required"), ok.alias("ok")) for p, m, c, r, ok in policy])).alias("c")).select("run", "c.*")
+    retries = F.when(n % 3 == 1, 2).otherwise(0)
+    facts = runs.select("run", F.when(n % 5 > 0, F.col("w")).otherwise(0).alias("events_window"), (F.col("kw") * (n % 2)).alias("events_with_keywords"), (F.col("ent") % 3).alias("events_with_entity"), (F.col("items") % 3).alias("snapshot_items"), (n % 13 > 1).alias("ingest_nonzero"), retries.alias("rate_limit_retries"), (retries * 2).alias("retry_attempts_total"), F.when(n % 6 == 1, F.array(F.lit("comparison_empty"))).alias("comparison_reason_codes"))
+    joined = lambda c, name: F.array_join(c, ",").alias(name)
+    return quality.run_quality(checks, facts).select("run", "workflow_status", "quality", "has_usable_artifacts", "partially_useful", joined("reason_codes", "reason_codes"), joined("required_failure_categories", "required"), joined("advisory_failure_categories", "advisory"))
+
+
+@register("led6_detail_defaults", f"""WITH {v.AWARDS_SQL}
+SELECT id, concat_ws(',', CASE WHEN id % 3 = 0 THEN 'kw_pair' END, CASE WHEN id % 2 = 0 THEN 'same_uei' END, CASE WHEN id % 5 = 0 THEN 'same_naics' END) AS lanes,
+  CASE WHEN id % 4 = 0 THEN '' WHEN id % 4 = 1 THEN 'noise_terms:' || lower(naics) || ',sector:low_value' ELSE 'sector:' || lower(naics) || ',sector:low_value' END AS rules,
+  CASE WHEN id % 7 = 0 THEN 9 WHEN id % 3 = 0 THEN 2 ELSE 0 END AS pair_count, CASE WHEN id % 3 = 0 THEN round_even((id % 11) / 10e0 + 0.5e0, 4) ELSE 0e0 END AS pair_strength,
+  CASE WHEN id % 6 = 0 THEN 4 ELSE 0 END AS bonus, CASE WHEN id % 8 = 0 THEN 1 WHEN id % 6 = 0 THEN 4 ELSE 0 END AS cap, CASE WHEN id % 10 = 0 THEN 3 ELSE 0 END AS cross_lane,
+  CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN 'noise terms: ' || lower(naics) ELSE 'sector: ' || lower(naics) END AS first_signal,
+  CASE WHEN id % 9 < 5 THEN CASE WHEN id % 9 = 0 THEN 77 ELSE 12 + id % 5 - id % 3 END WHEN id % 9 = 0 THEN 77 END AS total FROM awards""")
+def led6(spark, sf_dir):
+    k = F.col("id")
+    clause = lambda pack, rule, weight: F.struct(pack.alias("pack"), rule.alias("rule"), F.lit("snippet").alias("field"), F.lit(" x ").alias("match"), F.lit("phrase").alias("type"), weight.alias("weight"))
+    clauses = F.when(k % 4 > 0, F.array(clause(F.lit("sector"), F.lit("low_value"), F.lit(1)), clause(F.when(k % 4 == 1, " noise_terms ").otherwise("sector"), F.lower("naics"), F.lit(5)), clause(F.lit(""), F.lit("unnamed"), F.lit(None).cast("int"))))
+    some = lambda n, value: F.when(k % n == 0, F.lit(value))
+    rows = v.award_events(spark, sf_dir)
+    columns = {"pair_count": some(7, 9), "pair_bonus": some(6, 4), "pair_bonus_quality_cap": some(8, 1), "cross_lane_bonus": some(10, 3), "proxy_relevance_score": F.lit(12), "investigability_score": (k % 5).cast("int"), "noise_penalty": (k % 3).cast("int"), "total_score": some(9, 77), "scoring_version": F.when(k % 9 < 5, "v3").otherwise("v2")}
+    leads = rows.select("id", clauses.alias("clauses"), *[c.alias(name) for name, c in columns.items()])
+    lane = lambda n, name, key, share: F.when(k % n == 0, F.struct(F.lit(name).alias("lane"), F.lit(key).alias("key"), share.alias("contribution")))
+    every = F.array_compact(F.array(lane(5, "same_naics", "n", F.lit(None).cast("double")), lane(3, "kw_pair", "p1", (k % 11) / 10), lane(2, "same_uei", "u", F.lit(0.0)), lane(3, "kw_pair", "p2", F.lit(0.5))))
+    correlations = rows.select("id", F.explode(every).alias("c")).select("id", "c.*")
+    out = details.enriched(leads, correlations)
+    return out.select("id", F.array_join("contributing_lanes", ",").alias("lanes"), F.array_join("matched_rules", ",").alias("rules"), "pair_count", "pair_strength", F.col("pair_bonus_applied").alias("bonus"), F.col("pair_bonus_quality_cap").alias("cap"), F.col("cross_lane_bonus").alias("cross_lane"), F.when(F.size("matched_clauses") > 0, F.try_element_at(F.transform(F.filter("top_positive_signals", lambda s: s["pack"] != ""), lambda s: s["label"]), F.lit(1))).alias("first_signal"), F.col("total_score").alias("total"))
+
+
 @register("qua12_comparison", f"WITH {v.AWARDS_SQL}, {_LEADS_SQL}\nSELECT count(CASE WHEN o.id IS NOT NULL AND n.id IS NOT NULL THEN 1 END) AS shared, count(CASE WHEN o.id IS NULL THEN 1 END) AS entered, count(CASE WHEN n.id IS NULL THEN 1 END) AS dropped, count(o.id) AS base_leads, count(n.id) AS target_leads, TRUE AS comparable FROM (SELECT * FROM l1 WHERE rank <= 200) o FULL OUTER JOIN (SELECT * FROM l2 WHERE rank <= 200) n ON o.id = n.id")
 def qua12(spark, sf_dir):
     return quality.comparison_checks(scoring.compare(_lead_rank(spark, sf_dir, _base()), _lead_rank(spark, sf_dir, _boosted())))
