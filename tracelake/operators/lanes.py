@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,14 +95,19 @@ def top_label(df: DataFrame, lane: str, column: str) -> DataFrame:
     return n.groupBy("key").agg(F.max(F.struct("n", "v")).alias("m")).select("key", F.col("m.v").alias(column), F.col("m.n").alias("n"))
 
 
-def keyword_pairs(df: DataFrame, min_pair_count: int = 3, max_events: int | None = 200, max_keywords: int = 10, ratio: float = 0.2, floor: int = 8, smoothing: float = 0.5) -> DataFrame:
+def keyword_pairs(df: DataFrame, min_pair_count: int = 3, max_events: int | None = 200, max_keywords: int = 10, ratio: float = 0.2, floor: int = 8, smoothing: float = 0.5, store: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """Co-occurring keywords with NPMI: noise packs and frequent keywords go first, then pairs are made.
 
+    With ``store``, which writes a table to shared storage and reads it back, the events are read once, for a table of (id, keyword) and the
+    counts of all keywords.
+
     ``max_keywords`` is the operator's own rule: events with more surviving keywords are left out.
     """
-    words = df.select("id", F.explode("keywords").alias("k")).select("id", normal_keyword(F.col("k")).alias("k")).where(~is_noise_keyword(F.col("k"))).distinct()
-    total = df.agg(F.count_distinct("id").alias("total"))
-    df_counts = words.groupBy("k").agg(F.count("*").alias("c"))
+    # an event without keywords counts too: its row has none
+    every = store(df.select("id", F.explode_outer("keywords").alias("k")).select("id", normal_keyword(F.col("k")).alias("k")).distinct(), "words")
+    words = every.where(F.col("k").isNotNull() & ~is_noise_keyword(F.col("k")))
+    total = store(every.agg(F.count_distinct("id").alias("total")), "total")
+    df_counts = store(words.groupBy("k").agg(F.count("*").alias("c")), "keywords")
     allowed = df_counts.crossJoin(F.broadcast(total)).where((df_threshold(F.col("total"), ratio, floor) == 0) | (F.col("c") <= df_threshold(F.col("total"), ratio, floor)))
     per_event = words.join(allowed.select("k"), "k", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("k")).alias("ks")).where(F.size("ks").between(2, max_keywords))
     pair_lists = F.flatten(F.transform("ks", lambda a, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda b: F.struct(a.alias("k1"), b.alias("k2")))))
@@ -114,11 +121,13 @@ def keyword_pairs(df: DataFrame, min_pair_count: int = 3, max_events: int | None
 def pair_links(df: DataFrame, found: DataFrame) -> DataFrame:
     """(correlation_key, event_id) of the events that hold both keywords of a pair.
 
-    An event meets only pairs of two of its own keywords, so rows are bounded by the pairs' event counts.
+    Words that are in no found pair go first, so that an event meets only pairs of words that some pair has.
     """
-    words = df.select("id", F.array_sort(F.array_distinct(F.transform("keywords", normal_keyword))).alias("ks"))
+    paired = found.select(F.explode(F.array("k1", "k2")).alias("k")).distinct()
+    words = df.select(F.col("id").alias("event_id"), F.explode(F.array_distinct(F.transform("keywords", normal_keyword))).alias("k")).join(paired, "k", "left_semi")
+    ks = words.groupBy("event_id").agg(F.array_sort(F.collect_set("k")).alias("ks")).where(F.size("ks") > 1)
     both = F.flatten(F.transform("ks", lambda a, i: F.transform(F.slice("ks", i + 2, F.size("ks")), lambda b: F.struct(a.alias("k1"), b.alias("k2")))))
-    rows = words.select(F.col("id").alias("event_id"), F.explode(both).alias("p")).select("event_id", "p.*")
+    rows = ks.select("event_id", F.explode(both).alias("p")).select("event_id", "p.*")
     return rows.join(found.select("correlation_key", "k1", "k2"), ["k1", "k2"]).select("correlation_key", "event_id")
 
 

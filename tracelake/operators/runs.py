@@ -46,8 +46,9 @@ def source_run(existing: DataFrame, arriving: DataFrame, rules: list[dict] | Dat
         run.links, _ = linking.linked(entities.identity(run.events), known, lambda df: store(df, "linking"))
         run.events = run.events.drop("entity_id").join(run.links.select("id", "entity_id"), "id", "left")
     if "correlate" not in skip:
-        run.correlations = lanes.same_field(run.events, lane_names)
-        run.members = lanes.links(run.events, run.correlations, lane_names)
+        run.events = store(run.events, "events")
+        run.correlations = store(lanes.same_field(run.events, lane_names), "clusters")
+        run.members = store(lanes.links(run.events, run.correlations, lane_names), "links")
     if "rank" not in skip:
         has_entity = F.col("entity_id").isNotNull() if "entity_id" in run.events.columns else F.lit(False)
         if score is None:

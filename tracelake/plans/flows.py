@@ -590,7 +590,7 @@ def pip1_lanes(spark, sf_dir):
 def pip2(spark, sf_dir):
     run = _run(spark, sf_dir)
     ranked = run.snapshot.agg(F.lit("ranked").alias("metric"), F.count("*").cast("double").alias("value"))
-    unlinked = run.links.agg(F.lit("unlinked_pct").alias("metric"), (100 * F.count_if(F.col("status") != "linked") / F.count("*")).alias("value"))
+    unlinked = run.links.agg(F.lit("unlinked_pct").alias("metric"), (100 * F.count_if(F.col("entity_id").isNull()) / F.count("*")).alias("value"))
     policy = spark.createDataFrame([("ranked", ">=", 100.0), ("unlinked_pct", "<=", 50.0), ("missing", ">=", 1.0)], "metric string, op string, bound double")
     return runs.gated_run(run, ranked.union(unlinked), policy).select("metric", "ok")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import candidates, details, evidence, families, filters, lanes, merge, quality, relevance, scoring, views
 from ..sources import exports
 from ..sources import views as v
+from ..storage import stored
 from .queries import _LEADS_SQL, CANDIDATE_SQL, _base, _boosted, _lead_rank, awards_sql, candidate_sides, register
 
 # ---- version 3 scores ------------------------------------------------------------------------------
@@ -105,14 +106,15 @@ WEIGHT_ROWS = [
 
 
 def family_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = v.award_events(spark, sf_dir)
-    found = lanes.same_field(events, ("same_contract_id",))
+    events = stored(v.award_events(spark, sf_dir), "events")
+    found = stored(lanes.same_field(events, ("same_contract_id",)), "clusters")
     hits = events.select("id", F.explode(F.array(F.struct(F.lit("seg").alias("pack"), F.lower("naics").alias("rule"), F.when(F.col("amount") >= 200000, 4).otherwise(1).alias("weight")), F.struct(F.lit("prio").alias("pack"), F.lower("psc").alias("rule"), F.lit(1).alias("weight")))).alias("h")).select("id", "h.*", F.lit(0).alias("origin"))
     said = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     own = events.select("id", F.explode(F.array_compact(F.array(said("source", F.col("source")), F.when(F.col("psc") == "1-URGENT", said("hint", F.lit("urgent"))), F.when(F.col("amount") < 100000, said("candidate", F.lit("naics")))))).alias("e")).select("id", "e.*", F.lit("join").alias("item"))
     linked = lanes.links(events, found, ("same_contract_id",)).select(F.col("event_id").alias("id"), F.lit("lane").alias("kind"), F.lit("same_contract_id").alias("key"), F.col("correlation_key").alias("item"))
     taxonomy = spark.createDataFrame(FAMILY_ROWS, families.FAMILIES), spark.createDataFrame(WEIGHT_ROWS, families.WEIGHTS)
-    return families.assigned(families.family_scores(families.ontology_index(hits), own.union(linked), *taxonomy))
+    evidence_rows = stored(own.union(linked), "evidence")
+    return stored(families.assigned(families.family_scores(stored(families.ontology_index(hits), "index"), evidence_rows, *taxonomy)), "families")
 
 
 _TRIPLES = ", ".join(f"('{f}', '{kind}', '{key}', {w}, {str(s).upper()})" for f, kind, key, w, s in WEIGHT_ROWS)
@@ -173,9 +175,10 @@ _MEMBERS = "m AS (SELECT piid, count(*) AS n FROM awards GROUP BY piid HAVING co
 
 
 def _clustered(spark, sf_dir, lanes_wanted=EVIDENCE_LANES):
-    events = v.award_events(spark, sf_dir)
-    found = lanes.same_field(events, lanes_wanted)
-    return events, found, lanes.links(events, found, lanes_wanted)
+    """Events, clusters and links, each computed once and kept in shared storage."""
+    events = stored(v.award_events(spark, sf_dir), "events")
+    found = stored(lanes.same_field(events, lanes_wanted), "clusters")
+    return events, found, stored(lanes.links(events, found, lanes_wanted), "links")
 
 
 @register("led3_event_correlations", awards_sql(f"SELECT a.id AS event_id, p AS place, lane, CAST(n AS BIGINT) AS event_count FROM (WITH {_MEMBERS} SELECT * FROM m) m JOIN awards a ON a.piid = m.piid CROSS JOIN (VALUES (1, 'same_uei'), (2, 'same_contract_id')) l(p, lane)"))

@@ -129,7 +129,7 @@ SELECT k1, k2, c1, c2, c12, round(ln((a / (a + b + cc + d)) / (((a + b) / (a + b
 
 @register("cor4_keyword_pairs", PAIRS_SQL)
 def cor4(spark, sf_dir):
-    found = lanes.keyword_pairs(v.award_events(spark, sf_dir), max_events=None)
+    found = lanes.keyword_pairs(v.award_events(spark, sf_dir), max_events=None, store=stored)
     return found.select("k1", "k2", "c1", "c2", "c12", "npmi", "log_odds", "lift_raw")
 
 
