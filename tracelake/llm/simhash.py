@@ -15,7 +15,7 @@ One fingerprint misses most near copies: texts with a Jaccard similarity of 0.8
 bits. ``one_of_each`` therefore takes candidates from the covering and from bands of MinHash values of the same hashes, and
 links two documents only if the Jaccard similarity of their shingle sets is at least 0.8. In a band's group, members pass one by one: each is
 compared, by its MinHash values, with the heads of the group so far (members that were like none before them), and pairs that may be similar
-are verified. So a group costs pairs in proportion to its members, and no group is held, but for its heads' 256 bytes each.
+are verified. So a group costs pairs in proportion to its members, and no group is held, but for its heads' 64 bytes each.
 
 Links form components by repeated minimum hooking on both sides of each edge (large star, small
 star), each round written to shared storage.
@@ -299,7 +299,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 8
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-LIKE = 0.7  # share of equal MinHash bytes from which a pair is verified; 0.8 has a deviation of 0.025
+SIGNATURE = 64  # MinHash values (their low bytes) that members of a band's group are compared by
+LIKE = 0.65  # share of equal ones from which a pair is verified; at a similarity of 0.8 it has a deviation of 0.05
 READERS = 256  # partners that a copy of a shingle set serves
 
 
@@ -319,7 +320,7 @@ def sketch(text: bytes) -> tuple[int, list[int], int, bytes, bytes]:
     bands = [signed(xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
     members = np.unique((distinct >> np.uint64(32)).astype("<u4"))
     same = signed(xxhash.xxh64_intdigest(least.tobytes() + members.size.to_bytes(8, "little") + fp.to_bytes(8, "little", signed=True), SEED))
-    return fp, bands, same, least.astype(np.uint8).tobytes(), members.tobytes()
+    return fp, bands, same, least[:: BANDS * ROWS // SIGNATURE].astype(np.uint8).tobytes(), members.tobytes()
 
 
 @F.arrow_udf(T.StructType().add("fp", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("same", T.LongType()).add("signature", T.BinaryType()).add("members", T.BinaryType()))
@@ -357,7 +358,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def leaders(group):
     """(a, b) of a band's members, one by one: each with the heads that its signature is like; a member that is like none becomes a head."""
-    heads, nodes, n = np.zeros((16, BANDS * ROWS), np.uint8), [], 0
+    heads, nodes, n = np.zeros((16, SIGNATURE), np.uint8), [], 0
     for r in group:
         own = np.frombuffer(r["signature"], np.uint8)
         share = (heads[:n] == own).mean(1) if n else np.zeros(0)
@@ -375,11 +376,11 @@ def verified_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """(a, b): similar nodes, as far as the covering or a band brings them together; ``nodes`` has (node, fp, bands, signature, members)."""
     bands = nodes.select("node", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = join_frequent(bands, shared, "key", "n").join(nodes.select("node", "signature"), "node").withColumn("place", F.xxhash64("node", "key"))
+    rows = join_frequent(bands, shared, "key", "n").join(nodes.select("node", "signature"), "node").withColumn("place", F.xxhash64("node"))  # one order for all bands: a copy meets the same heads in most of them
     found = streamed(rows.select("key", "place", "node", "signature"), ["key"], ["place", "node"], leaders, "a long, b long")
     close = connections(nodes.select("node", F.array("fp").alias("fps"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(found.union(close).where("a < b").distinct(), "near-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = stored(nodes.select("node", "members").join(needed, "node", "left_semi"), "near-sets")
     return similar(pairs, sets).where(F.col("jaccard") >= similarity).select("a", "b")
 
