@@ -301,3 +301,13 @@ def test_raw_records_are_bounded_json(spark):
     long = json.dumps({"note": "x" * 70_000 + "ultra_secret_widget"})
     kept = spark.createDataFrame([(long,)], "c string").select(nz.bounded_json(F.col("c")).alias("b")).first()["b"]
     assert kept.endswith('ultra_secret_widget"}') and len(json.loads(kept)["note"]) == 2048
+
+
+def test_rules_that_an_engine_refuses_are_dropped_and_named(spark):
+    from tracelake.operators import tagging
+
+    rule = lambda name, pattern, **more: {"pack": "p", "rule": name, "type": "regex", "pattern": pattern, "weight": 1} | more
+    rules = [rule("broken", "([a-z"), rule("null", None), rule("python only", r"(?P<a>x)(?(a)y|z)"), rule("named", r"(?P<q>['\"]).*?(?P=q)"), rule("plain", "UR"), rule("exact", "UR", case_insensitive=False), {"pack": "p", "rule": "phrase", "type": "phrase", "pattern": "([a-z", "weight": 2}]
+    assert sorted(r["rule"] for r in tagging.invalid_rules(rules)) == ["broken", "null", "python only"]
+    tagged = tagging.tag(spark.createDataFrame([("urgent 'now' ([a-z",)], "snippet string"), rules).first()
+    assert tagged["keywords"] == ["p:named", "p:phrase", "p:plain"] and {c["match"] for c in tagged["clauses"] if c["rule"] == "named"} == {"'now'"}

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,16 +19,45 @@ MOST_RULES = 10_000
 
 
 def rule_list(rules: list[dict] | DataFrame) -> list[dict]:
-    """Rules as dicts. A rule table is read whole if it is checked to have at most ``MOST_RULES`` rows; regexes that aren't valid are dropped."""
+    """Rules as dicts. A rule table is read whole if it is checked to have at most ``MOST_RULES`` rows; regexes that aren't valid are dropped (see ``invalid_rules``)."""
     if isinstance(rules, DataFrame):
         rows = rules.limit(MOST_RULES + 1).collect()
         if len(rows) > MOST_RULES:
             raise ValueError(f"more than {MOST_RULES} rules")
         rules = [r.asDict(recursive=True) for r in rows]
-    return [r for r in rules if r["type"] == "phrase" or valid_regex(r["pattern"])]
+    bad = {id(r) for r in invalid_rules(rules)}
+    return [r for r in rules if id(r) not in bad]
+
+
+def java_pattern(pattern: str, blind: bool) -> str:
+    """A pattern as Spark's engine takes it: named groups and references to them in its spelling, ignoring case by a flag."""
+    return ("(?i)" if blind else "") + re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern).replace("(?P<", "(?<")
+
+
+def invalid_rules(rules: list[dict]) -> list[dict]:
+    """The regex rules that are null, or that Python's or Spark's engine refuses: what ``rule_list`` drops.
+
+    Rules are written for Python; Spark runs them. Spark is asked for all patterns in one query, and for halves of those among which some are refused.
+    """
+
+    def refused(some: list[dict]) -> list[dict]:
+        if not some:
+            return []
+        try:
+            spark.range(1).select(*[F.col("id").cast("string").rlike(java_pattern(r["pattern"], r.get("case_insensitive") is not False)).alias(str(k)) for k, r in enumerate(some)]).collect()
+            return []
+        except (PySparkException, Py4JJavaError):
+            return some if len(some) == 1 else refused(some[: len(some) // 2]) + refused(some[len(some) // 2 :])
+
+    regexes = [r for r in rules if r["type"] != "phrase"]
+    bad = [r for r in regexes if not valid_regex(r["pattern"])]
+    spark = SparkSession.getActiveSession()
+    known = {id(r) for r in bad}
+    return bad + (refused([r for r in regexes if id(r) not in known]) if spark else [])
 
 
 def valid_regex(pattern: str | None) -> bool:
+    """Whether Python's engine takes a pattern."""
     try:
         return pattern is not None and bool(re.compile(pattern))
     except re.error:
@@ -45,7 +76,7 @@ def rule_hits(rules: list[dict], fields: dict[str, Column]) -> Column:
                 found = F.contains(F.lower(text), F.lit(r["pattern"].lower())) if blind else F.contains(text, F.lit(r["pattern"]))
                 match = F.lit(r["pattern"])
             else:
-                match = F.regexp_substr(text, F.lit(("(?i)" if blind else "") + r["pattern"].replace("(?P<", "(?<")))
+                match = F.regexp_substr(text, F.lit(java_pattern(r["pattern"], blind)))
                 found = match.isNotNull()
             hits.append(F.when(found, F.struct(F.lit(r["pack"]).alias("pack"), F.lit(r["rule"]).alias("rule"), F.lit(f).alias("field"), match.alias("match"), F.lit(r["type"]).alias("type"), F.lit(int(r["weight"])).alias("weight"))))
     if not hits:
@@ -61,9 +92,13 @@ def tag(df: DataFrame, rules: list[dict] | DataFrame, fields: tuple[str, ...] =
     return tagged.withColumn("keywords", keywords).withColumn("tag_score", F.aggregate("clauses", F.lit(0), lambda a, c: a + c["weight"]))
 
 
-def changes(df: DataFrame, old: str = "old_keywords") -> DataFrame:
-    """Counters of an apply run: scanned, updated and unchanged rows."""
+def changes(df: DataFrame, old: str = "old_keywords", old_clauses: str = "old_clauses") -> DataFrame:
+    """Counters of an apply run: scanned, updated and unchanged rows. A row is unchanged if its keywords are, and its clauses too where ``old_clauses`` has the former ones."""
     same = F.coalesce(F.array_sort(F.col(old)), F.array()) == F.col("keywords")
+    if old_clauses in df.columns:
+        fields = ("pack", "rule", "field", "match", "type", "weight")
+        plain = lambda c: F.array_sort(F.transform(F.coalesce(F.col(c), F.array().cast(dict(df.dtypes)["clauses"])), lambda x: F.struct(*[x[f].alias(f) for f in fields])))
+        same = same & (plain(old_clauses) == plain("clauses"))
     return df.agg(F.count("*").alias("scanned"), F.count_if(~same).alias("updated"), F.count_if(same).alias("unchanged"))
 
 

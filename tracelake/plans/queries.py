@@ -337,6 +337,15 @@ def tag2(spark, sf_dir):
     return tagging.changes(tagging.tag(before.select("id", "snippet", F.col("keywords").alias("old_keywords")), RULES))
 
 
+@register("tag2_changed_clauses", "SELECT count(*) AS scanned, count(CASE WHEN h OR t OR w THEN 1 END) AS updated, count(CASE WHEN NOT (h OR t OR w) THEN 1 END) AS unchanged FROM (SELECT contains(lower(coalesce(text, '')), 'there') AS h, contains(coalesce(text, ''), ' | ') AS t, regexp_matches(coalesce(text, ''), '(?i)\\bwith\\b') AS w FROM documents) d")
+def tag2_clauses(spark, sf_dir):
+    """The weights of two rules and the presence of a third change; keywords change by the third alone."""
+    docs = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("snippet"))
+    former = [r | {"weight": 7} if r["rule"] == "there" else r | {"weight": -5} if r["rule"] == "table" else r for r in RULES if r["rule"] != "with"]
+    before = tagging.tag(docs, former).select("id", "snippet", F.col("keywords").alias("old_keywords"), F.col("clauses").alias("old_clauses"))
+    return tagging.changes(tagging.tag(before, RULES))
+
+
 @register("hnt1_term_score", "SELECT doc_id, 3 * CAST(regexp_matches(lower(text), '\\bthere\\b') AS INT) + 3 * CAST(regexp_matches(lower(text), '\\bwith\\b') AS INT) + 2 * CAST(regexp_matches(lower(text), '\\band\\b') AS INT) + CAST(regexp_matches(lower(text), '\\bder\\b') AS INT) AS hunt_score FROM documents")
 def hnt1(spark, sf_dir):
     docs = v.table(spark, sf_dir, "documents")
