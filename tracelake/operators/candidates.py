@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,14 +49,15 @@ def index_keys(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(keys).alias("k")).select("id", "k.kind", "k.key").distinct()
 
 
-def candidate_join(notices: DataFrame, awards: DataFrame, history_days: int = 365, min_score: int = 45, max_per_key: int = 25, max_per_notice: int = 10) -> DataFrame:
+def candidate_join(notices: DataFrame, awards: DataFrame, history_days: int = 365, min_score: int = 45, max_per_key: int = 25, max_per_notice: int = 10, store: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """(notice_id, award_id, score, evidence, delta_days, likely_incumbent, place).
 
     Keys that more than ``max_per_key`` awards hold don't make candidates (the join's own rule), so a
-    notice meets at most that many awards per key; evidence is then scored on the whole features.
+    notice meets at most that many awards per key; evidence is then scored on the whole features. With ``store``, which writes a table to
+    shared storage and reads it back, both sides' features and the awards' keys are made once.
     """
-    n, a = features(notices, NOTICE_IDS), features(awards, AWARD_IDS)
-    award_keys = index_keys(a)
+    n, a = store(features(notices, NOTICE_IDS), "notices"), store(features(awards, AWARD_IDS), "awards")
+    award_keys = store(index_keys(a), "award-keys")
     usable = award_keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") <= max_per_key).drop("n")
     probe = award_keys.join(usable, ["kind", "key"]).withColumnRenamed("id", "award")
     pairs = index_keys(n).withColumnRenamed("id", "notice").join(probe, ["kind", "key"]).select("notice", "award").distinct()
@@ -93,3 +96,9 @@ def summary(found: DataFrame) -> DataFrame:
     """Score bands and incumbents of candidate joins."""
     band = F.when(F.col("score") >= 80, "strong").when(F.col("score") >= 60, "medium").otherwise("candidate")
     return found.groupBy(band.alias("band")).agg(F.count("*").alias("pairs"), F.count_if("likely_incumbent").alias("incumbents"), F.count_distinct("notice_id").alias("notices"))
+
+
+def evidence_counts(found: DataFrame) -> DataFrame:
+    """How many candidate joins each kind of evidence supports, and their average score."""
+    rows = found.select("score", "likely_incumbent", F.explode("evidence").alias("evidence"))
+    return rows.groupBy("evidence").agg(F.count("*").alias("pairs"), F.bround(F.avg("score"), 2).alias("avg_score"), F.count_if("likely_incumbent").alias("incumbents"))

@@ -102,10 +102,22 @@ def changes(df: DataFrame, old: str = "old_keywords", old_clauses: str = "old_cl
     return df.agg(F.count("*").alias("scanned"), F.count_if(~same).alias("updated"), F.count_if(same).alias("unchanged"))
 
 
-def rule_summary(df: DataFrame, key: str = "id") -> DataFrame:
-    """Per matched rule: events, clauses, average and greatest weight."""
+def rule_summary(df: DataFrame, key: str = "id", samples: int = 0) -> DataFrame:
+    """Per matched rule: events, clauses, average and greatest weight; with ``samples``, so many of its fields and matches, the first in order."""
     c = df.select(key, F.explode("clauses").alias("c")).select(key, "c.*")
-    return c.groupBy("pack", "rule").agg(F.count_distinct(key).alias("event_count"), F.count("*").alias("clause_count"), F.bround(F.avg("weight"), 2).alias("avg_weight"), F.max("weight").alias("max_weight"))
+    out = c.groupBy("pack", "rule").agg(F.count_distinct(key).alias("event_count"), F.count("*").alias("clause_count"), F.bround(F.avg("weight"), 2).alias("avg_weight"), F.max("weight").alias("max_weight"))
+    for column, name in (("field", "sample_fields"), ("match", "sample_matches")) if samples else ():
+        out = out.join(first_values(c, ("pack", "rule"), column, samples, name), ["pack", "rule"], "left")
+    return out
+
+
+def first_values(df: DataFrame, keys: tuple[str, ...], column: str, most: int, name: str) -> DataFrame:
+    """Per key the first ``most`` distinct values in order, found in buckets first, so that no key's values meet in one task."""
+    from pyspark.sql.window import Window
+
+    rows = df.select(*keys, column).where(F.col(column).isNotNull()).distinct().withColumn("_bucket", F.pmod(F.xxhash64(column), F.lit(64)))
+    few = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(column))).where(F.col("_k") <= most)
+    return few.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(column)), 1, most).alias(name))
 
 
 def event_rules(df: DataFrame, key: str = "id") -> DataFrame:

@@ -397,6 +397,11 @@ def dlt1_stored(spark, sf_dir):
     return _frozen(spark, sf_dir).delta("a", "b").select("id", "change_type", "rank_delta", "score_delta")
 
 
+@register("jn8_rankings_outer", f"WITH {v.AWARDS_SQL}, {_FROZEN_SQL}\nSELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'entered' WHEN b.id IS NULL THEN 'dropped' ELSE 'shared' END AS state, a.rank - b.rank AS rank_delta FROM a FULL OUTER JOIN b ON a.id = b.id")
+def jn8(spark, sf_dir):
+    return _frozen(spark, sf_dir).compare("a", "b").select("id", "state", "rank_delta")
+
+
 @register("src11_snapshot_events", _RANKED + "SELECT rank, top.id AS id, recipient_name FROM top JOIN awards ON awards.id = top.id ORDER BY rank")
 def src11(spark, sf_dir):
     items = _leads(spark, sf_dir).select("snapshot_id", "id", F.col("rank").cast("bigint").alias("rank"))

@@ -187,7 +187,7 @@ def candidate_sides(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    return candidates.candidate_join(*candidate_sides(spark, sf_dir))
+    return candidates.candidate_join(*candidate_sides(spark, sf_dir), store=stored)
 
 
 @register("jn1_candidate_join", CANDIDATE_SQL)
@@ -195,6 +195,15 @@ def jn1(spark, sf_dir):
     return _candidates(spark, sf_dir).select("notice_id", "award_event_id", "score", "likely_incumbent", "place")
 
 
+_CANDIDATES_END = "SELECT notice AS notice_id, award AS award_event_id, CAST(score AS BIGINT) AS score, incumbent AS likely_incumbent, place FROM r WHERE place <= 10"
+_EVIDENCE = ", ".join(f"CASE WHEN {flag} THEN '{name}' END" for name, flag in {"identifier_exact": "e.exact", "recipient_uei": "e.uei", "recipient_name": "e.same_name", "awarding_agency": "e.agency", "funding_agency": "e.fund", "psc": "e.psc", "naics": "e.naics", "time_window": "e.days >= 0 AND e.days <= 365"}.items())
+
+
+@register("jn3_pair_evidence", CANDIDATE_SQL.replace(_CANDIDATES_END, f"SELECT evidence, count(*) AS pairs, round_even(avg(score), 2) AS avg_score, count(CASE WHEN incumbent THEN 1 END) AS incumbents FROM (SELECT r.score, r.incumbent, unnest(list_filter([{_EVIDENCE}], lambda x: x IS NOT NULL)) AS evidence FROM r JOIN e ON r.notice = e.notice AND r.award = e.award WHERE place <= 10) x GROUP BY evidence"))
+def jn3(spark, sf_dir):
+    return candidates.evidence_counts(_candidates(spark, sf_dir))
+
+
 @register("qry10_candidate_summary", CANDIDATE_SQL.replace("SELECT notice AS notice_id, award AS award_event_id, CAST(score AS BIGINT) AS score, incumbent AS likely_incumbent, place FROM r WHERE place <= 10", "SELECT CASE WHEN score >= 80 THEN 'strong' WHEN score >= 60 THEN 'medium' ELSE 'candidate' END AS band, count(*) AS pairs, count(CASE WHEN incumbent THEN 1 END) AS incumbents, count(DISTINCT notice) AS notices FROM r WHERE place <= 10 GROUP BY 1"))
 def qry10(spark, sf_dir):
     return candidates.summary(_candidates(spark, sf_dir))
@@ -322,6 +331,12 @@ def tag6(spark, sf_dir):
     return tagging.rule_summary(_tagged(spark, sf_dir)).drop("avg_weight")
 
 
+@register("tag6_rule_samples", TAG_SQL + r"SELECT pack, rule, count(*) AS clause_count, round_even(avg(weight), 2) AS avg_weight, array_to_string(list_sort(list(DISTINCT match))[1:3], '|') AS matches FROM (SELECT c.*, CASE rule WHEN 'permission' THEN 'license' WHEN 'handle' THEN '@mail' WHEN 'there' THEN 'there' WHEN 'table' THEN ' | ' WHEN 'email' THEN regexp_extract(text, '(?i)[a-z0-9._-]+@[a-z0-9.-]+\.[a-z]+') WHEN 'token' THEN regexp_extract(text, '(?i)token = .[0-9a-f]{8}') ELSE regexp_extract(text, '(?i)\bwith\b') END AS match FROM c JOIN documents d ON d.doc_id = c.doc_id) x GROUP BY pack, rule")
+def tag6_samples(spark, sf_dir):
+    found = tagging.rule_summary(_tagged(spark, sf_dir), samples=3)
+    return found.select("pack", "rule", "clause_count", "avg_weight", F.array_join("sample_matches", "|").alias("matches"))
+
+
 @register("tag5_event_rules", TAG_SQL + "SELECT doc_id, pack, rule, count(*) AS clause_count, CAST(max(weight) AS INT) AS max_weight FROM c GROUP BY doc_id, pack, rule")
 def tag5(spark, sf_dir):
     return tagging.event_rules(_tagged(spark, sf_dir)).withColumnRenamed("id", "doc_id")
