@@ -243,6 +243,28 @@ def test_a_group_of_unlike_members_is_looked_through_to_the_end(spark, monkeypat
     assert {tuple(sorted((r["a"], r["b"]))) for r in simhash.verified_links(nodes).collect()} == found
 
 
+def test_pairs_inside_a_component_are_not_verified_again(spark, monkeypatch):
+    """Sixty near copies in two shared bands, each with a similarity of some 0.81 to every other: few pairs connect them all."""
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 1 << 63, (61, 200), dtype=np.uint64) * np.uint64(2)
+    members = [np.where(rng.permutation(200) < 11, hashes[i], hashes[60]) for i in range(60)]
+    rows = [(i, i * 1_000_003, [7, 8, 1000 + i], simhash.minhashes(m)[::4].astype(np.uint8).tobytes(), np.unique((m >> np.uint64(32)).astype("<u4")).tobytes()) for i, m in enumerate(members)]
+    nodes = spark.createDataFrame(rows, "node long, fp long, bands array<long>, signature binary, members binary")
+    verified, plain = [], simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda pairs, sets: verified.append(pairs.count()) or plain(pairs, sets))
+    found = [(r["a"], r["b"]) for r in simhash.verified_links(nodes).collect()]
+    assert set(plain_roots(60, found)) == {0} and sum(verified) <= 2 * 60
+
+
+def plain_roots(n, pairs):
+    """The least number that each of ``n`` is connected with."""
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
 def test_an_anchor_gives_a_forest_of_links():
     rng = np.random.default_rng(3)
     prints = np.unique(rng.integers(0, 64, 40)).astype(np.uint64) << np.uint64(58)

@@ -14,8 +14,8 @@ whatever the input. That is the dealt covering cut to a proven subset of its anc
 One fingerprint misses most near copies: texts with a Jaccard similarity of 0.8 of five-word shingles often differ in some ten of its
 bits. ``one_of_each`` therefore takes candidates from the covering and from bands of MinHash values of the same hashes, and
 links two documents only if the Jaccard similarity of their shingle sets is at least 0.8. In a band's group, members pass one by one: each is
-compared, by its MinHash values, with the heads of the group so far (members that were like none before them), and pairs that may be similar
-are verified. So a group costs pairs in proportion to its members, and no group is held, but for its heads' 64 bytes each.
+compared, by bits of its MinHash values, with the heads of the group so far (members that were like none before them). A first pass verifies each
+member's pair with the head that it is most like, a second one the other pairs of like ones that these links haven't connected. No group is held, but for its heads' 128 bytes each.
 
 Links form components by repeated minimum hooking on both sides of each edge (large star, small
 star), each round written to shared storage.
@@ -27,6 +27,8 @@ component (null only if all are); repeated rows are repeated results; an empty t
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -299,8 +301,9 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 8
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SIGNATURE = 64  # MinHash values (their low bytes) that members of a band's group are compared by
-LIKE = 0.65  # share of equal ones from which a pair is verified; at a similarity of 0.8 it has a deviation of 0.05
+SIGNATURE = 1024  # MinHash values (a bit of each) that members of a band's group are compared by
+SIGNS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LIKE, SAME = 0.87, (1 + SIMILARITY) / 2  # share of equal bits from which a pair is verified, and its mean at a similarity of 0.8; its deviation there is 0.0094
 READERS = 256  # partners that a copy of a shingle set serves
 
 
@@ -312,18 +315,33 @@ def minhashes(values: np.ndarray) -> np.ndarray:
     return least.astype("<u4")
 
 
-def sketch(text: bytes) -> tuple[int, list[int], int, bytes, bytes]:
-    """(fingerprint, band values, what equal texts have in common, low bytes of the MinHash values, sorted shingle set of 32-bit hashes), all of five-word shingles."""
+def signature(members: np.ndarray) -> bytes:
+    """A bit of each of ``SIGNATURE`` MinHash values of a shingle set: two sets differ in half as many as their similarity lacks of 1."""
+    values = members.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    values ^= values >> np.uint64(29)
+    least = np.full(SIGNATURE, 0xFFFFFFFF, np.uint64)
+    for s in range(0, len(values), 128):
+        least = np.minimum(least, (np.multiply.outer(SIGNS, values[s : s + 128]) >> np.uint64(32)).min(1))
+    return np.packbits((least & np.uint64(1)).astype(bool)).tobytes()
+
+
+@F.arrow_udf(T.BinaryType())
+def signature_udf(members: pa.Array) -> pa.Array:
+    return pa.array([signature(np.frombuffer(m.as_py(), "<u4")) for m in members], pa.binary())
+
+
+def sketch(text: bytes) -> tuple[int, list[int], int, bytes]:
+    """(fingerprint, band values, what equal texts have in common, sorted shingle set of 32-bit hashes), all of five-word shingles."""
     values = shingle_hashes(text, WIDTH)
     distinct = np.unique(values)
     least, fp = minhashes(distinct), signed(majority(values))
     bands = [signed(xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i)) for i in range(BANDS)]
     members = np.unique((distinct >> np.uint64(32)).astype("<u4"))
     same = signed(xxhash.xxh64_intdigest(least.tobytes() + members.size.to_bytes(8, "little") + fp.to_bytes(8, "little", signed=True), SEED))
-    return fp, bands, same, least[:: BANDS * ROWS // SIGNATURE].astype(np.uint8).tobytes(), members.tobytes()
+    return fp, bands, same, members.tobytes()
 
 
-@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("same", T.LongType()).add("signature", T.BinaryType()).add("members", T.BinaryType()))
+@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("same", T.LongType()).add("members", T.BinaryType()))
 def sketch_udf(texts: pa.Array) -> pa.Array:
     known: dict[bytes, tuple] = {}
     out = []
@@ -331,7 +349,7 @@ def sketch_udf(texts: pa.Array) -> pa.Array:
         if t not in known:
             known[t] = sketch(t)
         out.append(known[t])
-    kinds = [("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("same", pa.int64()), ("signature", pa.binary()), ("members", pa.binary())]
+    kinds = [("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("same", pa.int64()), ("members", pa.binary())]
     columns = list(zip(*out)) if out else [()] * len(kinds)
     return pa.StructArray.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
@@ -357,32 +375,51 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def leaders(group):
-    """(a, b) of a band's members, one by one: each with the heads that its signature is like; a member that is like none becomes a head."""
-    heads, nodes, n = np.zeros((16, SIGNATURE), np.uint8), [], 0
+    """(a, b) of a band's members, one by one: each with the heads that its signature is like; a member that is as like to none as similar ones are becomes a head.
+
+    Rows without ``root`` (their component so far) meet only the head that they are most like, rows with it all such heads of other components.
+    """
+    heads, roots, nodes, n = np.zeros((16, SIGNATURE // 64), np.uint64), np.zeros(16, np.int64), [], 0
     for r in group:
-        own = np.frombuffer(r["signature"], np.uint8)
-        share = (heads[:n] == own).mean(1) if n else np.zeros(0)
-        for i in np.flatnonzero(share >= LIKE):
+        own, root = np.frombuffer(r["signature"], np.uint64), r.get("root")
+        share = 1 - np.bitwise_count(heads[:n] ^ own).sum(1) / SIGNATURE
+        like = share >= LIKE
+        for i in np.flatnonzero(like & (roots[:n] != root)) if root is not None else [np.argmax(share)] if like.any() else []:
             yield {"a": min(nodes[i], r["node"]), "b": max(nodes[i], r["node"])}
-        if not n or share.max() < SIMILARITY:
+        if not n or share.max() < SAME:
             if n == len(heads):
-                heads = np.concatenate([heads, np.zeros_like(heads)])
-            heads[n] = own
+                heads, roots = np.concatenate([heads, np.zeros_like(heads)]), np.concatenate([roots, np.zeros_like(roots)])
+            heads[n], roots[n] = own, root or 0
             nodes.append(r["node"])
             n += 1
 
 
 def verified_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): similar nodes, as far as the covering or a band brings them together; ``nodes`` has (node, fp, bands, signature, members)."""
+    """(a, b): links that connect what similar nodes connect, as far as the covering or a band brings them together.
+
+    ``nodes`` has (node, fp, bands, members); a node may have several equal rows. First each member of a band's group meets the head that it
+    is most like, then, in groups that aren't connected yet, all heads of other components that it is like: pairs inside a component would be verified for nothing.
+    """
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = join_frequent(bands, shared, "key", "n").join(nodes.select("node", "signature"), "node").withColumn("place", F.xxhash64("node"))  # one order for all bands: a copy meets the same heads in most of them
-    found = streamed(rows.select("key", "place", "node", "signature"), ["key"], ["place", "node"], leaders, "a long, b long")
-    close = connections(nodes.select("node", F.array("fp").alias("fps"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(found.union(close).where("a < b").distinct(), "near-pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stored(nodes.select("node", "members").join(needed, "node", "left_semi"), "near-sets")
-    return similar(pairs, sets).where(F.col("jaccard") >= similarity).select("a", "b")
+    several = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    shared = stored(several.select("key", "n"), "near-keys")
+    met = stored(join_frequent(bands, shared, "key", "n").distinct(), "near-bands")
+    covered = connections(nodes.select("node", "fp").distinct().select("node", F.array("fp").alias("fps")))
+    close = stored(covered.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "near-prints")
+    needed = stored(met.select("node").union(close.select("a")).union(close.select("b")).distinct(), "near-nodes")
+    members = nodes.select("node", "members").join(needed, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
+    sets = stored(short_batches(members).withColumn("signature", signature_udf("members")), "near-sets")
+
+    def linked(rows: DataFrame, *more: DataFrame) -> DataFrame:
+        signed_rows = rows.join(sets.select("node", "signature"), "node").withColumn("place", F.xxhash64("node"))  # one order for all bands: a copy meets the same heads in most of them
+        found = streamed(signed_rows, ["key"], ["place", "node"], leaders, "a long, b long")
+        pairs = stored(functools.reduce(DataFrame.union, more, found).where("a < b").distinct(), "near-pairs")
+        return stored(similar(pairs, sets).where(F.col("jaccard") >= similarity).select("a", "b"), "near-links")
+
+    roots = stored(components(linked(met, close)), "near-roots")
+    rooted = stored(met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b").union(linked(rooted.join(apart, "key", "left_semi")))
 
 
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -398,9 +435,9 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", s
     first, second = row_hashes(documents)
     prints = short_batches(documents).select(F.col(key).alias("doc_id"), sketch_udf(F.col(text)).alias("s"), first.alias("h1"), second.alias("h2"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("least")
-    distinct = prints.groupBy("s.same").agg(least, F.first("s.fp").alias("fp"), F.first("s.bands").alias("bands"), F.first("s.signature").alias("signature"), F.first("s.members").alias("members"))
-    nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "simhash-distinct")
-    found = components(verified_links(nodes.select("node", "fp", "bands", "signature", "members"), similarity))
+    texts = stored(prints.select("doc_id", "h1", "h2", F.col("s.same").alias("node"), "s.fp", "s.bands", "s.members"), "simhash-texts")
+    nodes = stored(texts.groupBy("node").agg(least), "simhash-distinct")
+    found = components(verified_links(texts.select("node", "fp", "bands", "members"), similarity))
     rooted_rows = nodes.select("node", "least").join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     keep = rooted_rows.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.h1").alias(h1), F.col("least.h2").alias(h2))
     rows = documents.withColumns({h1: first, h2: second}).dropDuplicates([h1, h2])
