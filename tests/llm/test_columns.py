@@ -300,3 +300,19 @@ def test_files_outside_tables_need_a_scheme_that_workers_know(spark, documents):
     assert scratch.shared_folder(Session("yarn", **{"spark.hadoop.fs.defaultFS": "hdfs://name:9000/"})) == "hdfs://name:9000/shared/x"
     with pytest.raises(ValueError):
         scratch.store_address(scratch.shared_folder(Session("yarn")))
+
+
+def test_folder_without_a_scheme_on_a_cluster_is_where_spark_puts_it():
+    from tracelake.llm import scratch
+
+    class Session:  # a cluster whose settings name no default file system, but whose Hadoop files (or Hadoop itself) do
+        master = "spark://host:7077"
+
+        def __init__(self, default):
+            self.conf, self.sparkContext, self._jsc, self.default = {"spark.checkpoint.dir": "/shared/x"}, self, self, default
+
+        def hadoopConfiguration(self):
+            return {"fs.defaultFS": self.default}
+
+    assert scratch.store_address(scratch.new_path(Session("file:///"), "media")).startswith("file:///shared/x/media-")
+    assert scratch.store_address(scratch.new_path(Session("hdfs://name:9000/"), "ctw-frequent")).startswith("hdfs://name:9000/shared/x/ctw-frequent-")
