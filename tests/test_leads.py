@@ -41,3 +41,13 @@ def test_exports_read_back(spark, tmp_path):
     exports.write_both(df, str(tmp_path / "out"))
     assert sorted(map(tuple, spark.read.schema(df.schema).json(str(tmp_path / "out/json")).collect())) == sorted(map(tuple, df.collect()))
     assert {r["words"] for r in spark.read.csv(str(tmp_path / "out/csv"), header=True, escape='"').collect()} == {'["a","b\\""]', None}
+
+
+def test_places_are_not_sent_to_every_task(spark, tmp_path, monkeypatch):
+    places = spark.range(1000).selectExpr("id", "'general' AS family", "'primary' AS role")
+    leads = spark.createDataFrame([(5, 1, "2024-01-01"), (2000, 2, "2024-01-02")], "id long, rank int, occurred_at string").withColumn("occurred_at", F.to_timestamp("occurred_at"))
+    written = []
+    monkeypatch.setattr(exports, "write_both", lambda df, *a: written.append(df))
+    exports.export_snapshot(leads, str(tmp_path), places, "general")
+    assert [r["id"] for r in written[0].collect()] == [5]
+    assert "BroadcastHashJoin" not in written[0]._jdf.queryExecution().executedPlan().toString()

@@ -98,7 +98,8 @@ def export_snapshot(leads: DataFrame, path: str, places: DataFrame | None = None
     from ..operators.evidence import review_rows, review_summary
     from ..operators.families import matches_family
 
-    chosen = leads if family is None else leads.join(matches_family(places, family), "id", "left_semi")
+    # the table of places is as long as the events, and small on disk only: it must not be sent whole to every task
+    chosen = leads if family is None else leads.join(matches_family(places, family).hint("merge"), "id", "left_semi")
     rows = review_rows(chosen)
     write_both(rows.orderBy("rank"), f"{path}/leads", mode)
     review_summary(rows).write.mode(mode).json(f"{path}/summary")
