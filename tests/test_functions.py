@@ -53,3 +53,17 @@ def test_pair_signal(spark):
     assert s["npmi"] == pytest.approx(pmi / -math.log(a / n)) and s["log_odds"] == pytest.approx(math.log(a * d / (b * c)))
     assert s["lift_raw"] == pytest.approx(8 * 100 / 200) and s["expected_count"] == pytest.approx(2)
     assert set(signal(spark, 0, 1, 1, 1, 0.5).values()) == {0.0}
+
+
+def test_key_texts_equal_their_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from tracelake import registry
+
+    texts = ["", " ", "\t x \t", "None", " n/a ", "x|y", "\u00a0x\u3000", "\u03a3\u03a3 a\u03a3", "\u0130b", "\u0130" * 61, "\u00c9" * 121, " " + "a" * 120 + " ", None]
+    folder = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    got = {(r["doc_id"], r["token"]) for r in registry.queries()["nrm18_key_tokens"](spark, folder).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    assert got == set(con.sql(registry.oracle_sql()["nrm18_key_tokens"]).fetchall())

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: Texts that count as missing (fixed values).
 NULL_LIKE = ("", "null", "none", "n/a", "nan")
+#: The blanks of Unicode (category Zs).
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Words that a company name is compared without (fixed values).
 NAME_STOP_WORDS = ("A", "AN", "AND", "CO", "COMPANY", "CORP", "CORPORATION", "FEDERAL", "INC", "INCORPORATED", "L", "LC", "LLC", "LLP", "LTD", "LP", "OF", "PC", "PLC", "SERVICE", "SERVICES", "SYSTEM", "SYSTEMS", "TECHNOLOGIES", "TECHNOLOGY", "THE")
 
@@ -62,11 +64,19 @@ def contract_family(token: Column) -> Column:
     return F.when((F.length(token) >= 8) & (F.length(root) >= 6), root)
 
 
+def key_text(c: Column, upper: bool = True) -> Column:
+    """A text as a part of a correlation key: no blanks around it, no bars, one case, long ones hashed.
+
+    Lower case is taken letter by letter, so that a letter has one form wherever it stands (a capital sigma at a word's end, a dotted capital I).
+    """
+    t = F.replace(F.btrim(c, F.lit(SPACES)), F.lit("|"), F.lit("/"))
+    t = F.upper(t) if upper else F.lower(F.translate(t, "\u03a3\u0130", "\u03c3i"))
+    return F.when(F.length(t) > 120, F.concat(F.lit("sha1:"), F.substring(F.sha1(t), 1, 20))).otherwise(t)
+
+
 def key_token(c: Column, upper: bool = True) -> Column:
-    """A part of a correlation key: no bars, one case, long tokens hashed."""
-    t = F.replace(F.trim(c), F.lit("|"), F.lit("/"))
-    t = F.upper(t) if upper else F.lower(t)
-    return F.when(~is_blank(c), F.when(F.length(t) > 120, F.concat(F.lit("sha1:"), F.substring(F.sha1(t), 1, 20))).otherwise(t))
+    """``key_text`` of a text that isn't missing."""
+    return F.when(~is_blank(F.btrim(c, F.lit(SPACES))), key_text(c, upper))
 
 
 def keyword(c: Column) -> Column:
