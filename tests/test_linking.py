@@ -105,3 +105,27 @@ def test_ranks_over_many_partitions(spark):
     ranked = keyed.numbered(rows.repartition(7), [F.col("v").desc()], "rank", write).collect()
     assert [r["v"] for r in sorted(ranked, key=lambda r: r["rank"])] == sorted((i * 7919 % 1009 for i in range(1000)), reverse=True)
     assert sorted(r["rank"] for r in ranked) == list(range(1, 1001))
+
+
+def _dense(seed, n=80):
+    rng = random.Random(seed)
+    some = lambda kind, share: f"{kind}{rng.randrange(12)}" if rng.random() < share else None
+    return [(i, "A", some("U", 0.4), some("D", 0.3), some("C", 0.3), some("r", 0.2), None, some("Name ", 0.5), None, None) for i in range(n)]
+
+
+def test_large_components_go_through_rounds_and_others_are_folded(spark, monkeypatch):
+    monkeypatch.setattr(linking, "FOLD_EVENTS", 40)
+    pairs = [(1000 + i, "A", f"X{i // 2}", f"Y{i}", None, None, None, f"Pair {i}", None, None) for i in range(12)]
+    check(spark, _dense(3) + pairs, [(1, "U1", None, "C2", None, None, "Name 3"), (2, "X1", None, None, None, None, None), (3, None, "Z", None, None, None, "alone")])
+
+
+def test_tables_written_do_not_grow_with_the_chain_of_dependence(spark):
+    written = []
+
+    def counted(df):
+        written.append(1)
+        return write(df)
+
+    rows = [(i, "A", None, *((f"D{i // 2}", f"C{(i + 1) // 2}") if i % 2 else (f"D{i // 2}", f"C{(i + 1) // 2}")), None, None, f"N{i}", None, None) for i in range(40)]
+    links, _ = linking.linked(entities.identity(spark.createDataFrame(rows, EVENTS)), spark.createDataFrame([], ENTITIES), counted)
+    assert links.count() == 40 and len(written) <= 20

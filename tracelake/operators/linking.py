@@ -5,6 +5,9 @@ Events are taken by id. Each looks up its identifiers from the strongest to the
 several holders the oldest. The event fills the identifiers that its entity lacks (the first value stays for ever) or, if
 nothing matches, creates an entity with its own. So an event's entity depends on all earlier ones, but only through who holds which value since when.
 
+Events that no chain of identifiers connects don't touch each other, so every component of events and known entities is linked by itself: one of bounded
+size (``FOLD_EVENTS``, ``FOLD_VALUES``) by a fold in event order, many components side by side, a larger one by a fixpoint over tables.
+
 The fixpoint: from a guess of every event's entity follows who holds which value since when, and from that the next guess. An
 event's entity depends on earlier events alone, so with every round at least one more step of each chain of dependence is settled for good, and a
 guess that repeats itself is the sequential result. Rounds run over the first event of each distinct identity only. One pass over all events then looks for a later event that
@@ -16,6 +19,7 @@ frequency, so neither a name that a third of all events bear nor a value that ma
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,11 +32,19 @@ NAME = len(SLOTS) - 1
 KNOWN, NEW = 0, 1
 BEFORE_ALL = -(2**63)
 BUCKETS = 64
+#: A component of at most so many rows and so many different identifiers is folded by one task, which holds its identifiers alone; larger ones go through rounds.
+FOLD_EVENTS, FOLD_VALUES = 4_000_000, 1_000_000
+FOLD_BATCH = 100_000
+
+
+def _slots(name: str) -> list:
+    """The identifiers of a row; recipient ids as they stand, others without regard to case."""
+    return [F.lower(name) if k == NAME else F.col(c) if c == "recipient_id" else F.upper(c) for k, c in enumerate(SLOTS)]
 
 
 def _values(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, slot, v): every identifier of every row; recipient ids as they stand, others without regard to case."""
-    listed = [F.struct(F.lit(k).alias("slot"), (F.lower(name) if k == NAME else F.col(c) if c == "recipient_id" else F.upper(c)).alias("v")) for k, c in enumerate(SLOTS)]
+    """(key, slot, v): every identifier of every row."""
+    listed = [F.struct(F.lit(k).alias("slot"), v.alias("v")) for k, v in enumerate(_slots(name))]
     return rows.select(key, F.explode(F.array(*listed)).alias("i")).select(key, "i.slot", "i.v").where("v IS NOT NULL")
 
 
@@ -81,6 +93,88 @@ def _settled(rows: DataFrame, known: DataFrame, write: Write, guess: DataFrame |
             return links
 
 
+def _components(rows: DataFrame, write: Write) -> DataFrame:
+    """(a, b): for every node the smallest node ``b`` that it is connected with through rows (arrays ``nodes``), but for those that are it themselves.
+
+    Large and small stars in turn: the rounds grow with the logarithm of the number of nodes, and no node's neighbours are collected.
+    """
+    edges = write(rows.select(F.array_min("nodes").alias("b"), F.explode("nodes").alias("a")).where("a != b").select("a", "b").distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = small.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        edges = write(small)
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now == before:
+            return edges
+        before = now
+
+
+_FOLDED = "id long, kind int, key long, slot int, since long, v string"
+_FOLDED_KIND = pa.schema([("id", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("slot", pa.int32()), ("since", pa.int64()), ("v", pa.string())])
+
+
+def _fold(batches):
+    """Rows (label, kind, key, identifiers) by label, known entities first, then events by id -> whom each event is linked to, and what every entity holds."""
+    label, index, held, out = None, [{} for _ in SLOTS], {}, []
+
+    def ended():
+        for (kind, key), own in held.items():
+            out.extend((None, kind, key, k, *x) for k, x in enumerate(own) if x is not None)
+            if len(out) >= FOLD_BATCH:
+                yield put()
+        held.clear()
+        for x in index:
+            x.clear()
+
+    def put():
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _FOLDED_KIND.types)], schema=_FOLDED_KIND)
+        out.clear()
+        return batch
+
+    for batch in batches:
+        for component, kind, key, *values in zip(*(c.to_pylist() for c in batch.columns)):
+            if component != label:
+                yield from ended()
+                label = component
+            hit = None if kind == KNOWN else next((x for x in (index[k].get(v) for k, v in enumerate(values) if v is not None) if x is not None), None)
+            who, since = hit or (kind, key), BEFORE_ALL if kind == KNOWN else key
+            own = held.setdefault(who, [None] * len(SLOTS))
+            for k, v in enumerate(values):
+                if v is not None and own[k] is None and (hit is None or k != NAME):
+                    own[k] = (since, v)
+                    index[k][v] = min(index[k].get(v, who), who)
+            if kind != KNOWN:
+                out.append((key, *who, None, None, None))
+            if len(out) >= FOLD_BATCH:
+                yield put()
+    yield from ended()
+    if out:
+        yield put()
+
+
+def _by_component(named: DataFrame, known: DataFrame, write: Write) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, who) and the identifiers held of all components of bounded size, and (label, kind, key) of the rows of the larger ones."""
+    names = [f"v{k}" for k in range(len(SLOTS))]
+    told = known.groupBy("who", "slot").agg(F.min("s").alias("s")).groupBy("who").agg(*[F.max(F.when(F.col("slot") == k, F.col("s.v"))).alias(n) for k, n in enumerate(names)])
+    told = told.select("who.kind", "who.key", *names)
+    events = named.select(F.lit(NEW).alias("kind"), F.col("id").cast("long").alias("key"), *[v.alias(n) for v, n in zip(_slots("display"), names)])
+    nodes = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.xxhash64(F.lit(k), n)) for k, n in enumerate(names)]))
+    rows = write(told.unionByName(events).withColumn("nodes", nodes))
+    stars = _components(rows.select("nodes"), write)
+    rows = write(rows.withColumn("a", F.array_min("nodes")).join(stars, "a", "left").select(F.coalesce("b", "a").alias("label"), "kind", "key", *names))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).join(stars.groupBy(F.col("b").alias("label")).agg(F.count("*").alias("more")), "label", "left")
+    # at most a FOLD_VALUES-th as many as there are rows
+    large = [r["label"] for r in sizes.where((F.col("n") > FOLD_EVENTS) | (F.coalesce("more", F.lit(0)) >= FOLD_VALUES)).select("label").collect()]
+    few = rows.where(~F.col("label").isin(large)) if large else rows
+    done = write(few.repartition("label").sortWithinPartitions("label", "kind", "key").mapInArrow(_fold, _FOLDED))
+    who = F.struct("kind", "key").alias("who")
+    return done.where("id IS NOT NULL").select("id", who), done.where("id IS NULL").select(who, "slot", "since", "v"), rows.where(F.col("label").isin(large) if large else F.lit(False)).select("label", "kind", "key")
+
+
 def linked(events: DataFrame, entities: DataFrame, write: Write) -> tuple[DataFrame, DataFrame]:
     """Links of events (``entities.identity`` columns) and the identifiers that entities hold afterwards.
 
@@ -90,6 +184,20 @@ def linked(events: DataFrame, entities: DataFrame, write: Write) -> tuple[DataFr
     known = write(_values(entities, "entity_id", "name").select(F.struct(F.lit(KNOWN).alias("kind"), F.col("entity_id").cast("long").alias("key")).alias("who"), "slot", F.struct(F.lit(BEFORE_ALL).cast("long").alias("since"), "v").alias("s")))
     rows = write(events.select("id", *SLOTS[:-1], "display"))
     named = rows.where("display IS NOT NULL")
+    found, held, rest = _by_component(named, known, write)
+    if not rest.isEmpty():
+        rest = write(rest)
+        more, also = _by_rounds(write(named.join(rest.where(F.col("kind") == NEW).select(F.col("key").alias("id")), "id", "left_semi")), known.join(rest.where(F.col("kind") == KNOWN).select(F.struct("kind", "key").alias("who")), "who", "left_semi"), write)
+        found, held = found.unionByName(more), held.unionByName(also)
+    own = F.struct(F.lit(NEW).alias("kind"), F.col("id").alias("key"))
+    who = F.when(F.col("display").isNotNull(), F.coalesce("who", own))
+    status = F.when(F.col("display").isNull(), "skipped_no_name").when((F.col("_w.kind") == NEW) & (F.col("_w.key") == F.col("id")), "created").otherwise("linked")
+    links = rows.select("id", "display").join(found, "id", "left").withColumn("_w", who)
+    return links.select("id", F.when(F.col("_w.kind") == KNOWN, F.col("_w.key")).alias("entity_id"), F.when(F.col("_w.kind") == NEW, F.col("_w.key")).alias("created_by"), status.alias("status")), held.select("who.kind", "who.key", "slot", "since", "v")
+
+
+def _by_rounds(named: DataFrame, known: DataFrame, write: Write) -> tuple[DataFrame, DataFrame]:
+    """(id, who) of the events that some entity matches, and the identifiers held, by the fixpoint."""
     identity = [*SLOTS[:-1], F.lower("display").alias("display")]
     work = write(named.select("id", *identity).groupBy(*SLOTS[:-1], "display").agg(F.min("id").alias("id")))
     values = write(_values(named, "id", "display"))
@@ -104,13 +212,8 @@ def linked(events: DataFrame, entities: DataFrame, write: Write) -> tuple[DataFr
         unfilled = join_by_frequency(late, write(filled.select("who", "slot", "n", "since")), ["who", "slot"], "n").where(F.col("since").isNull() | (F.col("since") > F.col("id")))
         missing = write(unfilled.groupBy("who", "slot").agg(F.min("id").alias("id")).select("id").distinct())
         if missing.isEmpty():
-            break
+            return found, held
         work = write(work.unionByName(named.select("id", *identity).join(missing, "id", "left_semi")))
-    own = F.struct(F.lit(NEW).alias("kind"), F.col("id").alias("key"))
-    who = F.when(F.col("display").isNotNull(), F.coalesce("who", own))
-    status = F.when(F.col("display").isNull(), "skipped_no_name").when((F.col("_w.kind") == NEW) & (F.col("_w.key") == F.col("id")), "created").otherwise("linked")
-    links = rows.select("id", "display").join(found, "id", "left").withColumn("_w", who)
-    return links.select("id", F.when(F.col("_w.kind") == KNOWN, F.col("_w.key")).alias("entity_id"), F.when(F.col("_w.kind") == NEW, F.col("_w.key")).alias("created_by"), status.alias("status")), held.select("who.kind", "who.key", "slot", "since", "v")
 
 
 def entity_table(links: DataFrame, held: DataFrame, entities: DataFrame, events: DataFrame, write: Write) -> tuple[DataFrame, DataFrame]:
