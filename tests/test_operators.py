@@ -322,3 +322,28 @@ def test_rules_that_an_engine_refuses_are_dropped_and_named(spark):
     assert sorted(r["rule"] for r in tagging.invalid_rules(rules)) == ["broken", "null", "python only"]
     tagged = tagging.tag(spark.createDataFrame([("urgent 'now' ([a-z",)], "snippet string"), rules).first()
     assert tagged["keywords"] == ["p:named", "p:phrase", "p:plain"] and {c["match"] for c in tagged["clauses"] if c["rule"] == "named"} == {"'now'"}
+
+
+def test_search_in_place_equals_search_by_postings(spark):
+    import random
+
+    from tracelake.operators import search
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    docs = [(i % 57 if i else None, text(rng.randrange(9)), rng.choice([None, text(3)])) for i in range(60)]  # repeated keys, a null key, empty texts
+    documents = spark.createDataFrame(docs, "id long, t string, u string").repartition(3)
+    queries = spark.createDataFrame([(1, "a b"), (2, "B, a!"), (3, "zz"), (4, "c d e f"), (5, None)], "q long, text string")
+    got = search.fielded(documents, queries, "id", {"t": 2.0, "u": 1.5}, "q", "text", top=4)
+    want = search._by_postings(documents, queries, "id", {"t": 2.0, "u": 1.5}, "q", "text", 4, 1.2, 0.75)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select("q", "id", "score", "place").collect()))
+
+
+def test_search_shuffles_no_pairs_of_query_and_document(spark):
+    from tracelake.operators import search
+
+    documents = spark.range(3000).selectExpr("id", "'same words' AS t")
+    queries = spark.range(500).selectExpr("id AS q", "concat('same ', id % 7) AS text")
+    found = search.bm25(documents, queries, "id", "t", "q", "text", top=2)
+    assert {(r["q"], r["id"]) for r in found.collect()} == {(q, i) for q in range(500) for i in (0, 1)}
+    assert "Exchange hashpartitioning(q" not in found._jdf.queryExecution().executedPlan().toString()
