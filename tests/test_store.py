@@ -146,3 +146,12 @@ def test_snapshots_are_written_over_and_read_by_partition(spark):
     assert change[45] == "removed" and change[39] == "changed" and len(change) == 50
     plan = plan_of(table.delta("a", "b"))
     assert plan.count("PartitionFilters: [") >= 2 and plan.count("snapshot_id") >= 2
+
+
+def test_an_append_keeps_no_copy_of_the_texts(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(postings, "stored", lambda df, name: kept.append(name) or df)
+    index = postings.Postings(spark, f"file://{tmp_path}/index", ("text",))
+    assert index.append(spark.createDataFrame([(1, "a b a"), (1, "a"), (2, None)], "id long, text string").repartition(3)) == 2 and not kept
+    rows = spark.read.parquet(f"{tmp_path}/index/postings/segment=0").collect()
+    assert sorted((r["term"], r["id"], r["tf"], r["length"]) for r in rows) == [("a", 1, 3, 3), ("b", 1, 1, 3)]

@@ -7,6 +7,9 @@ written over under its own number until its mark stands, so an append that broke
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,6 +28,18 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _counted(batches):
+    """Rows (id, field, words, length) -> (id, field, term, tf, length), each word of a row once."""
+    for batch in batches:
+        lists = batch.column(2)
+        words = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        size = max(1, len(words.dictionary))
+        pair, tf = np.unique(row * size + words.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+        at, term = (pa.array(x) for x in np.divmod(pair, size))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), words.dictionary.take(term), pa.array(tf.astype(np.int64)), batch.column(3).take(at)], names=["id", "field", "term", "tf", "length"])
+
+
 class Postings:
     def __init__(self, spark: SparkSession, path: str, fields: tuple[str, ...], key: str = "id"):
         self.spark, self.path, self.fields, self.key = spark, path, fields, key
@@ -44,15 +59,15 @@ class Postings:
         segment, high = self.high_water()
         new = documents if high is None else documents.where(F.col(self.key) > high)
         fields = [F.struct(F.lit(f).alias("field"), words_of(F.col(f)).alias("w")) for f in self.fields]
-        rows = stored(new.select(F.col(self.key).cast("long").alias("id"), F.explode(F.array(*fields)).alias("x")).select("id", "x.field", "x.w", F.size("x.w").alias("length")), "words")
-        found = rows.agg(F.max("id").alias("high"), F.count_distinct("id").alias("n")).first()
+        rows = new.select(F.col(self.key).cast("long").alias("id"), F.explode(F.array(*fields)).alias("x")).select("id", "x.field", "x.w", F.size("x.w").alias("length"))
+        found = new.agg(F.max(F.col(self.key).cast("long")).alias("high"), F.count_distinct(F.col(self.key).cast("long")).alias("n")).first()
         if not found["n"]:
             return 0
-        terms = rows.select("id", "field", "length", F.explode("w").alias("term")).groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-        placed = terms.withColumn("bucket", bucket_of(F.col("term")))
-        # rows of a bucket are dealt to several tasks by term and id, so that neither a bucket nor a frequent term is one task
-        spread = placed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term")
-        spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+        # a document's words are counted where it is read; postings are shuffled once, and those of a bucket go to several tasks by id, so that neither a bucket nor a frequent term is one task
+        terms = rows.mapInArrow(_counted, "id long, field string, term string, tf long, length int").withColumn("bucket", bucket_of(F.col("term"))).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(8)))
+        whole = terms.repartition("bucket", "_part").groupBy("bucket", "_part", "field", "term", "id").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
+        whole = whole.select("field", "term", "id", "tf", "length", "bucket").sortWithinPartitions("bucket", "term")
+        whole.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
         rows.groupBy("field").agg(F.count("*").alias("docs"), F.sum("length").alias("words")).write.mode("overwrite").parquet(f"{self.path}/lengths/segment={segment}")
         self.spark.createDataFrame([(segment, found["high"], found["n"])], MARKS).coalesce(1).write.mode("append").parquet(f"{self.path}/marks")
         return found["n"]
